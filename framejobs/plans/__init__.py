@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-AREAS = ("catalog",)
+AREAS = ("catalog", "framing")
 
 
 def load_all() -> None:

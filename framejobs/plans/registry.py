@@ -48,4 +48,4 @@ def with_ctes(sql: str, uses: tuple[str, ...]) -> str:
         visit(name)
     if not ordered:
         return sql
-    return "WITH " + ",\n".join(f"{n} AS ({CTES[n][1]})" for n in ordered) + "\n" + sql
+    return "WITH " + ",\n".join(f"{n} AS MATERIALIZED ({CTES[n][1]})" for n in ordered) + "\n" + sql
