@@ -121,7 +121,7 @@ def slugify(value: Column) -> Column:
     source, target, wide = _decomposition_tables()
     lowered = F.lower(value)
     single = F.translate(lowered, source, target)
-    wide_map = F.create_map(*[F.lit(x) for pair in wide.items() for x in pair])
+    wide_map = F.str_to_map(F.lit("\t".join(f"{k}\n{v}" for k, v in wide.items())), F.lit("\t"), F.lit("\n"))
     full = F.array_join(
         F.transform(F.split(single, ""), lambda c: F.coalesce(F.element_at(wide_map, c), c)), ""
     )

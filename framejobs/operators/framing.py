@@ -39,9 +39,11 @@ def framing_subjects(analysed: DataFrame) -> DataFrame:
     )
 
 
-def pair_all(subjects: DataFrame, templates: DataFrame) -> DataFrame:
+def pair_all(subjects: DataFrame, templates: DataFrame | list[dict]) -> DataFrame:
     """Every subject under every template: the template list is a constant of the plan."""
-    rows = [row.asDict(recursive=True) for row in templates.orderBy("template_id").toLocalIterator()]
+    rows = templates if isinstance(templates, list) else [
+        row.asDict(recursive=True) for row in templates.orderBy("template_id").toLocalIterator()
+    ]
     passes = [
         subjects.select("*", F.explode(T.template_literal(rows[i:i + TEMPLATES_PER_PASS])).alias("t"))
         for i in range(0, len(rows), TEMPLATES_PER_PASS)
@@ -343,7 +345,7 @@ def placements() -> Column:
     return F.transform(present, describe)
 
 
-def frame_catalog(subjects: DataFrame, templates: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
+def frame_catalog(subjects: DataFrame, templates: DataFrame | list[dict], pairs: DataFrame | None = None) -> DataFrame:
     """Framing of all pairs, or of the planned ones when ``pairs`` is given. Keeps the template as ``t``."""
     paired = pair_all(subjects, templates) if pairs is None else pair_planned(subjects, templates, pairs)
     return solve(paired)

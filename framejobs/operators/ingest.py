@@ -8,6 +8,7 @@ from framejobs import vocab
 from framejobs.functions import paths as P
 from framejobs.functions.text import dedupe_key, stable_id
 from framejobs.operators.ranking import MAX_GROUP_ROWS, first_by, rank_within
+from framejobs.session import stored
 
 
 def classify(files: DataFrame) -> DataFrame:
@@ -95,6 +96,8 @@ def import_catalog(
         "image_id", stable_id("img", F.col("product_id"), F.col("source_hash"))
     ).withColumn("storage_key", P.original_key(F.col("source_hash"), F.lit("image/jpeg")))
     images = reuse_analyses(renumber(images, max_group_rows), analyses, engine_version)
+    # Outcomes and products both derive from the image table: write it once, read it back.
+    images = stored(images.drop("skip_reason", "__failed"))
 
     # (import, arrival) is unique, so marking the kept file of each group never meets a hot key.
     kept = images.select("import_id", "arrival", F.lit(True).alias("__kept"))
@@ -113,7 +116,7 @@ def import_catalog(
         images.select("product_id", "arrival", *identity), ["product_id"], F.col("arrival"), identity
     )
     products = described.join(product_counters(images), "product_id")
-    return outcomes, products, images.drop("skip_reason", "__failed")
+    return outcomes, products, images
 
 
 def import_counters(outcomes: DataFrame) -> DataFrame:

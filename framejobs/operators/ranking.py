@@ -6,7 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from framejobs.session import checkpoint_dir
+from framejobs.session import stored
 
 # Largest group one task may sort; beyond it the range-partitioned form takes over.
 MAX_GROUP_ROWS = 2_000_000
@@ -36,7 +36,6 @@ def rank_within(
 
 def _rank_by_range(df: DataFrame, keys: list[str], order: list[Column], name: str) -> DataFrame:
     spark = df.sparkSession
-    checkpoint_dir(spark)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     columns = df.columns
     sort_keys = [F.col(k) for k in keys] + order
@@ -47,9 +46,9 @@ def _rank_by_range(df: DataFrame, keys: list[str], order: list[Column], name: st
         .withColumn("__row", F.monotonically_increasing_id())
         .withColumn("__part", F.shiftright("__row", 33))
         .withColumn("__row", F.col("__row").bitwiseAND(F.lit((1 << 33) - 1)))
-        # Both branches below must see the same partitioning, also after an executor is lost.
-        .checkpoint()
     )
+    # Both branches below must see the same partitioning, also after an executor is lost.
+    spread = stored(spread)
     pieces = spread.groupBy(*keys, "__part").agg(
         F.min("__row").alias("__first"), F.count(F.lit(1)).alias("__n")
     )

@@ -125,12 +125,12 @@ def rule_trace(subjects: DataFrame, rules: DataFrame) -> DataFrame:
     last = F.coalesce(F.col("__place") + 1, F.lit(len(ordered)))
     seen = F.slice(_literal_rules(ordered), F.lit(1), last)
     vision_kinds = ("shot_type", "garment_type")
-    return staged.select(*keep, "__place", "__vision", F.posexplode(seen).alias("position", "__rule")).select(
+    return staged.select(*keep, "__place", "__vision", F.posexplode(seen).alias("step", "__rule")).select(
         *keep,
-        "position",
+        "step",
         F.col("__rule.rule_id").alias("rule_id"),
         F.col("__rule.rule_name").alias("rule_name"),
-        F.coalesce(F.col("position") == F.col("__place"), F.lit(False)).alias("matched"),
+        F.coalesce(F.col("step") == F.col("__place"), F.lit(False)).alias("matched"),
         F.when(F.col("__rule.skipped").isNotNull(), F.col("__rule.skipped"))
         .when(F.col("__rule.match_type").isin(*vision_kinds) & ~F.col("__vision"), F.lit("no_vision_data"))
         .alias("skipped"),

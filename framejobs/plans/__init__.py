@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-AREAS = ("catalog", "framing")
+AREAS = ("catalog", "framing", "routing")
 
 
 def load_all() -> None:

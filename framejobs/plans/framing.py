@@ -104,7 +104,7 @@ cte("framed", """
 
 
 def framed_all(spark, sf_dir):
-    return framing.frame_catalog(B.framing_subjects(spark, sf_dir), settings.templates(spark))
+    return framing.frame_catalog(B.framing_subjects(spark, sf_dir), settings.TEMPLATES)
 
 
 @query("frame_catalog", uses=("framed",), sql=f"""

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Runtime SQL settings: UTC timestamps, run-time re-planning, and skew splitting also when the
 # joined side feeds an aggregate on the same key.
@@ -39,6 +40,17 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return target
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """Write a table that several branches read, once, to the shared checkpoint folder.
+
+    Unlike a cache it survives lost executors, and unlike an RDD checkpoint it is computed once,
+    keeps column pruning and gives the planner true sizes.
+    """
+    path = f"{checkpoint_dir(df.sparkSession)}/stored-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def local_session(cores: str | None = None, app: str = "framejobs") -> SparkSession:
     """Single-machine session for tests and the bench."""
     cores = cores or os.environ.get("BENCH_CPUS", "8")
