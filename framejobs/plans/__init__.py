@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-AREAS = ("catalog", "framing", "routing")
+AREAS = ("catalog", "framing", "routing", "operations", "detection")
 
 
 def load_all() -> None:

@@ -92,7 +92,7 @@ def vision_status(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One render, fill or analysis job per order."""
-    orders = table(spark, sf_dir, "orders")
+    orders = table(spark, sf_dir, "orders").withColumn("o_orderdate", F.col("o_orderdate").cast("timestamp"))
     k = F.col("o_orderkey")
     status = (
         F.when((F.col("o_orderstatus") == "O") & (k % 4 == 0), "running")
@@ -135,7 +135,7 @@ def batches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def creative_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rendered outputs from line items; the same (image, template) is rendered many times."""
-    li = table(spark, sf_dir, "lineitem")
+    li = table(spark, sf_dir, "lineitem").withColumn("l_shipdate", F.col("l_shipdate").cast("timestamp"))
     part, tpl = F.col("l_partkey").cast("string"), (F.col("l_suppkey") % 8).cast("string")
     strategies = ("head_to_feet", "head_to_knees", "subject_fit")
     return li.select(
@@ -325,7 +325,7 @@ def job_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ev.select(
         F.concat(F.lit("job_"), F.col("user_id").cast("string")).alias("job_id"),
         job_event_name(F.col("event_type")).alias("event"),
-        "ts", "event_id", "value",
+        F.col("ts").cast("timestamp").alias("ts"), "event_id", "value",
     )
 
 
