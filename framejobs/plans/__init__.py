@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-AREAS = ("catalog", "framing", "routing", "operations", "detection")
+AREAS = ("catalog", "framing", "routing", "operations", "detection", "layout")
 
 
 def load_all() -> None:

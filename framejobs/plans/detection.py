@@ -515,7 +515,7 @@ def classify_shot(spark, sf_dir):
     )
 
 
-_LAND = "least(1.0, (" + " + ".join(f"c_{n} * {w}" for n, w in analyze.KEY_ANCHORS.items()) + ") / 13.0)"
+_LAND = "least(1.0, (" + " + ".join(f"coalesce(c_{n}, 0.0) * {w}" for n, w in analyze.KEY_ANCHORS.items()) + ") / 13.0)"
 cte("a_quality", f"""
   SELECT *, CASE WHEN NOT has_p THEN CASE WHEN found THEN 0.6 ELSE 0.25 END
       ELSE least(1.0, ps * 0.7 + CASE WHEN has_f THEN fs * 0.3 ELSE 0.0 END) END::double AS q_det,
@@ -563,9 +563,9 @@ def threshold_calibration(spark, sf_dir):
 @query("timing_report", sql=f"""
   SELECT stage, count(*) AS n, {S.r('avg(ms)')} AS mean_ms, quantile_disc(ms, 0.5) AS p50_ms,
     quantile_disc(ms, 0.95) AS p95_ms, max(ms) AS max_ms FROM (
-    SELECT unnest(['decode', 'pose']) AS stage, unnest([(value * 10)::bigint, event_id % 400]) AS ms FROM events) GROUP BY 1""")
+    SELECT unnest(['decode', 'pose']) AS stage, unnest([floor(value * 10)::bigint, event_id % 400]) AS ms FROM events) GROUP BY 1""")
 def timing_report(spark, sf_dir):
     ev = B.table(spark, sf_dir, "events").select(F.create_map(
-        F.lit("decode"), F.round(F.col("value") * 10).cast("long"), F.lit("pose"), F.col("event_id") % 400
+        F.lit("decode"), F.floor(F.col("value") * 10), F.lit("pose"), F.col("event_id") % 400
     ).alias("timings"))
     return reports.timing_report(ev).withColumn("mean_ms", G.round_to(F.col("mean_ms")))
