@@ -63,7 +63,7 @@ def timing_report(analyses: DataFrame) -> DataFrame:
     long = analyses.select(F.explode_outer("timings").alias("stage", "ms")).filter(F.col("stage").isNotNull())
     return long.groupBy("stage").agg(
         F.count(F.lit(1)).alias("n"), F.avg("ms").alias("mean_ms"),
-        F.percentile_approx("ms", 0.5, 10_000).alias("p50_ms"), F.percentile_approx("ms", 0.95, 10_000).alias("p95_ms"),
+        F.percentile_approx("ms", 0.5, 100_000).alias("p50_ms"), F.percentile_approx("ms", 0.95, 100_000).alias("p95_ms"),
         F.max("ms").alias("max_ms"),
     )
 

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-AREAS = ("catalog", "framing", "routing", "operations", "detection", "layout")
+AREAS = ("catalog", "framing", "routing", "operations", "detection", "layout", "streams")
 
 
 def load_all() -> None:
