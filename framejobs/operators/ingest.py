@@ -92,16 +92,16 @@ def import_catalog(
     broken = (F.coalesce(F.col("width"), F.lit(0)) == 0) | (F.coalesce(F.col("height"), F.lit(0)) == 0)
     staged = staged.withColumn("__failed", (F.col("skip_reason").isNull() & broken) if sized else F.lit(False))
     usable = group_products(staged.filter(F.col("skip_reason").isNull() & ~F.col("__failed")))
-    images = distinct_images(usable).withColumn(
+    kept = distinct_images(usable).withColumn(
         "image_id", stable_id("img", F.col("product_id"), F.col("source_hash"))
     ).withColumn("storage_key", P.original_key(F.col("source_hash"), F.lit("image/jpeg")))
-    images = reuse_analyses(renumber(images, max_group_rows), analyses, engine_version)
-    # Outcomes and products both derive from the image table: write it once, read it back.
-    images = stored(images.drop("skip_reason", "__failed"))
+    # Outcomes, products and images all derive from the kept files: write them once, read them back.
+    kept = stored(kept.drop("skip_reason", "__failed"))
+    numbered = renumber(kept, max_group_rows)
 
     # (import, arrival) is unique, so marking the kept file of each group never meets a hot key.
-    kept = images.select("import_id", "arrival", F.lit(True).alias("__kept"))
-    outcomes = staged.join(kept, ["import_id", "arrival"], "left").select(
+    marks = kept.select("import_id", "arrival", F.lit(True).alias("__kept"))
+    outcomes = staged.join(marks, ["import_id", "arrival"], "left").select(
         "import_id", "arrival", P.normalize_path(F.col("relative_path")).alias("relative_path"),
         F.when(F.col("skip_reason").isNotNull(), "skipped")
         .when(F.col("__failed"), "failed")
@@ -113,10 +113,10 @@ def import_catalog(
 
     identity = ["product_name", "product_slug", "folder_path", "category", "import_id", "created_at"]
     described = first_by(
-        images.select("product_id", "arrival", *identity), ["product_id"], F.col("arrival"), identity
+        kept.select("product_id", "arrival", *identity), ["product_id"], F.col("arrival"), identity
     )
-    products = described.join(product_counters(images), "product_id")
-    return outcomes, products, images
+    products = described.join(product_counters(numbered), "product_id")
+    return outcomes, products, reuse_analyses(numbered, analyses, engine_version)
 
 
 def import_counters(outcomes: DataFrame) -> DataFrame:

@@ -17,6 +17,7 @@ SKIN_PRESENT = 0.12
 MASK_LEVEL = 0.5 * 255
 BAND_FRACTION, BAND_MIN, BAND_MAX = 0.06, 24.0, 260.0
 SAMPLES_MIN, SAMPLES_MAX = 6, 48
+_PACK = 10_000
 
 
 def with_variables(framed: DataFrame, details: DataFrame) -> DataFrame:
@@ -78,6 +79,13 @@ def _axis(start: Column, size: Column, samples: Column, grids: dict[str, tuple[C
     return F.transform(F.sequence(F.lit(0), samples - 1), hit)
 
 
+def _weighted(name: str) -> Column:
+    """Distinct raster lines of an axis with the number of samples that fall on each."""
+    return F.transform(F.array_distinct(name), lambda u: F.struct(
+        u["g"].alias("g"), u["p"].alias("p"), F.size(F.filter(name, lambda v: v == u)).alias("n")
+    ))
+
+
 def edge_content(framed: DataFrame, masks: DataFrame, scale: float = vocab.SUPERSAMPLE) -> DataFrame:
     """What each overflowing edge cuts through: garment, skin or background; null without overflow.
 
@@ -121,20 +129,26 @@ def edge_content(framed: DataFrame, masks: DataFrame, scale: float = vocab.SUPER
         value = F.get(F.col(f"{name}.data"), row[name] * F.col(f"{name}.width") + column[name])
         return has[name] & F.coalesce(value >= MASK_LEVEL, F.lit(False))
 
-    # One row per edge, with the sampled raster columns and lines worked out once.
+    # One row per edge. Neighbouring samples often share a raster line, so distinct lines carry weights.
     long = rows.select("source_hash", "template_id", "image_width", "image_height", "g", "p", F.explode(bands).alias("b"))
     b = F.col("b")
     long = long.withColumns({
         "_c": _axis(b["x"], b["w"], b["cols"], {n: (iw / d[0], d[0]) for n, d in dims.items()}),
         "_r": _axis(b["y"], b["h"], b["rows"], {n: (ih / d[1], d[1]) for n, d in dims.items()}),
     })
-    count = lambda test: F.aggregate(
-        "_r", F.lit(0), lambda acc, row: acc + F.size(F.filter("_c", lambda col: test(col, row)))
-    )
+    long = long.withColumns({"_c": _weighted("_c"), "_r": _weighted("_r")})
+
+    # Both tallies in one pass: fabric above, skin below; a band has at most 48 x 48 samples.
+    def cell(col: Column, row: Column) -> Column:
+        return F.when(on("g", col, row), col["n"] * _PACK).when(on("p", col, row), col["n"]).otherwise(0)
+
+    packed = F.aggregate("_r", F.lit(0), lambda acc, row: acc + row["n"] * F.aggregate(
+        "_c", F.lit(0), lambda inner, col: inner + cell(col, row)
+    ))
+    long = long.withColumn("_hits", packed)
     total = b["cols"] * b["rows"]
     long = long.withColumns({
-        "_garment": count(lambda col, row: on("g", col, row)) / total,
-        "_skin": count(lambda col, row: ~on("g", col, row) & on("p", col, row)) / total,
+        "_garment": F.floor(F.col("_hits") / _PACK) / total, "_skin": (F.col("_hits") % _PACK) / total,
     })
     usable = (has["g"] | has["p"]) & (b["w"] > 0) & (b["h"] > 0)
     content = (

@@ -6,6 +6,8 @@ Cells are exploded inside generated code and combined before the shuffle, so wha
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from framejobs import vocab
@@ -103,24 +105,33 @@ def parse_features(parses: DataFrame, min_pixels: int = 2) -> DataFrame:
     )
 
 
-_DISC = [(dx, dy) for dy in range(-2, 3) for dx in range(-2, 3) if dx * dx + dy * dy <= 4]
+_DISC = json.dumps([
+    {"dx": dx, "dy": dy} for dy in range(-2, 3) for dx in range(-2, 3) if dx * dx + dy * dy <= 4
+])
 
 
-def class_fraction_near(parse: Column, x: Column, y: Column, classes: tuple[int, ...]) -> Column:
-    """Share of the cells in a radius-2 disc around a source point that belong to ``classes``.
+def classes_near(parse: Column, x: Column, y: Column) -> Column:
+    """Classes of the cells in a radius-2 disc around a source point, without those off the map.
 
     ``parse`` is a struct with data, width, height, scale_x and scale_y.
     """
     cx, cy = js_round(x / parse["scale_x"]).cast("int"), js_round(y / parse["scale_y"]).cast("int")
-    disc = F.array(*[F.struct((cx + dx).alias("x"), (cy + dy).alias("y")) for dx, dy in _DISC])
-    inside = F.filter(
-        disc, lambda c: (c["x"] >= 0) & (c["y"] >= 0) & (c["x"] < parse["width"]) & (c["y"] < parse["height"])
-    )
-    wanted = F.array(*[F.lit(c).cast("smallint") for c in classes])
-    hits = F.filter(
-        inside, lambda c: F.array_contains(wanted, F.get(parse["data"], c["y"] * parse["width"] + c["x"]).cast("smallint"))
+    offsets = F.from_json(F.lit(_DISC), "array<struct<dx:int,dy:int>>")
+    inside = F.filter(offsets, lambda o: (
+        (cx + o["dx"] >= 0) & (cy + o["dy"] >= 0) & (cx + o["dx"] < parse["width"]) & (cy + o["dy"] < parse["height"])
+    ))
+    return F.transform(
+        inside, lambda o: F.get(parse["data"], (cy + o["dy"]) * parse["width"] + cx + o["dx"]).cast("int")
     )
-    return F.coalesce(F.try_divide(F.size(hits), F.size(inside)), F.lit(0.0))
+
+
+def class_fraction(near: Column, classes: tuple[int, ...]) -> Column:
+    """Share of the cells in ``near`` that belong to ``classes``, 0 when there is no cell."""
+    return F.coalesce(F.try_divide(F.size(F.filter(near, lambda c: c.isin(*classes))), F.size(near)), F.lit(0.0))
+
+
+def class_fraction_near(parse: Column, x: Column, y: Column, classes: tuple[int, ...]) -> Column:
+    return class_fraction(classes_near(parse, x, y), classes)
 
 
 def class_at(parse: Column, x: Column, y: Column) -> Column:

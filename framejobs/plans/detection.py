@@ -9,6 +9,7 @@ from framejobs.functions import geometry as G
 from framejobs.operators import analyze, detect, raster, reports
 from framejobs.plans import shared_sql as S
 from framejobs.plans.registry import cte, query
+from framejobs.session import stored
 from framejobs.sources import bridge as B
 
 _SX, _SY = "(1000.0::double / 853.0::double)", "(1500.0::double / 1280.0::double)"
@@ -247,7 +248,7 @@ def analysed(spark, sf_dir):
     persons = detect.gather(detect.nms(pose, vocab.THRESHOLDS["person_nms_iou"]), "persons")
     faces = detect.gather(detect.nms(face, vocab.THRESHOLDS["face_nms_iou"]), "faces")
     parses = B.parses(spark, sf_dir).filter(number % 5 != 4)
-    return analyze.analyse(analyze.assemble(images, persons, faces, B.masks(spark, sf_dir), parses))
+    return analyze.analyse(stored(analyze.assemble(images, persons, faces, B.masks(spark, sf_dir), parses)))
 
 
 _K = {n: i + 1 for i, n in enumerate(vocab.KEYPOINT_NAMES)}
