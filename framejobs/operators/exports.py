@@ -59,44 +59,67 @@ def _stem(name: Column, extension: Column) -> Column:
     return F.substring(name, F.lit(1), F.length(name) - F.length(extension) - 1)
 
 
-def number_collisions(manifest: DataFrame, order: list[Column], max_group_rows: int = MAX_GROUP_ROWS) -> DataFrame:
-    """Give repeated archive names the suffixes -2, -3, ... in order.
-
-    The n-th holder of a name gets suffix n. A generated name may meet a name someone really has
-    (``x-2.jpg``); such names are settled afterwards in ``_settle``, over the clashing names only.
-    """
-    ranked = rank_within(manifest, ["archive_name"], order, "__n", max_group_rows)
-    ranked = ranked.withColumn("__stem", _stem(F.col("archive_name"), F.col("extension")))
-    suffixed = F.concat("__stem", F.lit("-"), F.col("__n").cast("string"), F.lit("."), "extension")
-    return _settle(stored(ranked.withColumn("__want", F.when(F.col("__n") == 1, F.col("archive_name")).otherwise(suffixed))))
+_SUFFIX = r"-[1-9][0-9]{0,17}\z"
+_SUFFIXES = r"(?:-[1-9][0-9]{0,17})+\z"
 
 
-def _settle(ranked: DataFrame) -> DataFrame:
-    """Skip suffixes that are real names.
+def number_collisions(manifest: DataFrame, order: list[Column], max_group_rows: int = MAX_GROUP_ROWS) -> DataFrame:
+    """Give repeated archive names the suffixes -2, -3, ... in order, skipping names already taken.
 
-    A base name b with a taken suffix set T gives its holders the suffixes not in T, in order; the
-    k-th free suffix above 1 is found by counting the taken ones below it. T comes from a join of the
-    real names with their own base, so work grows with the clashes, not with the table.
+    The n-th holder of a name simply gets suffix n, unless a generated name can meet one that really
+    occurs (``x-2.jpg`` beside two ``x.jpg``). Such names depend on who came first; only their families
+    (names that agree up to trailing numbers) go through the sequential fold.
     """
-    names = ranked.filter("__n = 1").select("archive_name", "extension").distinct()
-    real = names.select(
-        F.regexp_extract("archive_name", r"(?s)\A(.*)-([0-9]+)\.[^.]*\z", 1).alias("__stem"), "extension",
-        F.regexp_extract("archive_name", r"(?s)\A(.*)-([1-9][0-9]{0,8})\.[^.]*\z", 2).try_cast("int").alias("__taken"),
-    ).filter(F.col("__taken") >= 2)
-    clashing = ranked.filter("__n >= 2").select("__stem", "extension").distinct()
-    taken = real.join(clashing, ["__stem", "extension"], "left_semi").groupBy("__stem", "extension").agg(
-        F.array_sort(F.collect_set("__taken")).alias("__taken")
-    )
-    joined = ranked.join(bounded(taken), ["__stem", "extension"], "left")
-    # Walk the sorted taken suffixes: each one not above the candidate pushes it one further.
-    moved = F.aggregate(
-        F.coalesce("__taken", F.array().cast("array<int>")), F.col("__n"),
-        lambda n, t: F.when(t <= n, n + 1).otherwise(n),
-    )
-    final = F.when(F.col("__n") == 1, F.col("archive_name")).otherwise(
-        F.concat("__stem", F.lit("-"), moved.cast("string"), F.lit("."), "extension")
+    stem = _stem(F.col("archive_name"), F.col("extension"))
+    named = stored(manifest.withColumn("__family", F.regexp_replace(stem, _SUFFIXES, "")))
+    counts = named.groupBy("archive_name", "extension", "__family").agg(F.count(F.lit(1)).alias("__n"))
+    parent = F.concat(F.regexp_replace(stem, _SUFFIX, ""), F.lit("."), F.col("extension"))
+    children = counts.filter(stem.rlike(_SUFFIX)).select(parent.alias("archive_name"), "extension", "__family")
+    repeated = counts.filter(F.col("__n") > 1).select("archive_name", "extension")
+    clashing = children.join(repeated, ["archive_name", "extension"], "left_semi").select("__family", "extension")
+    clashing = bounded(stored(clashing.distinct()))
+
+    family = ["__family", "extension"]
+    plain = named.join(clashing, family, "left_anti").select(*manifest.columns)
+    ranked = rank_within(plain, ["archive_name"], order, "__n", max_group_rows)
+    suffixed = F.concat(stem, F.lit("-"), F.col("__n").cast("string"), F.lit("."), "extension")
+    plain = ranked.withColumn(
+        "archive_name", F.when(F.col("__n") == 1, F.col("archive_name")).otherwise(suffixed)
+    ).select(*manifest.columns)
+
+    rows = named.join(clashing, family, "left_semi").repartition(*family).sortWithinPartitions(*family, *order)
+    settled = rows.select("__family", *manifest.columns).mapInPandas(
+        _settle, "__family string, " + ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in manifest.schema)
     )
-    return joined.withColumn("archive_name", final).drop("__n", "__stem", "__want", "__taken")
+    return plain.unionByName(settled.select(*manifest.columns))
+
+
+def _settle(batches):
+    """Name the rows of clashing families in order. All suffixes below a base's next one are taken, so
+    memory holds the distinct names of one family, not its rows."""
+    current, seen, following = None, set(), {}
+
+    def taken(stem: str) -> bool:
+        base, _, number = stem.rpartition("-")
+        generated = number.isdigit() and number[0] != "0" and 2 <= int(number) < following.get(base, 2)
+        return stem in seen or generated
+
+    for pdf in batches:
+        names = []
+        for family, extension, name in zip(pdf["__family"], pdf["extension"], pdf["archive_name"]):
+            if (family, extension) != current:
+                current, seen, following = (family, extension), set(), {}
+            stem = name[: -(len(extension) + 1)]
+            if taken(stem):
+                n = following.get(stem, 2)
+                while f"{stem}-{n}" in seen:
+                    n += 1
+                following[stem] = n + 1
+                stem = f"{stem}-{n}"
+            else:
+                seen.add(stem)
+            names.append(f"{stem}.{extension}")
+        yield pdf.assign(archive_name=names)
 
 
 def export_manifest(

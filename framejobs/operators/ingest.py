@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
 from framejobs import vocab
 from framejobs.functions import paths as P
 from framejobs.functions.text import dedupe_key, stable_id
-from framejobs.operators.ranking import MAX_GROUP_ROWS, first_by, rank_within
+from framejobs.operators.ranking import MAX_GROUP_ROWS, first_by, largest_group, rank_within
 from framejobs.session import stored
 
 
@@ -173,31 +174,74 @@ def propagate_status(images: DataFrame, results: DataFrame) -> DataFrame:
 
 
 def pack_by_bytes(
-    files: DataFrame, keys: list[str], order: str, size: str = "byte_size", max_bytes: int = vocab.MAX_REQUEST_BYTES
+    files: DataFrame, keys: list[str], order: str, size: str = "byte_size", max_bytes: int = vocab.MAX_REQUEST_BYTES,
+    max_group_rows: int = MAX_GROUP_ROWS,
 ) -> DataFrame:
-    """Greedy units bounded by bytes, in order; an oversize file goes alone.
+    """Greedy units bounded by bytes, in order; an oversize file goes alone. ``order`` is unique per key.
 
-    Where a unit starts depends on where the previous one ended, so each key is one sequential fold.
-    Rows of a key stream through a task in sorted order: the sort spills, and memory holds one Arrow
-    batch and one running total, never a whole group. Only the key, order and size columns take part.
+    Where a unit starts depends on where the previous one ended. Small keys are one streaming fold
+    each. When a key exceeds ``max_group_rows`` its rows are cut into blocks that are folded side by
+    side: each block first guesses the bytes open at its start and is folded again until every guess
+    equals what the block before really left open. Folds forget their start after a unit or two, so
+    two or three rounds settle it; the result is exact in any case, as block after block becomes final.
     """
-    from pyspark.sql import types as T
-
-    columns = [*keys, order, size]
-    narrow = files.select(*columns)
-    schema = T.StructType([*narrow.schema.fields, T.StructField("unit_id", T.IntegerType())])
+    narrow = files.select(*keys, order, size)
+    if largest_group(narrow, keys) <= max_group_rows:
+        entry = narrow.withColumns({"__part": F.lit(0), "__open": F.lit(None).cast("double")})
+        return _fold_units(entry, keys, order, size, max_bytes).select(*narrow.columns, "unit_id")
+    parts = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    blocks = stored(
+        narrow.repartitionByRange(parts, *keys, order).withColumn("__part", F.spark_partition_id())
+    )
+    cell = [*keys, "__part"]
+    previous = Window.partitionBy(*keys).orderBy("__part")
+    before = previous.rowsBetween(Window.unboundedPreceding, -1)
+    # One row per (key, block): at most the number of partitions for each key.
+    state = stored(blocks.select(*cell).distinct().withColumn(
+        "__open", F.when(F.row_number().over(previous) > 1, F.lit(0.0))
+    ))
+    while True:
+        folded = stored(_fold_units(blocks.join(state, cell), keys, order, size, max_bytes))
+        ends = folded.groupBy(*cell).agg(
+            F.max_by("__total", F.col(order)).alias("__end"), F.max("unit_id").alias("__units")
+        )
+        nxt = stored(ends.select(
+            *cell, F.lag("__end").over(previous).alias("__open"),
+            F.coalesce(F.sum("__units").over(before), F.lit(0)).alias("__before"),
+        ))
+        guess = state.withColumnRenamed("__open", "__guess")
+        if nxt.join(guess, cell).filter(~F.col("__open").eqNullSafe(F.col("__guess"))).isEmpty():
+            break
+        state = nxt.select(*cell, "__open")
+    done = folded.join(nxt.select(*cell, "__before"), cell)
+    return done.withColumn("unit_id", (F.col("unit_id") + F.col("__before")).cast("int")).select(*narrow.columns, "unit_id")
+
+
+def _fold_units(rows: DataFrame, keys: list[str], order: str, size: str, max_bytes: int) -> DataFrame:
+    """Fold each (key, block) from its open bytes; adds unit_id inside the block and the running total.
+
+    Rows stream in sorted order: memory holds one Arrow batch and one running total.
+    """
+    cell = [*keys, "__part"]
+    schema = StructType([
+        *rows.schema.fields, StructField("unit_id", IntegerType()), StructField("__total", DoubleType())
+    ])
 
     def fold(batches):
-        current, unit, total = None, 0, 0
+        current, unit, total = None, 0, 0.0
         for pdf in batches:
-            units = []
-            for tag, weight in zip(pdf[keys].itertuples(index=False, name=None), pdf[size].tolist()):
-                if tag != current:
-                    current, unit, total = tag, 0, 0
-                elif total + weight > max_bytes:
-                    unit, total = unit + 1, 0
+            units, totals = [], []
+            tags = pdf[cell].itertuples(index=False, name=None)
+            for tag, opened, weight in zip(tags, pdf["__open"].tolist(), pdf[size].tolist()):
+                fresh = tag != current
+                if fresh:
+                    carried = opened is not None and opened == opened
+                    current, unit, total = tag, 0, opened if carried else 0.0
+                if total + weight > max_bytes and (not fresh or carried):
+                    unit, total = unit + 1, 0.0
                 total += weight
                 units.append(unit)
-            yield pdf.assign(unit_id=units).astype({"unit_id": "int32"})
+                totals.append(total)
+            yield pdf.assign(unit_id=units, __total=totals).astype({"unit_id": "int32"})
 
-    return narrow.repartition(*keys).sortWithinPartitions(*keys, order).mapInPandas(fold, schema)
+    return rows.repartition(*cell).sortWithinPartitions(*cell, order).mapInPandas(fold, schema)

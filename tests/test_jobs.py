@@ -63,12 +63,43 @@ def test_kept_boxes_do_not_overlap(spark, sf_dir):
     assert pairs.filter(iou(F.col("box"), F.col("b")) > 0.45).count() == 0
 
 
-def test_archive_numbers_skip_real_names(spark):
-    names = ["x", "x", "x-2", "x", "x-3", "x-2", "y"]
+def test_blocks_of_a_large_key_pack_like_one_fold(spark):
+    rng = random.Random(5)
+    data = [("hot" if i % 3 else f"k{i % 5}", i, rng.choice([1, 5, 20, 60, 150])) for i in range(1500)]
+    df = spark.createDataFrame(data, "k string, i bigint, byte_size bigint")
+    want, state = {}, {}
+    for k, i, weight in data:
+        unit, total, empty = state.get(k, (0, 0, True))
+        if not empty and total + weight > 100:
+            unit, total = unit + 1, 0
+        state[k] = (unit, total + weight, False)
+        want[i] = unit
+    for limit in (20, 10_000):
+        got = ingest.pack_by_bytes(df, ["k"], "i", "byte_size", 100, limit).collect()
+        assert {r.i: r.unit_id for r in got} == want
+
+
+def sequential_names(names):
+    used, out = set(), []
+    for name in names:
+        if name in used:
+            n = 2
+            while f"{name}-{n}" in used:
+                n += 1
+            name = f"{name}-{n}"
+        used.add(name)
+        out.append(f"{name}.jpg")
+    return out
+
+
+def test_archive_names_follow_the_order_of_arrival(spark):
+    rng = random.Random(3)
+    pool = ["x", "x-2", "x-3", "x-2-2", "x-02", "y", "y-1", "z", "z-9", "dir/x", "a-b"]
+    names = [rng.choice(pool) for _ in range(400)]
     df = spark.createDataFrame([(i, f"{n}.jpg", "jpg") for i, n in enumerate(names)], "i int, archive_name string, extension string")
-    got = [r[1] for r in rows(exports.number_collisions(df, [F.asc("i")]).select("i", "archive_name"), "i")]
-    assert len(set(got)) == len(got)
-    assert got[:1] == ["x.jpg"] and set(got) >= {"x-2.jpg", "x-3.jpg", "x-4.jpg", "x-5.jpg", "y.jpg"}
+    for limit in (5, 10_000):
+        got = rows(exports.number_collisions(df, [F.asc("i")], limit).select("i", "archive_name"), "i")
+        assert [r[1] for r in got] == sequential_names(names)
 
 
 def test_rule_order_does_not_depend_on_row_order(spark, sf_dir):
