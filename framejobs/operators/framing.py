@@ -42,7 +42,7 @@ def framing_subjects(analysed: DataFrame) -> DataFrame:
 def pair_all(subjects: DataFrame, templates: DataFrame | list[dict]) -> DataFrame:
     """Every subject under every template: the template list is a constant of the plan."""
     rows = templates if isinstance(templates, list) else [
-        row.asDict(recursive=True) for row in templates.orderBy("template_id").toLocalIterator()
+        row.asDict(recursive=True) for row in templates.orderBy("template_id").collect()
     ]
     passes = [
         subjects.select("*", F.explode(T.template_literal(rows[i:i + TEMPLATES_PER_PASS])).alias("t"))

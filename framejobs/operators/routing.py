@@ -34,7 +34,7 @@ def rule_order(rules: DataFrame) -> DataFrame:
 
 
 def load_rules(rules: DataFrame) -> list[dict]:
-    """Rules in evaluation order on the driver: operator-typed settings, a few rows each.
+    """Rules in evaluation order on the driver: typed in by operators, so there are few and they are short.
 
     Needles and glob expressions are prepared by Spark, so that routing compiles them once.
     """
@@ -44,7 +44,7 @@ def load_rules(rules: DataFrame) -> list[dict]:
         .withColumn("pattern", R.glob_regex(F.col("needle")))
         .orderBy("evaluation_rank")
     )
-    return [row.asDict() for row in prepared.toLocalIterator()]
+    return [row.asDict() for row in prepared.collect()]
 
 
 def _lowered(subjects: DataFrame) -> DataFrame:

@@ -429,3 +429,42 @@ def report_cells(spark, sf_dir):
         X.format_duration(F.col("p_partkey")).alias("duration_text"),
         X.percent(F.col("p_size") / 100.0).alias("percent_text"), X.humanize(F.col("p_type")).alias("type_text"),
     )
+
+
+@query("work_lists", uses=("b_jobs",), sql="""
+  SELECT * FROM (SELECT 'pending' AS list, job_id, priority FROM b_jobs WHERE status = 'pending' ORDER BY created_at, job_id LIMIT 50)
+  UNION ALL SELECT * FROM (SELECT 'running', job_id, priority FROM b_jobs WHERE status = 'running' ORDER BY created_at, job_id LIMIT 50)""")
+def work_lists(spark, sf_dir):
+    jobs = B.jobs(spark, sf_dir)
+    lists = [
+        J.by_status(jobs, s, 50).select(F.lit(s).alias("list"), "job_id", "priority") for s in ("pending", "running")
+    ]
+    return lists[0].unionByName(lists[1])
+
+
+@query("age_text", sql=f"""
+  SELECT o_orderkey, CASE WHEN d < 30 THEN CASE WHEN h < 24 THEN h || CASE WHEN h = 1 THEN ' hour ago' ELSE ' hours ago' END
+      ELSE d || CASE WHEN d = 1 THEN ' day ago' ELSE ' days ago' END END ELSE strftime(o_orderdate, '%Y-%m-%d') END AS age,
+    epoch_ms({_NOW}) - epoch_ms(o_orderdate) AS elapsed_ms
+  FROM (SELECT *, floor(h / 24.0 + 0.5)::bigint AS d FROM (SELECT *, floor(floor(greatest(0, epoch({_NOW}) - epoch(o_orderdate))
+    / 60.0 + 0.5) / 60.0 + 0.5)::bigint AS h FROM orders WHERE o_orderdate < {_NOW} - INTERVAL 2 HOUR))""")
+def age_text(spark, sf_dir):
+    now = F.lit(AS_OF).cast("timestamp")
+    orders = B.table(spark, sf_dir, "orders").withColumn("o_orderdate", F.col("o_orderdate").cast("timestamp"))
+    old = orders.filter(F.col("o_orderdate") < now - F.expr("INTERVAL 2 HOURS"))
+    return old.select(
+        "o_orderkey", X.time_ago(F.col("o_orderdate"), now).alias("age"),
+        X.elapsed_ms(F.col("o_orderdate"), now).alias("elapsed_ms"),
+    )
+
+
+@query("anchor_lookup", uses=("b_subjects",), sql=f"""
+  SELECT source_hash, coalesce(a_chin.c >= 0.35, false) AS has_chin, {S.r('a_feet.x')} AS feet_x,
+    {S.r('1.0 / (1.0 + exp(-(a_neck.x / 100.0)))')} AS neck_score FROM b_subjects""")
+def anchor_lookup(spark, sf_dir):
+    a = F.col("anchors")
+    return B.framing_subjects(spark, sf_dir).select(
+        "source_hash", G.has_anchor(a, "chin", 0.35).alias("has_chin"),
+        G.round_to(F.element_at(a, "feet")["x"]).alias("feet_x"),
+        G.round_to(G.sigmoid(F.element_at(a, "neck")["x"] / 100.0)).alias("neck_score"),
+    )

@@ -55,13 +55,16 @@ TEMPLATES[7]["strategies"] = [
 ]
 
 
+RULE_SCHEMA = (
+    "rule_id string, rule_name string, match_type string, operator string, value string, template_id string, "
+    "priority int, is_active boolean, created_at timestamp"
+)
+
+
 def rules(spark: SparkSession) -> DataFrame:
-    rows = [(*r[:8], datetime(2024, 1, 1, 0, r[8])) for r in RULES]
-    return spark.createDataFrame(
-        rows,
-        "rule_id string, rule_name string, match_type string, operator string, value string, template_id string, "
-        "priority int, is_active boolean, created_at timestamp",
-    )
+    names = [field.split()[0] for field in RULE_SCHEMA.split(", ")]
+    rows = [dict(zip(names, (*r[:8], datetime(2024, 1, 1, 0, r[8])))) for r in RULES]
+    return T.literal_table(spark, rows, RULE_SCHEMA)
 
 
 def templates(spark: SparkSession) -> DataFrame:

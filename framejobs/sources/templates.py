@@ -146,10 +146,19 @@ def layer(id: str, type: str, **changes) -> dict:
 
 def build_templates(spark: SparkSession, rows: list[dict]) -> DataFrame:
     """Template rows as a typed table."""
-    return spark.createDataFrame(rows, TEMPLATE_SCHEMA)
+    return literal_table(spark, rows, TEMPLATE_SCHEMA)
 
 
 def template_literal(rows: list[dict]) -> Column:
     """Template rows as one constant ``array<struct>`` column."""
-    fields = StructType.fromDDL(TEMPLATE_SCHEMA).simpleString()
-    return F.from_json(F.lit(json.dumps(rows)), f"array<{fields}>")
+    return literal_array(rows, TEMPLATE_SCHEMA)
+
+
+def literal_array(rows: list[dict], schema: str) -> Column:
+    fields = StructType.fromDDL(schema).simpleString()
+    return F.from_json(F.lit(json.dumps(rows, default=str)), f"array<{fields}>")
+
+
+def literal_table(spark: SparkSession, rows: list[dict], schema: str) -> DataFrame:
+    """Settings as a table that is a constant of the plan: one task, no Python serialisation."""
+    return spark.range(1, numPartitions=1).select(F.inline(literal_array(rows, schema)))
