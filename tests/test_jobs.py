@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from framejobs.operators import analyze, detect, exports, framing, hygiene, ingest, jobs as J, lookup, ranking, routing
 from framejobs.plans import settings
 from framejobs.sources import bridge as B, media, tables, templates as T
-from framejobs.streaming.jobs import JobMachine
+from framejobs.streaming.jobs import JobMachine, run_to_table, stream_stale
 
 
 def rows(df, *order):
@@ -267,3 +267,18 @@ def test_flat_lay_without_a_person(spark):
     )
     shot = analyze.classify_shot(df).head().shot
     assert (shot.type, shot.confidence) == ("flat_lay", 0.7) and "50%" in shot.reasoning
+
+
+def test_silent_workers_are_found_by_event_time(spark, tmp_path):
+    at = lambda h, m=0: datetime(2024, 1, 1, h, m, tzinfo=timezone.utc)
+    schema = "job_id string, event string, ts timestamp, event_id bigint"
+    waves = [
+        [("a", "claim", at(0), 1), ("b", "claim", at(0), 2), ("b", "complete", at(0, 5), 3)],
+        [("c", "claim", at(5), 4)],
+        [("d", "claim", at(5, 30), 5)],
+    ]
+    for i, wave in enumerate(waves):
+        spark.createDataFrame(wave, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    events = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    found = run_to_table(stream_stale(events, 3_600_000, "1 minute"), str(tmp_path), "update").collect()
+    assert [(r.job_id, r.status, r.stale) for r in found] == [("a", "pending", True)]
