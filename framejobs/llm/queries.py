@@ -5,12 +5,14 @@ Each query applies its operator, with production parameters, to its whole table.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from framejobs.llm import simhash, vector_dedup
+from framejobs.llm import mixing, packing, simhash, token_files, vector_dedup
 from framejobs.llm.common import prepare
+from framejobs.session import checkpoint_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -30,6 +32,49 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+def vocabulary(name: str, folder: str | None = None) -> str:
+    """Path of a public vocabulary file; ``folder`` overrides the installed collection."""
+    if folder:
+        return f"{folder}/{name}"
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+MIXING_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS size, md5(coalesce(text, '')) AS key
+  FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
+w AS (SELECT *, [3, 1, 2][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS weight FROM s),
+lim AS (SELECT CAST(sum(source_size) AS DOUBLE) * 1.5 AS budget, CAST(sum(weight) AS BIGINT) AS weights FROM w),
+-- Each round: the pace of sources that are not full at the pace before.
+pace(n, p, filled) AS (
+  SELECT 0, budget / weights, CAST(-1 AS BIGINT) FROM lim
+  UNION ALL
+  SELECT n + 1, (SELECT (budget - coalesce(sum(source_size * 2) FILTER (source_size * 2 <= weight * p), 0))
+                   / nullif(sum(weight) FILTER (NOT source_size * 2 <= weight * p), 0) FROM w, lim GROUP BY budget),
+         (SELECT count(*) FILTER (source_size * 2 <= weight * p) FROM w)
+  FROM pace WHERE p IS NOT NULL AND n < 1000
+    AND (SELECT count(*) FILTER (source_size * 2 <= weight * p) FROM w) > greatest(filled, 0)),
+final AS (SELECT arg_max(p, n) AS p FROM pace WHERE p IS NOT NULL),
+t AS (SELECT source, source_size,
+        CASE WHEN source_size * 2 <= weight * p THEN CAST(source_size * 2 AS DOUBLE) ELSE weight * p END AS target FROM w, final),
+o AS (SELECT d.*, epoch, md5(concat_ws(':', '1', CAST(epoch AS VARCHAR), CAST(doc_id AS VARCHAR), key)) AS turn,
+        row_number() OVER (PARTITION BY doc_id, source, key, epoch) AS rep
+      FROM d, (VALUES (0), (1)) e(epoch) WHERE size > 0),
+f AS (SELECT o.*, sum(size) OVER (PARTITION BY o.source ORDER BY epoch, turn, doc_id, key, rep) / target AS finish
+      FROM o JOIN t ON o.source IS NOT DISTINCT FROM t.source WHERE target > 0),
+m AS (SELECT *, sum(size) OVER (ORDER BY finish, turn, doc_id, source NULLS FIRST, key, rep) - size AS mixed FROM f),
+k AS (SELECT doc_id, source, key, rep, count(*) AS copies FROM m
+      WHERE mixed < (SELECT sum(target) FROM t) - 0.5 GROUP BY ALL)
+SELECT d.doc_id, CAST(d.size AS BIGINT) AS size, t.source_size, t.target, CAST(d.size * coalesce(k.copies, 0) AS BIGINT) AS taken
+FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, source, key) AS rep FROM d) d
+JOIN t ON d.source IS NOT DISTINCT FROM t.source
+LEFT JOIN k ON d.doc_id IS NOT DISTINCT FROM k.doc_id AND d.source IS NOT DISTINCT FROM k.source AND d.key = k.key AND d.rep = k.rep
+"""
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
@@ -44,3 +89,23 @@ def op1(spark, sf_dir):
 def op3(spark, sf_dir):
     """Fingerprint and component of every document, at 4 or fewer differing bits."""
     return simhash.near_duplicates(documents(spark, sf_dir))
+
+
+@query("op4_source_mixing", MIXING_SQL)
+def op4(spark, sf_dir):
+    """Words each document gives to a mix of 150 % of all words at source weights 3, 1, 2."""
+    return mixing.mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query("op6_window_packing")
+def op6(spark, sf_dir):
+    """Pieces of all documents in windows of 1024 tokens."""
+    return packing.pack(documents(spark, sf_dir), vocabulary("byte_bpe_50k.json"), 0)
+
+
+@query("op10_token_files")
+def op10(spark, sf_dir):
+    """Documents read back from files of directly addressable token codes."""
+    path = f"{checkpoint_dir(spark)}/tokens-{uuid.uuid4().hex}"
+    token_files.write_tokens(documents(spark, sf_dir), path, vocabulary("word_bpe_49k.json"), 1)
+    return token_files.read_tokens(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
