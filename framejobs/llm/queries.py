@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from framejobs.llm import mixing, packing, simhash, token_files, vector_dedup
+from framejobs.llm import mixing, packing, quality_model, quality_rules, simhash, token_files, vector_dedup
 from framejobs.llm.common import prepare
 from framejobs.session import checkpoint_dir
 
@@ -75,6 +75,10 @@ LEFT JOIN k ON d.doc_id IS NOT DISTINCT FROM k.doc_id AND d.source IS NOT DISTIN
 """
 
 
+#: Production selection: the best of three grades with at least this chance.
+GRADE, LEAST_CHANCE = 2, 0.4
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
@@ -109,3 +113,19 @@ def op10(spark, sf_dir):
     path = f"{checkpoint_dir(spark)}/tokens-{uuid.uuid4().hex}"
     token_files.write_tokens(documents(spark, sf_dir), path, vocabulary("word_bpe_49k.json"), 1)
     return token_files.read_tokens(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+@query("op5_quality_classifier")
+def op5(spark, sf_dir):
+    """Expected grade and chance of the best grade of every document, with the selection."""
+    docs = documents(spark, sf_dir)
+    model = quality_model.train(docs, quality_model.graded(spark.read.parquet(f"{sf_dir}/labels.parquet")), 3)
+    return quality_model.rate(docs, model, GRADE, LEAST_CHANCE).select("doc_id", "expected_grade", "tail_probability", "selected")
+
+
+@query("op7_quality_rules")
+def op7(spark, sf_dir):
+    """Counts of every text and the verdict of the line labelling."""
+    docs = documents(spark, sf_dir)
+    ratings = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", F.col("quality").alias("grade"))
+    return quality_rules.judge(docs, quality_rules.train(docs, ratings))
