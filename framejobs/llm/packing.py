@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import heapq
 import zlib
+from operator import itemgetter
 
 import numpy as np
 import pandas as pd
@@ -39,24 +40,25 @@ def cuts(total: int, capacity: int) -> list[tuple[int, int]]:
 
 
 def differencing(sizes: list[int], windows: int) -> list[list[int]]:
-    """Items of each window after multiway differencing; ties go to the earlier partition."""
-    heap = []
-    for i, size in enumerate(sizes):
-        sums = np.zeros(windows, dtype=np.int64)
-        sums[0] = size
-        heap.append((-int(size) if windows > 1 else 0, i, sums, [[i]] + [[] for _ in range(windows - 1)]))
+    """Items of each window after multiway differencing; ties go to the earlier partition.
+
+    A partition is its filled windows as (minus sum, items), fullest first; the empty ones are implied. Fullest
+    meets emptiest, so only the windows that both partitions need are added up.
+    """
+    heap = [(-size if windows > 1 else 0, i, [(-size, [i])]) for i, size in enumerate(sizes)]
     heapq.heapify(heap)
     serial = len(heap)
     while len(heap) > 1:
-        _, _, sums, items = heapq.heappop(heap)
-        _, _, other, others = heapq.heappop(heap)
-        sums = sums + other[::-1]
-        items = [a + b if a and b else a or b for a, b in zip(items, others[::-1])]
-        order = np.argsort(-sums, kind="stable")
-        sums = sums[order]
-        heapq.heappush(heap, (-int(sums[0] - sums[-1]), serial, sums, [items[k] for k in order]))
+        left, right = heapq.heappop(heap)[2], heapq.heappop(heap)[2]
+        alone = max(0, windows - len(right))
+        merged = left[:alone] + right[:max(0, windows - len(left))] + [
+            (a[0] + right[windows - 1 - i][0], a[1] + right[windows - 1 - i][1]) for i, a in enumerate(left[alone:], alone)
+        ]
+        merged.sort(key=itemgetter(0))
+        spread = merged[0][0] - (merged[-1][0] if len(merged) == windows else 0)
+        heapq.heappush(heap, (spread, serial, merged))
         serial += 1
-    return heap[0][3] if heap else []
+    return [items for _, items in heap[0][2]] if heap else []
 
 
 def pack_block(sizes: list[int], capacity: int) -> list[list[int]]:

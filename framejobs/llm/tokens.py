@@ -1,22 +1,29 @@
-"""Token ids of whole texts with a public tokenizer, cached by white-space-delimited pieces.
+"""Token ids of whole texts with a public tokenizer, cached by pieces.
 
-Both vocabularies cut a text into pieces before merging, and a piece never spans the border between a visible
-character and the white space behind it. Pieces are therefore encoded on their own, each distinct one once per
-worker, and joined: the ids are those of encoding the whole text. Texts with unusual white space, where that border
-is not plain to see, are encoded whole.
+Both vocabularies cut a text into pieces before merging, and no piece spans the border between a visible character and
+the white space behind it. A text is cut there first, and its pieces, mostly one word with its punctuation, are looked
+up; one that is new is cut as the vocabulary does, and only parts never seen before are encoded by the tokenizer. The ids
+are those of encoding the whole text. Texts with unusual white space, where the border is not plain, are encoded whole.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 
 import numpy as np
+import regex
 
 PIECE = re.compile(r"[ \n\t\r]*[^ \n\t\r]+|[ \n\t\r]+")
 #: White space other than blank, newline, tab and carriage return, by any of the definitions in use.
 UNUSUAL = re.compile("[^\\S \\n\\t\\r]|[\\x0b\\x0c\\x1c-\\x1f\\x85\u180e\u200b\u2060\ufeff]")
-CACHE_ENTRIES = 600_000
+#: Letters whose classes no Unicode version disputes; other pieces are encoded as they are.
+PLAIN = re.compile("[\\x09\\x0a\\x0d\\x20-\\x7e\\xa1-\u024f]*")
+#: Fixed value: the cut of byte-level vocabularies that name none of their own.
+BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+CACHE_ENTRIES = 500_000
+RUN = 64
 
 
 class Ids:
@@ -28,34 +35,76 @@ class Ids:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.cache: dict[str, bytes] = {}
+        with open(path, encoding="utf-8") as file:
+            steps = json.load(file)["pre_tokenizer"]
+        own = [s["pattern"]["Regex"] for s in steps.get("pretokenizers", []) if s["type"] == "Split"]
+        self.cut = regex.compile(own[0] if own else BYTE_LEVEL).findall
+        self.normal = self.tokenizer.normalizer
+        self.pieces: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+
+    def _parts_of(self, piece: str) -> list[str]:
+        if PLAIN.fullmatch(piece) is None:
+            return [piece]
+        if self.normal is not None:
+            piece = piece.lower() if piece.isascii() else self.normal.normalize_str(piece)
+        return self.cut(piece)
 
     def _learn(self, pieces: list[str]) -> None:
-        coded = self.tokenizer.encode(pieces, is_pretokenized=True, add_special_tokens=False)
+        if len(self.parts) > CACHE_ENTRIES:
+            self.parts = {}
+        if len(self.pieces) + len(pieces) > CACHE_ENTRIES:  # keep what the last half of the time used
+            self.older, self.pieces = self.pieces, {}
+        known = self.parts
+        cut = [self._parts_of(p) for p in pieces]
+        new = list({part for parts in cut for part in parts if part not in known})
+        # Words that stay one part when they follow each other are encoded as running text, the rest one by one.
+        running = [p for p in new if p.lstrip(" ").isalpha() and (p[0] == " " or self.normal is not None)]
+        single = [p for p in new if not (p.lstrip(" ").isalpha() and (p[0] == " " or self.normal is not None))]
+        glue = "" if self.normal is None else " "
+        lots = [running[i:i + RUN] for i in range(0, len(running), RUN)]
+        for lot, coded in zip(lots, self.tokenizer.encode_batch([glue.join(lot) for lot in lots], add_special_tokens=False)):
+            self._keep(lot, coded)
+        if single:
+            self._keep(single, self.tokenizer.encode(single, is_pretokenized=True, add_special_tokens=False))
+        of = known.__getitem__
+        self.pieces.update((p, b"".join(map(of, parts))) for p, parts in zip(pieces, cut))
+
+    def _keep(self, parts: list[str], coded) -> None:
         raw = np.array(coded.ids, dtype="<u4").tobytes()
-        owner = np.array(coded.word_ids, dtype=np.int64)
-        ends = (np.searchsorted(owner, np.arange(len(pieces) + 1)) * 4).tolist()
-        self.cache.update((p, raw[s:e]) for p, s, e in zip(pieces, ends, ends[1:]))
+        ends = (np.searchsorted(np.array(coded.word_ids, dtype=np.int64), np.arange(len(parts) + 1)) * 4).tolist()
+        self.parts.update((p, raw[s:e]) for p, s, e in zip(parts, ends, ends[1:]))
+
+    def _whole(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4")
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """Ids of each text as little-endian unsigned 32-bit integers; a null text is empty."""
-        cut = [None if t and UNUSUAL.search(t) else PIECE.findall(t or "") for t in texts]
-        missing: set[str] = set()
-        for pieces in cut:
-            if pieces:
-                missing.update(pieces)
-        missing -= self.cache.keys()
-        if len(self.cache) + len(missing) > CACHE_ENTRIES:
-            self.cache.clear()
-            missing = {p for pieces in cut if pieces for p in pieces}
+        out: list[np.ndarray | None] = []
+        open_texts, missing = [], {}
+        for number, text in enumerate(texts):
+            pieces = PIECE.findall(text) if text else []
+            found = list(map(self.pieces.get, pieces))
+            try:
+                out.append(np.frombuffer(b"".join(found), dtype="<u4"))
+            except TypeError:  # a piece that is not known yet
+                out.append(None)
+                open_texts.append((number, pieces, found))
+                missing.update((p, None) for p, f in zip(pieces, found) if f is None)
         if missing:
-            self._learn(list(missing))
-        of = self.cache.__getitem__
-        return [
-            np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, dtype="<u4") if pieces is None
-            else np.frombuffer(b"".join(map(of, pieces)), dtype="<u4")
-            for t, pieces in zip(texts, cut)
-        ]
+            odd = {p for p in missing if UNUSUAL.search(p)}
+            older = self.older
+            back = {p: older[p] for p in missing if p in older}
+            self._learn([p for p in missing if p not in odd and p not in back])
+            self.pieces.update(back)
+            of = self.pieces
+            for number, pieces, found in open_texts:
+                if odd and not odd.isdisjoint(pieces):
+                    out[number] = self._whole(texts[number])
+                else:
+                    out[number] = np.frombuffer(b"".join([of[p] if f is None else f for p, f in zip(pieces, found)]), dtype="<u4")
+        return out
 
 
 _encoders: dict[str, Ids] = {}
