@@ -113,13 +113,13 @@ def write_tokens(
 ) -> None:
     """Encode whole texts, append ``end_id`` to each, and write shards to ``path`` in ascending id order.
 
-    Rows are range partitioned by (id, text) before encoding, so each task writes a run of the order in shards of about
+    Rows are range partitioned on (id, hash of the text) before encoding, so each task writes a run of the order in shards of about
     ``shard_ids`` ids; a longer document is a shard of its own. Null texts are empty, null ids come first, rows of
-    one id follow each other in text order, an empty table writes no shard. Extra columns are ignored.
+    one id follow each other in the order of that hash, an empty table writes no shard. Extra columns are ignored.
     """
-    order = [F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first()]
+    order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text"), F.col("text").asc_nulls_first()]
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    placed = rows.repartitionByRange(shuffle_partitions(docs), *order).sortWithinPartitions(*order).withColumn(
+    placed = rows.repartitionByRange(shuffle_partitions(docs), *order[:2]).sortWithinPartitions(*order).withColumn(
         "row", F.monotonically_increasing_id())
 
     def shards(batches):

@@ -22,7 +22,7 @@ UNUSUAL = re.compile("[^\\S \\n\\t\\r]|[\\x0b\\x0c\\x1c-\\x1f\\x85\u180e\u200b\u
 PLAIN = re.compile("[\\x09\\x0a\\x0d\\x20-\\x7e\\xa1-\u024f]*")
 #: Fixed value: the cut of byte-level vocabularies that name none of their own.
 BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-CACHE_ENTRIES = 500_000
+CACHE_ENTRIES = 250_000
 RUN = 64
 
 
@@ -117,7 +117,7 @@ def encoder(path: str) -> Ids:
     return _encoders[path]
 
 
-def slices_of(texts: list, limit: int = 4 << 20):
+def slices_of(texts: list, limit: int = 2 << 20):
     """Index ranges of about ``limit`` characters, so that working sets stay small."""
     start = size = 0
     for i, t in enumerate(texts):
