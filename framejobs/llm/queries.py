@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from framejobs.llm import mixing, packing, quality_model, quality_rules, simhash, token_files, vector_dedup
+from framejobs.llm import line_dedup, mixing, packing, quality_model, quality_rules, simhash, token_files, vector_dedup
 from framejobs.llm.common import prepare
 from framejobs.session import checkpoint_dir
 
@@ -41,6 +41,39 @@ def vocabulary(name: str, folder: str | None = None) -> str:
     return public_tokenizers.path(name)
 
 
+LINES_SQL = r"""
+WITH t AS (
+  SELECT md5(text) AS text_key, coalesce(doc_id, 9223372036854775807) AS doc_id, string_split(text, chr(10)) AS parts
+  FROM documents WHERE text IS NOT NULL),
+x AS (SELECT text_key, doc_id, unnest(parts) AS line, generate_subscripts(parts, 1) - 1 AS line_no FROM t),
+k AS (SELECT text_key, doc_id, line_no, regexp_extract_all(regexp_replace(line, '[0-9]+', '<*>', 'g'), '[^\x20\x09-\x0D]+') AS tokens FROM x),
+l AS MATERIALIZED (
+  SELECT text_key, line_no, min(doc_id) AS doc_id, any_value(tokens) AS tokens, any_value(array_to_string(tokens, ' ')) AS line_key,
+         any_value(len(tokens) || ' ' || array_to_string(tokens[1:3], ' ')) AS leaf
+  FROM k WHERE len(tokens) >= 3 GROUP BY text_key, line_no),
+d AS MATERIALIZED (SELECT line_key, leaf, any_value(tokens) AS tokens FROM l GROUP BY line_key, leaf),
+f AS (SELECT leaf, count(*) AS leaf_lines FROM d GROUP BY leaf HAVING count(*) > 1),
+r AS MATERIALIZED (
+  SELECT line_key, leaf, leaf_lines, unnest(tokens) AS token, generate_subscripts(tokens, 1) AS place FROM d JOIN f USING (leaf)),
+s AS (SELECT leaf, place, token, count(*) AS support FROM r GROUP BY ALL),
+m AS (SELECT line_key, place, token, support >= 2 AND support * 20 >= leaf_lines AS stays FROM r JOIN s USING (leaf, place, token)),
+g AS (
+  SELECT line_key, 'template ' || string_agg(CASE WHEN stays THEN token ELSE '<*>' END, ' ' ORDER BY place) AS template
+  FROM m GROUP BY line_key HAVING NOT bool_and(stays) AND count(*) FILTER (stays) >= count(*) * 0.75),
+n AS MATERIALIZED (SELECT text_key, line_no, doc_id, coalesce(template, 'line ' || line_key) AS template FROM l LEFT JOIN g USING (line_key)),
+o AS (
+  SELECT template, min(ROW(doc_id, text_key)) AS first FROM (SELECT template, text_key, min(doc_id) AS doc_id FROM n GROUP BY ALL)
+  GROUP BY template HAVING count(*) >= 3),
+p AS (
+  SELECT text_key, list(line_no) AS lines FROM n JOIN o USING (template) WHERE text_key <> first[2] GROUP BY text_key)
+SELECT doc_id,
+  CASE WHEN lines IS NULL THEN text ELSE
+    array_to_string(list_filter(string_split(text, chr(10)), lambda v, i: NOT list_contains(lines, i - 1)), chr(10)) END AS text,
+  CAST(CASE WHEN text IS NULL THEN 0 ELSE len(string_split(text, chr(10))) END AS INTEGER) AS n_lines,
+  CAST(coalesce(len(lines), 0) AS INTEGER) AS n_dropped
+FROM documents LEFT JOIN p ON md5(text) = text_key
+"""
+
 MIXING_SQL = r"""
 WITH RECURSIVE d AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS size, md5(coalesce(text, '')) AS key
@@ -89,6 +122,12 @@ def op1(spark, sf_dir):
     return vector_dedup.near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
+@query("op2_line_dedup", LINES_SQL)
+def op2(spark, sf_dir):
+    """Every document without the lines whose template recurs across documents."""
+    return line_dedup.drop_recurring_lines(documents(spark, sf_dir)).select("doc_id", "text", "n_lines", "n_dropped")
+
+
 @query("op3_simhash_near_dedup")
 def op3(spark, sf_dir):
     """Fingerprint and component of every document, at 4 or fewer differing bits."""
