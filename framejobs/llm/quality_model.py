@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, functions as F
 
 BUCKETS = 1 << 18
 #: About this many rated documents of each grade train the model (a documented bound; drawn by hash of the id).
-RATED_PER_GRADE = 4000
+RATED_PER_GRADE = 3000
 EDGES = re.compile(r"^\W+|\W+$")
 _words: dict[str, tuple[int, ...]] = {}
 
@@ -153,7 +153,7 @@ def rated_sample(docs: DataFrame, ratings: DataFrame, per_grade: int, id_col: st
         chance = F.when(F.col("grade") == grade, F.lit(per_grade / n)).otherwise(chance)
     drawn = rated.where(F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1 << 30)) < chance * (1 << 30))
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return texts.join(drawn, "doc_id")
+    return texts.join(F.broadcast(drawn), "doc_id")  # at most about per_grade rows of each grade
 
 
 def train(
