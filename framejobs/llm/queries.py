@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from framejobs.llm import line_dedup, mixing, packing, quality_model, quality_rules, simhash, token_files, vector_dedup
+from framejobs.llm import line_dedup, mixing, packing, passages, quality_model, quality_rules, simhash, token_files, vector_dedup
 from framejobs.llm.common import prepare
 from framejobs.session import checkpoint_dir
 
@@ -168,3 +168,9 @@ def op7(spark, sf_dir):
     docs = documents(spark, sf_dir)
     ratings = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", F.col("quality").alias("grade"))
     return quality_rules.judge(docs, quality_rules.train(docs, ratings))
+
+
+@query("op8_suffix_dedup")
+def op8(spark, sf_dir):
+    """Passages of 50 words or more of every document that stand elsewhere too."""
+    return passages.repeated_passages(documents(spark, sf_dir))
