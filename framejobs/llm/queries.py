@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from framejobs.llm import line_dedup, mixing, packing, passages, quality_model, quality_rules, simhash, token_files, vector_dedup
+from framejobs.llm import line_dedup, mixing, packing, passages, preferences, quality_model, quality_rules, simhash, token_files, vector_dedup
 from framejobs.llm.common import prepare
 from framejobs.session import checkpoint_dir
 
@@ -74,6 +74,35 @@ SELECT doc_id,
 FROM documents LEFT JOIN p ON md5(text) = text_key
 """
 
+PREFERENCES_SQL = r"""
+WITH l AS (SELECT conv_id, max(ROW(turn, text)) AS last FROM conversations WHERE role = 'assistant' AND conv_id IS NOT NULL GROUP BY conv_id),
+w AS (SELECT a.conv_id, a.last[1] AS last_turn, b.last[2] AS answer FROM l a JOIN l b ON b.conv_id = xor(a.conv_id, 1)),
+s AS (
+  SELECT conv_id, 'c' AS side, turn, role, text FROM conversations JOIN w USING (conv_id)
+  UNION ALL
+  SELECT conv_id, 'r', turn, role, CASE WHEN turn = last_turn AND role = 'assistant' THEN answer ELSE text END
+  FROM conversations JOIN w USING (conv_id) WHERE turn < last_turn OR (turn = last_turn AND role = 'assistant')),
+n AS (SELECT conv_id, side, coalesce(role, '') AS role, coalesce(text, '') AS text,
+        row_number() OVER (PARTITION BY conv_id, side ORDER BY turn, role, text) AS place FROM s),
+c AS (
+  SELECT conv_id, min(place) - 1 AS n_common FROM (
+    SELECT conv_id, place FROM n GROUP BY conv_id, place HAVING count(*) < 2 OR min(ROW(role, text)) <> max(ROW(role, text))
+    UNION ALL SELECT conv_id, max(place) + 1 FROM n GROUP BY conv_id) GROUP BY conv_id),
+t AS (
+  SELECT n.*, n_common, '<|' || replace(role, '<|', '< |') || '|>' || chr(10) AS head, replace(text, '<|', '< |') || '<|end|>' AS body
+  FROM n JOIN c USING (conv_id)),
+o AS (SELECT *, coalesce(sum(length(head) + length(body) + 1) OVER (
+        PARTITION BY conv_id, side, place > n_common ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + length(head) AS start FROM t)
+SELECT conv_id AS pair_id,
+  coalesce(string_agg(head || body || chr(10), '' ORDER BY place) FILTER (side = 'c' AND place <= n_common), '') AS prompt,
+  coalesce(string_agg(head || body || chr(10), '' ORDER BY place) FILTER (side = 'c' AND place > n_common), '') AS chosen,
+  coalesce(string_agg(head || body || chr(10), '' ORDER BY place) FILTER (side = 'r' AND place > n_common), '') AS rejected,
+  coalesce(string_agg(start || '-' || (start + length(body)), ',' ORDER BY place) FILTER (side = 'c' AND place > n_common AND role = 'assistant'), '') AS chosen_spans,
+  coalesce(string_agg(start || '-' || (start + length(body)), ',' ORDER BY place) FILTER (side = 'r' AND place > n_common AND role = 'assistant'), '') AS rejected_spans,
+  any_value(n_common) AS n_common
+FROM o GROUP BY conv_id
+"""
+
 MIXING_SQL = r"""
 WITH RECURSIVE d AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS size, md5(coalesce(text, '')) AS key
@@ -174,3 +203,11 @@ def op7(spark, sf_dir):
 def op8(spark, sf_dir):
     """Passages of 50 words or more of every document that stand elsewhere too."""
     return passages.repeated_passages(documents(spark, sf_dir))
+
+
+@query("op9_preference_format", PREFERENCES_SQL)
+def op9(spark, sf_dir):
+    """Prompt and masked completions of every conversation against one with another answer; spans as start-stop lists."""
+    chosen, rejected = preferences.answer_swaps(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+    text = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws("-", s["start"], s["stop"])), ",")
+    return preferences.format_pairs(chosen, rejected).withColumns({c: text(c) for c in ("chosen_spans", "rejected_spans")})
