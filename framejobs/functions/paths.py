@@ -114,7 +114,7 @@ def _decomposition_tables() -> tuple[str, str, dict[str, str]]:
 
 
 def slugify(value: Column) -> Column:
-    """Lower-case ASCII slug of at most 80 characters; 'item' when nothing is left.
+    """Lower-case ASCII slug for display; 'item' when nothing is left.
 
     ASCII text never reaches the decomposition branch, and no branch leaves the JVM.
     """
@@ -131,7 +131,7 @@ def slugify(value: Column) -> Column:
         .when(single.rlike(wide_class), full)
         .otherwise(single)
     )
-    slug = F.substring(F.btrim(F.regexp_replace(plain, "[^a-z0-9]+", "-"), F.lit("-")), 1, 80)
+    slug = F.btrim(F.regexp_replace(plain, "[^a-z0-9]+", "-"), F.lit("-"))
     return F.when(slug == "", "item").otherwise(slug)
 
 
@@ -188,6 +188,13 @@ def extension_of_mime(mime: Column) -> Column:
     return F.coalesce(F.element_at(table, F.lower(mime)), F.lit("bin"))
 
 
+def stored_mime(name: Column, mime: Column) -> Column:
+    """Type under which an accepted image is stored: the declared one if supported, else that of the extension."""
+    declared = F.lower(mime)
+    return F.when(declared.isin(*vocab.SUPPORTED_MIME_TYPES), declared).otherwise(
+        mime_of_format(F.regexp_replace(file_extension(name), r"\Atif\z", "tiff")))
+
+
 def content_hash(content: Column) -> Column:
     return F.sha2(content, 256)
 

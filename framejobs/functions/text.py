@@ -67,7 +67,7 @@ def dedupe_key(prefix: str, *parts: Column) -> Column:
 def stable_id(prefix: str, *parts: Column) -> Column:
     """Deterministic row id, so that a replayed job writes the same rows."""
     text = F.concat_ws("\x1f", *[F.coalesce(part, F.lit("\x00")) for part in parts])
-    return F.concat(F.lit(prefix + "_"), F.substring(F.sha2(text, 256), 1, 16))
+    return F.concat(F.lit(prefix + "_"), F.sha2(text, 256))
 
 
 def to_payload(**columns: Column) -> Column:
@@ -75,7 +75,17 @@ def to_payload(**columns: Column) -> Column:
 
 
 def _fixed(value: Column, digits: int) -> Column:
-    return F.format_string(f"%.{digits}f", value.cast("double"))
+    """``digits`` decimals of a value of at least zero, halves up by the exact binary value.
+
+    The part below one is scaled by a power of two, which is exact, so the rest is whole-number arithmetic.
+    """
+    number = value.cast("double")
+    part = F.floor((number - F.floor(number)) * 2.0**52).cast("bigint")
+    count = F.floor(number) * 10**digits + F.shiftright(part * (2 * 10**digits) + F.lit(2**52), 53)
+    if digits == 0:
+        return count.cast("string")
+    return F.concat(
+        F.floor(count / 10**digits).cast("string"), F.lit("."), F.lpad((count % 10**digits).cast("string"), digits, "0"))
 
 
 def format_bytes(size: Column) -> Column:

@@ -291,8 +291,11 @@ def _report(df: DataFrame) -> DataFrame:
         _violation(F.col("_span_lost"), "anchor_missing", "warning"),
         _violation(F.col("_too_close"), "max_upscale_clamped", "warning", canvas_h / F.col("_h0") / F.col("t.max_upscale")),
         _violation(F.col("_too_far"), "min_upscale_clamped", "info"),
-        _violation(F.col("_grow1").isNotNull(), "keep_inside_violated", "warning", F.col("_grow1")),
-        _violation(F.col("_grow2").isNotNull(), "keep_inside_violated", "warning", F.col("_grow2")),
+        # Both passes of growth make one entry.
+        _violation(
+            F.coalesce("_grow1", "_grow2").isNotNull(), "keep_inside_violated", "warning",
+            F.coalesce("_grow1", F.lit(1.0)) * F.coalesce("_grow2", F.lit(1.0)),
+        ),
         _violation(
             F.col("_spill"), "crop_overflows_source",
             F.when(F.col("_clamp"), "warning").otherwise("info"),

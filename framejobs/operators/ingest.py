@@ -37,7 +37,9 @@ def group_products(files: DataFrame) -> DataFrame:
     ).withColumn("category", F.when(depth >= 2, P.display_name(F.get(F.col("__parts"), depth - 2))))
     staged = staged.withColumn("product_slug", P.slugify(F.col("product_name"))).drop("__parts")
     return staged.withColumn(
-        "product_id", stable_id("prd", F.col("import_id"), F.col("folder_path"), F.col("product_slug"))
+        "product_id", F.when(
+            F.col("folder_path") == "", stable_id("prd", F.col("import_id"), F.lit(""), F.col("file_name"))
+        ).otherwise(stable_id("prd", F.col("import_id"), F.col("folder_path")))
     )
 
 
@@ -95,7 +97,7 @@ def import_catalog(
     usable = group_products(staged.filter(F.col("skip_reason").isNull() & ~F.col("__failed")))
     kept = distinct_images(usable).withColumn(
         "image_id", stable_id("img", F.col("product_id"), F.col("source_hash"))
-    ).withColumn("storage_key", P.original_key(F.col("source_hash"), F.lit("image/jpeg")))
+    ).withColumn("storage_key", P.original_key(F.col("source_hash"), P.stored_mime(F.col("file_name"), F.col("mime_type"))))
     # Outcomes, products and images all derive from the kept files: write them once, read them back.
     kept = stored(kept.drop("skip_reason", "__failed"))
     numbered = renumber(kept, max_group_rows)
@@ -131,7 +133,7 @@ def scan_summary(files: DataFrame) -> DataFrame:
     """What a picked folder holds before upload: accepted files, products, bytes, skip reasons."""
     grouped = group_products(classify(files))
     accepted = F.col("skip_reason").isNull()
-    product = F.when(accepted, F.struct("folder_path", "product_slug"))
+    product = F.when(accepted, F.col("product_id"))
     return grouped.groupBy("import_id").agg(
         F.count_if(accepted).alias("accepted"),
         F.countDistinct(product).alias("products"),

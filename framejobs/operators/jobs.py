@@ -180,7 +180,7 @@ def cancel_open(jobs: DataFrame, batch_id: str, as_of: datetime) -> DataFrame:
 
 def park(jobs: DataFrame, parked: DataFrame, as_of: datetime) -> DataFrame:
     """Fail the listed jobs (job_id, reason) at once, using up their attempts."""
-    reasons = parked.select("job_id", F.substring("reason", 1, 2000).alias("__reason"))
+    reasons = parked.select("job_id", F.col("reason").alias("__reason"))
     joined = jobs.join(bounded(reasons), "job_id", "left")
     return _rewrite(joined, F.col("__reason").isNotNull(), {
         "status": F.lit("failed"), "error": F.col("__reason"), "attempts": F.col("max_attempts"),

@@ -40,21 +40,25 @@ def with_analysis(images: DataFrame, usable: DataFrame, columns: list[str]) -> D
 
 
 def merge_analyses(current: DataFrame, incoming: DataFrame, failures: DataFrame) -> DataFrame:
-    """Upsert by (hash, version): a success replaces the row, a failure keeps the old payload.
+    """Upsert by (hash, version): status, error and time come from the newest write of any kind, everything else from
+    the newest success. At equal times an incoming success beats a stored row, and a failure beats both.
 
     ``failures`` carries source_hash, engine_version, status, error, created_at.
     """
-    keys = ["source_hash", "engine_version"]
-    from framejobs.sources.tables import merge_by_key
-
-    merged = merge_by_key(current, incoming, keys, F.col("created_at"))
-    failed = last_by(failures, keys, F.col("created_at")).select(
-        *keys, *[F.col(c).alias(f"__{c}") for c in ("status", "error", "created_at")]
+    keys, event = ["source_hash", "engine_version"], ["status", "error", "created_at"]
+    payload = [c for c in current.columns if c not in (*keys, *event)]
+    rows = current.select(*keys, *event, F.lit(0).alias("__kind"), F.struct(*payload).alias("__payload")).unionByName(
+        incoming.select(*keys, *event, F.lit(1).alias("__kind"), F.struct(*payload).alias("__payload"))
+    ).unionByName(failures.select(*keys, *event, F.lit(2).alias("__kind")), allowMissingColumns=True)
+    order = F.struct("created_at", "__kind")
+    merged = rows.groupBy(*keys).agg(
+        F.max_by(F.struct(*event), order).alias("__event"),
+        F.max_by("__payload", F.when(F.col("__kind") < 2, order)).alias("__payload"),
     )
-    joined = merged.join(failed, keys, "full")
-    hit = F.col("__status").isNotNull()
-    replaced = {c: F.when(hit, F.col(f"__{c}")).otherwise(F.col(c)) for c in ("status", "error", "created_at")}
-    return joined.select(*[replaced.get(c, F.col(c)).alias(c) for c in current.columns])
+    return merged.select(*[
+        (F.col(c) if c in keys else F.col(f"__event.{c}") if c in event else F.col(f"__payload.{c}")).alias(c)
+        for c in current.columns
+    ])
 
 
 def version_diff(analyses: DataFrame) -> DataFrame:

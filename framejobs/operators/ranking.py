@@ -60,7 +60,7 @@ def _rank_by_range(df: DataFrame, keys: list[str], order: list[Column], name: st
     condition = reduce(lambda a, b: a & b, same, F.col("l.__part") == F.col("r.__part"))
     return left.join(right, condition).select(
         *[F.col(f"l.`{c}`") for c in columns],
-        (F.col("l.__row") - F.col("r.__first") + F.col("r.__before") + 1).cast("int").alias(name),
+        (F.col("l.__row") - F.col("r.__first") + F.col("r.__before") + 1).cast("bigint").alias(name),
     )
 
 

@@ -12,7 +12,7 @@ from framejobs.operators.ranking import bounded
 
 # Branches per CASE expression; longer rule lists continue in the next expression.
 RULES_PER_CASE = 200
-UNMATCHED = "No rule matched. Add a default rule to cover every product."
+UNMATCHED = "no_rule"
 
 _RULE_SCHEMA = (
     "array<struct<rule_id:string,rule_name:string,match_type:string,operator:string,value:string,"
@@ -88,19 +88,16 @@ def _literal_rules(ordered: list[dict]) -> Column:
 
 
 def explain_rule(rule: Column) -> Column:
-    """Why a rule won, in words; the subject's columns are in scope."""
+    """Which rule won and on what it matched; the subject's columns are in scope."""
     kind = rule["match_type"]
     field = F.lit("")
     for match_type, column in R.SUBJECT_FIELDS.items():
         field = F.when(kind == match_type, F.col(column)).otherwise(field)
     label = F.element_at(F.create_map(*[F.lit(x) for p in vocab.MATCH_TYPE_LABELS.items() for x in p]), kind)
     verb = F.element_at(F.create_map(*[F.lit(x) for p in vocab.OPERATOR_LABELS.items() for x in p]), rule["operator"])
-    general = F.concat(
-        label, F.lit(' "'), F.coalesce(field, F.lit("")), F.lit('" '), verb, F.lit(' "'), rule["value"],
-        F.lit('" (rule "'), rule["rule_name"], F.lit('", priority '), rule["priority"].cast("string"), F.lit(")"),
-    )
-    default = F.concat(F.lit('Default rule "'), rule["rule_name"], F.lit('" — matches every product.'))
-    return F.when(kind == "default", default).otherwise(general)
+    source = F.concat(F.lit("["), rule["priority"].cast("string"), F.lit("] "), rule["rule_name"], F.lit(": "))
+    test = F.concat(label, F.lit(" "), verb, F.lit(" <"), rule["value"], F.lit(">, found <"), F.coalesce(field, F.lit("")), F.lit(">"))
+    return F.concat(source, F.when(kind == "default", "every product").otherwise(test))
 
 
 def route(subjects: DataFrame, rules: DataFrame, unmatched: str = UNMATCHED) -> DataFrame:

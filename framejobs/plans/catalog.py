@@ -131,7 +131,7 @@ def import_counters(spark, sf_dir):
 
 @query("scan_summary", uses=("b_grouped",), sql="""
   SELECT import_id, count(*) FILTER (skip_reason IS NULL) AS accepted,
-    count(DISTINCT CASE WHEN skip_reason IS NULL THEN folder_path || '::' || product_slug END) AS products,
+    count(DISTINCT CASE WHEN skip_reason IS NULL THEN product_id END) AS products,
     coalesce(sum(byte_size) FILTER (skip_reason IS NULL), 0)::bigint AS total_bytes,
     count(*) FILTER (skip_reason = 'system_file') AS system_file, count(*) FILTER (skip_reason = 'empty') AS empty,
     count(*) FILTER (skip_reason = 'too_large') AS too_large,

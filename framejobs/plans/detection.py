@@ -225,8 +225,8 @@ def parse_features(spark, sf_dir):
 
 
 @query("argmax_classes", sql=f"""
-  WITH l AS (SELECT vec_id, (i - 1) % 9 AS cell, (i - 1) // 9 AS class_id, embedding[i]::double AS logit
-    FROM embeddings, range(1, 64) r(i)),
+  WITH l AS (SELECT vec_id, (i - 1) % 8 AS cell, (i - 1) // 8 AS class_id, embedding[i]::double AS logit
+    FROM embeddings, range(1, 65) r(i)),
   m AS (SELECT vec_id, cell, max(logit) AS mx FROM l GROUP BY ALL)
   SELECT 'v' || vec_id AS source_hash, cell, min(class_id) FILTER (logit = mx) AS class_id,
     {S.r('1 / sum(exp(logit - mx))')} AS confidence FROM l JOIN m USING (vec_id, cell) GROUP BY vec_id, cell""")

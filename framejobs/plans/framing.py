@@ -130,7 +130,7 @@ _VIOLATION_CASES = (
     ("span_lost", "anchor_missing", "warning", None),
     ("too_close", "max_upscale_clamped", "warning", "ch / h0 / max_up"),
     ("too_far", "min_upscale_clamped", "info", None),
-    ("g1 IS NOT NULL OR g2 IS NOT NULL", "keep_inside_violated", "warning", None),
+    ("g1 IS NOT NULL OR g2 IS NOT NULL", "keep_inside_violated", "warning", "coalesce(g1, 1.0) * coalesce(g2, 1.0)"),
     ("over AND policy = 'allow'", "crop_overflows_source", "info", None),
     ("over AND policy = 'clamp' AND (w3 >= iw OR h3 >= ih)", "crop_overflows_source", "warning", None),
     ("over AND policy = 'shrink' AND total < 0.999", "crop_shrunk_to_fit", "warning", "total"),
@@ -145,15 +145,12 @@ _VIOLATIONS = " UNION ALL ".join(
 )
 
 
-@query("framing_violations", uses=("framed",), sql=f"SELECT DISTINCT * FROM ({_VIOLATIONS})")
+@query("framing_violations", uses=("framed",), sql=_VIOLATIONS)
 def framing_violations(spark, sf_dir):
-    # A second growth of rounding size may repeat a code, so the comparison is on distinct entries
-    # and leaves out the amount of growth.
     v = framed_all(spark, sf_dir).select("source_hash", "template_id", F.explode("violations").alias("v"))
-    amount = F.when(F.col("v.code") != "keep_inside_violated", F.col("v.magnitude"))
     return v.select(
-        "source_hash", "template_id", "v.code", "v.severity", G.round_to(amount).alias("magnitude")
-    ).distinct()
+        "source_hash", "template_id", "v.code", "v.severity", G.round_to(F.col("v.magnitude")).alias("magnitude")
+    )
 
 
 @query("strategy_report", uses=("framed",), sql="""

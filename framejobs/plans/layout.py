@@ -248,8 +248,11 @@ def content_addressed_store(spark, sf_dir):
 
 
 @query("storage_cells", uses=("b_media",), sql="""
-  SELECT root, CASE WHEN b < 1048576 THEN floor(b / 1024.0 + 0.5)::bigint || ' KB' ELSE printf('%.1f MB', b / 1048576.0) END AS size_text
-  FROM (SELECT root, sum(size) AS b FROM b_media WHERE root IN ('derived', 'originals') GROUP BY 1)""")
+  SELECT root, CASE WHEN b < 1048576 THEN floor(b / 1024.0 + 0.5)::bigint || ' KB'
+      WHEN b < 1073741824 THEN (floor(b * 10 / 1048576.0 + 0.5)::bigint // 10) || '.' || (floor(b * 10 / 1048576.0 + 0.5)::bigint % 10) || ' MB'
+      ELSE (floor(b * 100 / 1073741824.0 + 0.5)::bigint // 100) || '.' || lpad((floor(b * 100 / 1073741824.0 + 0.5)::bigint % 100)::varchar, 2, '0') || ' GB'
+      END AS size_text
+  FROM (SELECT coalesce(root, 'total') AS root, sum(size)::bigint AS b FROM b_media GROUP BY ROLLUP (root))""")
 def storage_cells(spark, sf_dir):
-    usage = hygiene.storage_usage(B.media_listing(spark, sf_dir).filter("root IN ('derived', 'originals')"))
-    return usage.filter("root <> 'total'").select("root", X.format_bytes(F.col("bytes")).alias("size_text"))
+    usage = hygiene.storage_usage(B.media_listing(spark, sf_dir))
+    return usage.select("root", X.format_bytes(F.col("bytes")).alias("size_text"))

@@ -198,10 +198,10 @@ def merge_creatives(spark, sf_dir):
   SELECT c.creative_id, coalesce(p.name, '—') AS product_name, coalesce(t.name, c.template_id) AS template_name,
     used_fallback, len(violations) AS violations, true AS has_more
   FROM (SELECT * FROM b_creatives ORDER BY created_at DESC, creative_id LIMIT 200 OFFSET 40) c
-  LEFT JOIN (SELECT 'prd_' || p_partkey AS product_id, p_name AS name FROM part WHERE p_partkey < 200) p USING (product_id)
+  LEFT JOIN (SELECT 'prd_' || p_partkey AS product_id, p_name AS name FROM part) p USING (product_id)
   LEFT JOIN b_templates t ON t.template_id = c.template_id AND t.template_id <> 'tpl_5'""")
 def list_creatives(spark, sf_dir):
-    products = B.table(spark, sf_dir, "part").filter("p_partkey < 200").select(
+    products = B.table(spark, sf_dir, "part").select(
         F.concat(F.lit("prd_"), F.col("p_partkey").cast("string")).alias("product_id"), F.col("p_name").alias("product_name")
     )
     shown = lookup.page(B.creatives(spark, sf_dir), [F.desc("created_at"), F.asc("creative_id")], 200, 40)
@@ -247,18 +247,19 @@ def storage_usage(spark, sf_dir):
 cte("b_doc_images", """
   SELECT sha256(text) AS source_hash, doc_id, 'img_' || doc_id AS image_id, 'prd_' || (doc_id % 40) AS product_id,
     'imp_' || (doc_id % 4) AS import_id,
-    substr(sha256(text),1,2) || '/' || substr(sha256(text),3,2) || '/' || sha256(text) || '.jpg' AS storage_key
-  FROM documents WHERE doc_id % 8 <> 3""")
+    substr(sha256(text),1,2) || '/' || substr(sha256(text),3,2) || '/' || sha256(text) ||
+      CASE WHEN doc_id % 6 = 0 THEN '.png' ELSE '.jpg' END AS storage_key
+  FROM documents""")
 
 
 def doc_images(spark, sf_dir):
     n, h = F.col("doc_id"), F.col("source_hash")
-    docs = B.table(spark, sf_dir, "documents").filter("doc_id % 8 <> 3")
+    docs = B.table(spark, sf_dir, "documents")
     return docs.select(n, F.sha2("text", 256).alias("source_hash")).select(
         n, h, F.concat(F.lit("img_"), n.cast("string")).alias("image_id"),
         F.concat(F.lit("prd_"), (n % 40).cast("string")).alias("product_id"),
         F.concat(F.lit("imp_"), (n % 4).cast("string")).alias("import_id"),
-        P.original_key(h, F.lit("image/jpeg")).alias("storage_key"),
+        P.original_key(h, F.when(n % 6 == 0, "image/png").otherwise("image/jpeg")).alias("storage_key"),
     )
 
 
@@ -417,12 +418,14 @@ def archive_name_clashes(spark, sf_dir):
     CASE WHEN p_size * p_partkey < 60 THEN (p_size * p_partkey) || 's' WHEN p_size * p_partkey < 3600
       THEN (p_size * p_partkey // 60) || 'm ' || (p_size * p_partkey % 60) || 's'
       ELSE (p_size * p_partkey // 3600) || 'h ' || ((p_size * p_partkey // 60) % 60) || 'm' END AS seconds_text,
-    CASE WHEN p_partkey < 1000 THEN p_partkey || 'ms' WHEN p_partkey < 60000 THEN printf('%.1fs', p_partkey / 1000.0) END
-      AS duration_text,
+    CASE WHEN p_partkey < 1000 THEN p_partkey || 'ms'
+      WHEN p_partkey < 60000 AND p_partkey % 125 = 0 THEN printf('%d.%ds', (p_partkey + 50) // 1000, (p_partkey + 50) // 100 % 10)
+      WHEN p_partkey < 60000 THEN printf('%.1fs', p_partkey / 1000.0)
+      ELSE (p_partkey // 60000) || 'm ' || floor(p_partkey % 60000 / 1000.0 + 0.5)::bigint || 's' END AS duration_text,
     p_size || '%' AS percent_text, upper(substr(p_type, 1, 1)) || substr(p_type, 2) AS type_text
-  FROM part WHERE p_partkey % 100 <> 50""")
+  FROM part""")
 def report_cells(spark, sf_dir):
-    part = B.table(spark, sf_dir, "part").filter("p_partkey % 100 <> 50")
+    part = B.table(spark, sf_dir, "part")
     n = F.col("p_size").cast("long") * F.col("p_partkey")
     return part.select(
         "p_partkey", X.format_bytes(n).alias("bytes_text"), X.format_seconds(n).alias("seconds_text"),
@@ -443,18 +446,23 @@ def work_lists(spark, sf_dir):
 
 
 @query("age_text", sql=f"""
-  SELECT o_orderkey, CASE WHEN d < 30 THEN CASE WHEN h < 24 THEN h || CASE WHEN h = 1 THEN ' hour ago' ELSE ' hours ago' END
-      ELSE d || CASE WHEN d = 1 THEN ' day ago' ELSE ' days ago' END END ELSE strftime(o_orderdate, '%Y-%m-%d') END AS age,
-    epoch_ms({_NOW}) - epoch_ms(o_orderdate) AS elapsed_ms
-  FROM (SELECT *, floor(h / 24.0 + 0.5)::bigint AS d FROM (SELECT *, floor(floor(greatest(0, epoch({_NOW}) - epoch(o_orderdate))
-    / 60.0 + 0.5) / 60.0 + 0.5)::bigint AS h FROM orders WHERE o_orderdate < {_NOW} - INTERVAL 2 HOUR))""")
+  SELECT o_orderkey, CASE WHEN s < 45 THEN 'just now' WHEN s < 90 THEN 'a minute ago' WHEN m < 60 THEN m || ' minutes ago'
+      WHEN h < 24 THEN h || CASE WHEN h = 1 THEN ' hour ago' ELSE ' hours ago' END
+      WHEN d < 30 THEN d || CASE WHEN d = 1 THEN ' day ago' ELSE ' days ago' END
+      ELSE strftime(placed, '%Y-%m-%d') END AS age,
+    epoch_ms({_NOW}) - epoch_ms(placed) AS elapsed_ms
+  FROM (SELECT *, floor(h / 24.0 + 0.5)::bigint AS d FROM (SELECT *, floor(m / 60.0 + 0.5)::bigint AS h FROM (
+    SELECT *, floor(s / 60.0 + 0.5)::bigint AS m FROM (
+      SELECT *, floor(greatest(0, epoch_ms({_NOW}) - epoch_ms(placed)) / 1000.0 + 0.5)::bigint AS s FROM (
+        SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 0 THEN o_orderdate::timestamp
+          ELSE {_NOW} - to_milliseconds((o_orderkey * 7919) % 9000000) END AS placed FROM orders)))))""")
 def age_text(spark, sf_dir):
-    now = F.lit(AS_OF).cast("timestamp")
-    orders = B.table(spark, sf_dir, "orders").withColumn("o_orderdate", F.col("o_orderdate").cast("timestamp"))
-    old = orders.filter(F.col("o_orderdate") < now - F.expr("INTERVAL 2 HOURS"))
-    return old.select(
-        "o_orderkey", X.time_ago(F.col("o_orderdate"), now).alias("age"),
-        X.elapsed_ms(F.col("o_orderdate"), now).alias("elapsed_ms"),
+    """Ages of all orders; three in four are placed within hours of the report, so every wording occurs."""
+    now, k = F.lit(AS_OF).cast("timestamp"), F.col("o_orderkey")
+    recent = F.timestamp_millis(F.unix_millis(now) - (k * 7919) % 9000000)
+    at = F.when(k % 4 == 0, F.col("o_orderdate").cast("timestamp")).otherwise(recent)
+    return B.table(spark, sf_dir, "orders").select(k, at.alias("at")).select(
+        "o_orderkey", X.time_ago(F.col("at"), now).alias("age"), X.elapsed_ms(F.col("at"), now).alias("elapsed_ms"),
     )
 
 

@@ -25,7 +25,7 @@ DISPLAY = (
 )
 SLUG = (
     "CASE WHEN regexp_replace(lower({0}), '[^a-z0-9]+', '', 'g') = '' THEN 'item' ELSE "
-    "substr(trim(regexp_replace(lower({0}), '[^a-z0-9]+', '-', 'g'), '-'), 1, 80) END"
+    "trim(regexp_replace(lower({0}), '[^a-z0-9]+', '-', 'g'), '-') END"
 )
 SHOTS, GARMENTS = sql_list(vocab.SHOT_TYPES), sql_list(vocab.GARMENT_TYPES)
 AT = "(TIMESTAMP '2024-01-01 00:00:00' + to_minutes(({0})::bigint))"
@@ -60,7 +60,7 @@ cte("b_classified", """
 
 cte("b_grouped", f"""
   SELECT *, {SLUG.format('product_name')} AS product_slug,
-    'prd_' || substr(sha256(import_id || chr(31) || folder_path || chr(31) || {SLUG.format('product_name')}), 1, 16)
+    'prd_' || sha256(import_id || chr(31) || folder_path || CASE WHEN folder_path = '' THEN chr(31) || file_name ELSE '' END)
       AS product_id
   FROM (
     SELECT *, CASE WHEN folder_path = '' THEN {DISPLAY.format('file_name')}
@@ -71,7 +71,7 @@ cte("b_grouped", f"""
                   regexp_extract(norm, '^(.*)/[^/]*$', 1) AS folder_path FROM b_classified)))""", ("b_classified",))
 
 cte("b_kept", """
-  SELECT *, 'img_' || substr(sha256(product_id || chr(31) || source_hash), 1, 16) AS image_id
+  SELECT *, 'img_' || sha256(product_id || chr(31) || source_hash) AS image_id
   FROM b_grouped WHERE skip_reason IS NULL
   QUALIFY row_number() OVER (PARTITION BY product_id, source_hash ORDER BY arrival) = 1""", ("b_grouped",))
 
@@ -97,7 +97,8 @@ cte("b_images", f"""
       - 1 AS position,
     CASE WHEN EXISTS (SELECT 1 FROM b_analyses a WHERE a.source_hash = k.source_hash AND a.engine_version = '2.0'
          AND a.status = 'ready') THEN 'ready' ELSE 'pending' END AS vision_status,
-    substr(source_hash, 1, 2) || '/' || substr(source_hash, 3, 2) || '/' || source_hash || '.jpg' AS storage_key
+    substr(source_hash, 1, 2) || '/' || substr(source_hash, 3, 2) || '/' || source_hash ||
+      CASE WHEN mime_type = 'image/jpeg' THEN '.jpg' ELSE '.' || lower(regexp_extract(file_name, '\\.([A-Za-z]+)$', 1)) END AS storage_key
   FROM b_kept k""", ("b_kept", "b_analyses"))
 
 cte("b_products", """
@@ -146,7 +147,7 @@ cte("b_batches", """
   SELECT 'bat_' || c_custkey AS batch_id, 'Batch ' || c_mktsegment AS name,
     CASE c_custkey % 10 WHEN 3 THEN 'cancelled' WHEN 4 THEN 'running' ELSE 'queued' END AS status,
     CASE WHEN c_custkey % 3 = 0 THEN TIMESTAMP '1995-01-01 00:00:00' END AS started_at
-  FROM customer WHERE c_custkey < 60""")
+  FROM customer""")
 
 cte("b_creative_events", """
   SELECT 'crt_' || l_orderkey || '_' || l_linenumber AS creative_id, 'img_' || l_partkey AS image_id,

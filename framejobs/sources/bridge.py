@@ -123,7 +123,7 @@ def jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Batches from customers: also some without any job."""
-    cust = table(spark, sf_dir, "customer").filter(F.col("c_custkey") < 60)
+    cust = table(spark, sf_dir, "customer")
     k = F.col("c_custkey")
     return cust.select(
         F.concat(F.lit("bat_"), k.cast("string")).alias("batch_id"),
@@ -309,13 +309,13 @@ def parses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def logits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Long-form class scores: nine cells of seven classes per embedding."""
+    """Long-form class scores: eight cells of eight classes per embedding."""
     emb = table(spark, sf_dir, "embeddings")
     return emb.select(
         F.concat(F.lit("v"), F.col("vec_id").cast("string")).alias("source_hash"),
         F.posexplode("embedding").alias("i", "value"),
-    ).filter(F.col("i") < 63).select(
-        "source_hash", (F.col("i") % 9).alias("cell"), F.floor(F.col("i") / 9).cast("int").alias("class_id"),
+    ).select(
+        "source_hash", (F.col("i") % 8).alias("cell"), F.floor(F.col("i") / 8).cast("int").alias("class_id"),
         F.col("value").cast("double").alias("logit"),
     )
 

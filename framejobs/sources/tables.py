@@ -76,21 +76,38 @@ def merge_by_key(current: DataFrame, incoming: DataFrame, keys: list[str], order
 def upsert(df: DataFrame, path: str, keys: list[str], order: Column) -> str:
     """Overwrite on key: the merged table is written beside the old one, then swapped in by rename."""
     spark = df.sparkSession
+    recover(spark, path)
     if not exists(spark, path):
         last_by(df, keys, order).write.parquet(path)
         return path
     merged = merge_by_key(spark.read.parquet(path), df, keys, order)
     merged.write.mode("overwrite").parquet(path + "__next")
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    target, fresh, old = (jvm.org.apache.hadoop.fs.Path(p) for p in (path, path + "__next", path + "__old"))
-    fs = target.getFileSystem(conf)
-    fs.delete(old, True)
+    fs, target, fresh, old = _swap_paths(spark, path)
     fs.rename(target, old)
     fs.rename(fresh, target)
     fs.delete(old, True)
     return path
 
 
+def _swap_paths(spark: SparkSession, path: str):
+    paths = [spark._jvm.org.apache.hadoop.fs.Path(path + suffix) for suffix in ("", "__next", "__old")]
+    return paths[0].getFileSystem(spark._jsc.hadoopConfiguration()), *paths
+
+
+def recover(spark: SparkSession, path: str) -> None:
+    """Finish or undo a swap that a crash cut short; call before reading a table that ``upsert`` writes.
+
+    The old table goes only once the new one stands in its place, so without a table the old one is put back.
+    """
+    fs, target, fresh, old = _swap_paths(spark, path)
+    if fs.exists(old):
+        if fs.exists(target):
+            fs.delete(old, True)
+        else:
+            fs.rename(old, target)
+    fs.delete(fresh, True)
+
+
 def parse_payload(raw: Column, schema: str, default: Column | None = None) -> Column:
     """JSON text as a struct; null, empty or broken text gives the default.
 

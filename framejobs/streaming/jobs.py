@@ -16,6 +16,7 @@ from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.types import IntegerType, StructField, StructType
 
 from framejobs import vocab
+from framejobs.functions.text import stable_id
 from framejobs.operators import ingest
 from framejobs.sources.tables import append_new, upsert
 
@@ -50,7 +51,7 @@ def stream_import(files: DataFrame, target: str, checkpoint: str) -> StreamingQu
 def finalise_import(spark: SparkSession, target: str) -> DataFrame:
     """Number the shots of everything that landed, independent of the order it landed in."""
     images = spark.read.parquet(f"{target}/images").withColumn(
-        "image_id", F.concat(F.lit("img_"), F.substring(F.sha2(F.concat_ws("/", "product_id", "source_hash"), 256), 1, 16))
+        "image_id", stable_id("img", F.col("product_id"), F.col("source_hash"))
     )
     return ingest.renumber(images)
 
@@ -109,7 +110,7 @@ class JobMachine(StatefulProcessor):
             s.update(status="completed", error=None, updated_at=ts)
         elif event == "fail":
             again = s["attempts"] < s["max_attempts"]
-            s.update(status="pending" if again else "failed", error=(detail or "failed")[:2000], updated_at=ts)
+            s.update(status="pending" if again else "failed", error=detail or "failed", updated_at=ts)
             if again:
                 s.update(heartbeat_at=None)
         elif event in ("defer", "defer_refund"):
@@ -118,7 +119,7 @@ class JobMachine(StatefulProcessor):
             if event == "defer_refund":
                 s.update(attempts=max(0, s["attempts"] - 1))
         elif event == "park":
-            s.update(status="failed", attempts=s["max_attempts"], error=(detail or "parked")[:2000], updated_at=ts)
+            s.update(status="failed", attempts=s["max_attempts"], error=detail or "parked", updated_at=ts)
         elif event == "retry" and s["status"] in ("failed", "cancelled"):
             s.update(status="pending", attempts=0, error=None, heartbeat_at=None, updated_at=ts)
         elif event == "cancel" and s["status"] in ("pending", "claimed"):
