@@ -27,11 +27,34 @@ def events(spark, sf_dir):
     )
 
 
+PIECES = 6
+
+
+def in_pieces(spark, sf_dir, ordered=False):
+    """The event table as a stream of six files, one a trigger: dealt by hash, or one after the other in event time."""
+    base = f"{checkpoint_dir(spark)}/events-{uuid.uuid4().hex}"
+    table = B.job_events(spark, sf_dir).select("job_id", "event", "ts", "event_id")
+    if ordered:
+        low, high = (r.timestamp() for r in table.agg(F.min("ts"), F.max("ts")).head())
+        step = (high - low) / PIECES
+        piece = F.least(F.lit(PIECES - 1), F.floor((F.col("ts").cast("double") - low) / step).cast("int"))
+    else:
+        piece = F.pmod(F.xxhash64("event_id"), F.lit(PIECES)).cast("int")
+    placed = table.withColumn("piece", piece)
+    for number in range(PIECES):  # files are read in the order in which they were written
+        placed.where(F.col("piece") == number).drop("piece").coalesce(1).write.mode("append").parquet(base)
+    return spark.readStream.schema(table.schema).option("maxFilesPerTrigger", 1).parquet(base)
+
+
+# The pieces are dealt by hash, so disorder reaches over the whole table: thirty days.
+DISORDER = "60 days"
+
+
 @query("stream_throughput", uses=("b_job_events",), sql="""
   SELECT epoch(time_bucket(INTERVAL 6 HOUR, ts))::bigint AS start, event, count(*) AS n FROM b_job_events GROUP BY ALL""")
 def stream_throughput(spark, sf_dir):
     # Update mode: the last count of a window is the final one, also for windows still open.
-    out = SJ.run_to_table(SJ.stream_throughput(events(spark, sf_dir), "6 hours"), checkpoint_dir(spark), "update")
+    out = SJ.run_to_table(SJ.stream_throughput(in_pieces(spark, sf_dir), "6 hours", watermark=DISORDER), checkpoint_dir(spark), "update")
     return last_by(out, ["start", "event"], F.struct("epoch", "n")).select(
         F.unix_seconds("start").alias("start"), "event", "n"
     )
@@ -42,7 +65,7 @@ def stream_throughput(spark, sf_dir):
     SELECT event, time_bucket(INTERVAL 3 HOUR, ts) - to_hours(k * 3) AS w FROM b_job_events, (VALUES (0), (1), (2), (3)) t(k))
   GROUP BY ALL""")
 def stream_smoothed_rate(spark, sf_dir):
-    stream = SJ.stream_throughput(events(spark, sf_dir), "12 hours", "3 hours")
+    stream = SJ.stream_throughput(in_pieces(spark, sf_dir), "12 hours", "3 hours", DISORDER)
     out = SJ.run_to_table(stream, checkpoint_dir(spark), "update")
     return last_by(out, ["start", "event"], F.struct("epoch", "n")).select(
         F.unix_seconds("start").alias("start"), "event", "n"
@@ -57,32 +80,34 @@ def stream_smoothed_rate(spark, sf_dir):
   GROUP BY job_id, session""")
 def stream_bursts(spark, sf_dir):
     # Complete mode also shows the sessions the watermark has not closed yet; the last epoch holds all.
-    out = SJ.run_to_table(SJ.stream_bursts(events(spark, sf_dir), "4 hours"), checkpoint_dir(spark), "complete")
+    out = SJ.run_to_table(SJ.stream_bursts(in_pieces(spark, sf_dir), "4 hours", DISORDER), checkpoint_dir(spark), "complete")
     final = out.join(F.broadcast(out.agg(F.max("epoch").alias("epoch"))), "epoch", "left_semi")
     return final.select("job_id", F.unix_micros("start").alias("start_us"), "n")
 
 
 @query("stream_requests", uses=("b_job_events",), sql="SELECT DISTINCT job_id || ':' || event AS dedupe_key FROM b_job_events")
 def stream_requests(spark, sf_dir):
-    requests = events(spark, sf_dir).withColumn("dedupe_key", F.concat_ws(":", "job_id", "event"))
-    return SJ.run_to_table(SJ.stream_requests(requests, "60 days"), checkpoint_dir(spark)).select("dedupe_key")
+    requests = in_pieces(spark, sf_dir).withColumn("dedupe_key", F.concat_ws(":", "job_id", "event"))
+    return SJ.run_to_table(SJ.stream_requests(requests, DISORDER), checkpoint_dir(spark)).select("dedupe_key")
 
 
 cte("b_walk", """
   WITH RECURSIVE o AS (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY epoch_ms(ts), event_id) AS i FROM b_job_events),
   w AS (
-    SELECT DISTINCT job_id, 0::bigint AS i, 'pending' AS status, 0 AS attempts FROM o
+    SELECT DISTINCT job_id, 0::bigint AS i, 'pending' AS status, 0 AS attempts, NULL::bigint AS beat FROM o
     UNION ALL
     SELECT w.job_id, o.i, CASE WHEN event = 'claim' AND status = 'pending' THEN 'claimed'
         WHEN event = 'run' AND status IN ('claimed', 'running') THEN 'running' WHEN event = 'complete' THEN 'completed'
         WHEN event = 'fail' THEN CASE WHEN attempts < 3 THEN 'pending' ELSE 'failed' END ELSE status END,
-      CASE WHEN event = 'claim' AND status = 'pending' THEN attempts + 1 ELSE attempts END
+      CASE WHEN event = 'claim' AND status = 'pending' THEN attempts + 1 ELSE attempts END,
+      CASE WHEN event = 'claim' AND status = 'pending' OR event IN ('run', 'heartbeat') AND status IN ('claimed', 'running') THEN epoch_ms(ts)
+        WHEN event = 'fail' AND attempts < 3 THEN NULL ELSE beat END
     FROM w JOIN o ON o.job_id = w.job_id AND o.i = w.i + 1)
-  SELECT job_id, status, attempts FROM w QUALIFY row_number() OVER (PARTITION BY job_id ORDER BY i DESC) = 1""", ("b_job_events",))
+  SELECT job_id, status, attempts, beat FROM w QUALIFY row_number() OVER (PARTITION BY job_id ORDER BY i DESC) = 1""", ("b_job_events",))
 
 
 def job_states(spark, sf_dir):
-    out = SJ.run_to_table(SJ.stream_job_state(events(spark, sf_dir)), checkpoint_dir(spark), "update")
+    out = SJ.run_to_table(SJ.stream_job_state(in_pieces(spark, sf_dir, True)), checkpoint_dir(spark), "update")
     return last_by(out, ["job_id"], F.struct("epoch", "updated_at"))
 
 
@@ -96,7 +121,7 @@ def stream_job_state(spark, sf_dir):
     count(*) FILTER (status = 'failed') AS failed FROM b_walk GROUP BY 1""")
 def stream_batch_rollup(spark, sf_dir):
     base = f"{checkpoint_dir(spark)}/jobs-{uuid.uuid4().hex}"
-    SJ.land_job_state(SJ.stream_job_state(events(spark, sf_dir)), f"{base}/table", f"{base}/state").awaitTermination()
+    SJ.land_job_state(SJ.stream_job_state(in_pieces(spark, sf_dir, True)), f"{base}/table", f"{base}/state").awaitTermination()
     states = spark.read.parquet(f"{base}/table")
     return states.groupBy((F.substring("job_id", 5, 20).cast("long") % 7).alias("batch")).agg(
         F.count(F.lit(1)).alias("total"), F.count_if(F.col("status") == "completed").alias("completed"),
@@ -104,18 +129,24 @@ def stream_batch_rollup(spark, sf_dir):
     )
 
 
-@query("stream_stale")
+@query("stream_stale", uses=("b_walk", "b_job_events"), sql="""
+  SELECT job_id, 'pending' AS status, attempts, true AS stale FROM b_walk
+  WHERE status IN ('claimed', 'running') AND beat + 3600000 < (SELECT max(epoch_ms(ts)) - 60000 FROM b_job_events)""")
 def stream_stale(spark, sf_dir):
     stale = SJ.stream_stale(events(spark, sf_dir), 3_600_000, "1 minute")
     return SJ.run_to_table(stale, checkpoint_dir(spark), "update").select("job_id", "status", "attempts", "stale")
 
 
-@query("stream_import", uses=("b_kept",), sql="SELECT product_id, source_hash FROM b_kept")
+@query("stream_import", uses=("b_images",), sql="SELECT product_id, source_hash, image_id, position, position = 0 AS is_primary FROM b_images")
 def stream_import(spark, sf_dir):
     base = f"{checkpoint_dir(spark)}/import-{uuid.uuid4().hex}"
-    # The listing lands as several files, so the stream sees it in several micro-batches.
+    # The listing lands as several files in order of arrival, so the stream sees it in several micro-batches.
     listing = B.files(spark, sf_dir)
-    listing.repartitionByRange(3, "arrival").sortWithinPartitions("arrival").write.parquet(f"{base}/listing")
+    low, high = listing.agg(F.min("arrival"), F.max("arrival")).head()
+    for number in range(3):
+        part = F.floor((F.col("arrival") - low) * 3 / (high - low + 1)) == number
+        listing.where(part).coalesce(1).write.mode("append").parquet(f"{base}/listing")
     files = spark.readStream.schema(listing.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/listing")
     SJ.stream_import(files, f"{base}/catalogue", f"{base}/state").awaitTermination()
-    return SJ.finalise_import(spark, f"{base}/catalogue").select("product_id", "source_hash")
+    return SJ.finalise_import(spark, f"{base}/catalogue").select(
+        "product_id", "source_hash", "image_id", "position", "is_primary")

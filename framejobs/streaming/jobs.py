@@ -78,7 +78,7 @@ def stream_bursts(events: DataFrame, gap: str, watermark: str = "1 hour") -> Dat
 
 STATE_SCHEMA = (
     "status string, attempts int, max_attempts int, heartbeat_at bigint, available_at bigint, error string, "
-    "updated_at bigint"
+    "updated_at bigint, seen_at bigint"
 )
 STATE_OUTPUT = "job_id string, status string, attempts int, heartbeat_at bigint, error string, updated_at bigint, stale boolean"
 
@@ -88,7 +88,8 @@ class JobMachine(StatefulProcessor):
 
     A claim costs an attempt, a failure returns the job to pending while attempts remain, a deferral
     may refund its attempt, a retry starts afresh. An event-time timer marks a claimed or running job
-    whose worker stays silent. Events of one micro-batch are taken in event-time order.
+    whose worker stays silent. Events of one micro-batch are taken in event-time order; over micro-batches the
+    source must be ordered for each job, and an event older than one of an earlier batch stops the query.
     """
 
     def __init__(self, max_attempts: int = vocab.RETRY_ATTEMPTS, stale_ms: int = vocab.STALE_CLAIM_MS, timers: bool = False):
@@ -132,7 +133,7 @@ class JobMachine(StatefulProcessor):
             return dict(zip([f.split()[0] for f in STATE_SCHEMA.split(", ")], self.state.get()))
         return {
             "status": "pending", "attempts": 0, "max_attempts": self.max_attempts, "heartbeat_at": None,
-            "available_at": None, "error": None, "updated_at": 0,
+            "available_at": None, "error": None, "updated_at": 0, "seen_at": -(2**62),
         }
 
     def _emit(self, key, s: dict, stale: bool) -> pd.DataFrame:
@@ -142,8 +143,11 @@ class JobMachine(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         events = pd.concat(list(rows)).sort_values(["ts_ms", "event_id"], kind="stable")
         s = self._load()
+        if len(events) and int(events["ts_ms"].iloc[0]) < s["seen_at"]:
+            raise ValueError(f"events of {key[0]} arrive out of order")
         for event, ts, detail in zip(events["event"], events["ts_ms"], events["detail"]):
             self._step(s, event, int(ts), None if pd.isna(detail) else str(detail))
+        s["seen_at"] = int(events["ts_ms"].iloc[-1])
         self.state.update(tuple(s.values()))
         if self.timers:
             for timer in self.handle.listTimers():

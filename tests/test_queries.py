@@ -29,5 +29,9 @@ def test_query_matches_sql(spark, con, sf_dir, name):
     assert ok, line
 
 
-def test_every_query_but_the_timer_has_sql():
-    assert set(entry.queries()) - set(entry.oracle_sql()) == {"stream_stale"}
+def test_every_query_has_sql():
+    from framejobs.plans import load_all
+    from framejobs.plans.registry import ORACLES, QUERIES
+
+    load_all()
+    assert set(QUERIES) == set(ORACLES)
