@@ -81,20 +81,24 @@ def token_parts(
         for pdf in batches:
             texts = pdf["text"].tolist()
             for start, stop in slices_of(texts):
-                totals, parts = [], []
+                totals, starts, lengths, sums, kept = [], [], [], [], []
                 for ids in ids_of.encode(texts[start:stop]):
                     raw = ids.tobytes() + int(end_id).to_bytes(4, "little")
                     totals.append(len(raw) // 4)
-                    part = []
-                    for s, n in cuts(totals[-1], capacity):
-                        piece = raw[4 * s:4 * (s + n)]
-                        part.append({"start": s, "length": n, "ids_crc32": zlib.crc32(piece)} | ({"ids": piece} if with_ids else {}))
-                    parts.append(part)
-                yield pd.DataFrame({"doc_id": pdf["doc_id"].iloc[start:stop].to_numpy(), "doc_tokens": totals, "parts": parts})
+                    part = cuts(totals[-1], capacity)
+                    pieces = [raw[4 * s:4 * (s + n)] for s, n in part]
+                    starts.append([s for s, _ in part])
+                    lengths.append([n for _, n in part])
+                    sums.append(list(map(zlib.crc32, pieces)))
+                    kept.append(pieces)
+                out = {"doc_id": pdf["doc_id"].iloc[start:stop].to_numpy(), "doc_tokens": totals, "start": starts, "length": lengths, "ids_crc32": sums}
+                yield pd.DataFrame(out | ({"ids": kept} if with_ids else {}))
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    part = "struct<start:long,length:long,ids_crc32:long" + (",ids:binary>" if with_ids else ">")
-    return rows.mapInPandas(run, f"doc_id long, doc_tokens long, parts array<{part}>")
+    names = ["start", "length", "ids_crc32"] + (["ids"] if with_ids else [])
+    kinds = "start array<long>, length array<long>, ids_crc32 array<long>" + (", ids array<binary>" if with_ids else "")
+    return rows.mapInPandas(run, f"doc_id long, doc_tokens long, {kinds}").select(
+        "doc_id", "doc_tokens", F.arrays_zip(*names).alias("parts"))
 
 
 def pack(

@@ -13,19 +13,27 @@ import os
 import re
 
 import numpy as np
-import regex
 
 PIECE = re.compile(r"[ \n\t\r]*[^ \n\t\r]+|[ \n\t\r]+")
 #: White space other than blank, newline, tab and carriage return, by any of the definitions in use.
 UNUSUAL = re.compile("[^\\S \\n\\t\\r]|[\\x0b\\x0c\\x1c-\\x1f\\x85\u180e\u200b\u2060\ufeff]")
-#: Letters whose classes no Unicode version disputes; other pieces are encoded as they are.
-PLAIN = re.compile("[\\x09\\x0a\\x0d\\x20-\\x7e\\xa1-\u024f]*")
+#: Characters that are letters, digits or neither by any definition in use; other pieces are encoded as they are.
+PLAIN = re.compile("[\\x09\\x0a\\x0d\\x20-\\x7e\\xa1-\\xb1\\xb4-\\xb8\\xba\\xbb\\xbf-\u024f]*")
 #: Fixed value: the cut of byte-level vocabularies that name none of their own.
 BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-CACHE_ENTRIES = 250_000
+CACHE_ENTRIES = 400_000
 RUN = 64
 
 
+def _plain_classes(pattern: str) -> str:
+    """The cut in terms that mean the same for plain characters: a letter is a word character but no digit or ``_``."""
+    for theirs, ours in (
+        (r"[^\s\p{L}\p{N}]", r"(?:[^\s\w]|_)"), (r"[\p{L}]", r"[^\W\d_]"), (r"[\p{N}]", r"\d"), (r"\p{L}", r"[^\W\d_]"), (r"\p{N}", r"\d"),
+    ):
+        pattern = pattern.replace(theirs, ours)
+    return pattern
+
+
 class Ids:
     """Encoder of one vocabulary file; special tokens in a text are ordinary text."""
 
@@ -38,15 +46,17 @@ class Ids:
         with open(path, encoding="utf-8") as file:
             steps = json.load(file)["pre_tokenizer"]
         own = [s["pattern"]["Regex"] for s in steps.get("pretokenizers", []) if s["type"] == "Split"]
-        self.cut = regex.compile(own[0] if own else BYTE_LEVEL).findall
+        self.cut = re.compile(_plain_classes(own[0] if own else BYTE_LEVEL)).findall
         self.normal = self.tokenizer.normalizer
         self.pieces: dict[str, bytes] = {}
         self.parts: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
     def _parts_of(self, piece: str) -> list[str]:
-        if PLAIN.fullmatch(piece) is None:
+        if not piece.isascii() and PLAIN.fullmatch(piece) is None:
             return [piece]
+        if self.normal is None and piece[1:].isalpha() and (piece[0] == " " or piece[0].isalpha()):
+            return [piece]  # one word, the usual case
         if self.normal is not None:
             piece = piece.lower() if piece.isascii() else self.normal.normalize_str(piece)
         return self.cut(piece)
@@ -58,7 +68,7 @@ class Ids:
             self.older, self.pieces = self.pieces, {}
         known = self.parts
         cut = [self._parts_of(p) for p in pieces]
-        new = list({part for parts in cut for part in parts if part not in known})
+        new = list(set().union(*cut) - known.keys()) if cut else []
         # Words that stay one part when they follow each other are encoded as running text, the rest one by one.
         running = [p for p in new if p.lstrip(" ").isalpha() and (p[0] == " " or self.normal is not None)]
         single = [p for p in new if not (p.lstrip(" ").isalpha() and (p[0] == " " or self.normal is not None))]
@@ -68,8 +78,8 @@ class Ids:
             self._keep(lot, coded)
         if single:
             self._keep(single, self.tokenizer.encode(single, is_pretokenized=True, add_special_tokens=False))
-        of = known.__getitem__
-        self.pieces.update((p, b"".join(map(of, parts))) for p, parts in zip(pieces, cut))
+        self.pieces.update([
+            (p, known[parts[0]] if len(parts) == 1 else b"".join([known[x] for x in parts])) for p, parts in zip(pieces, cut)])
 
     def _keep(self, parts: list[str], coded) -> None:
         raw = np.array(coded.ids, dtype="<u4").tobytes()
@@ -82,7 +92,7 @@ class Ids:
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """Ids of each text as little-endian unsigned 32-bit integers; a null text is empty."""
         out: list[np.ndarray | None] = []
-        open_texts, missing = [], {}
+        open_texts, missing = [], set()
         for number, text in enumerate(texts):
             pieces = PIECE.findall(text) if text else []
             found = list(map(self.pieces.get, pieces))
@@ -91,9 +101,9 @@ class Ids:
             except TypeError:  # a piece that is not known yet
                 out.append(None)
                 open_texts.append((number, pieces, found))
-                missing.update((p, None) for p, f in zip(pieces, found) if f is None)
+                missing.update([p for p, f in zip(pieces, found) if f is None])
         if missing:
-            odd = {p for p in missing if UNUSUAL.search(p)}
+            odd = {p for p in missing if PLAIN.fullmatch(p) is None and UNUSUAL.search(p)}
             older = self.older
             back = {p: older[p] for p in missing if p in older}
             self._learn([p for p in missing if p not in odd and p not in back])
