@@ -18,38 +18,38 @@ from framejobs.llm.common import WORD
 from framejobs.session import stored
 
 FIELD = "<*>"
+BLANK = r"[\x20\x09-\x0D]"
 
 
-def masked_tokens(line):
-    """Tokens of a line with digits generalised."""
-    return F.regexp_extract_all(F.regexp_replace(line, "[0-9]+", FIELD), F.lit(f"({WORD})"), 1)
+def _masked_lines(texts: DataFrame) -> DataFrame:
+    """Every line with its digits generalised."""
+    return texts.select("text_key", "doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line")).withColumn(
+        "line", F.regexp_replace("line", "[0-9]+", FIELD))
 
 
-def _line_rows(texts: DataFrame, least_tokens: int, depth: int, with_tokens: bool) -> DataFrame:
-    """One row per line with enough tokens: text key, first id, line number, line key and leaf."""
-    rows = texts.select("text_key", "doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line")).select(
-        "text_key", "doc_id", "line_no", masked_tokens(F.col("line")).alias("tokens")
-    ).where(F.size("tokens") >= least_tokens)
-    key = F.unhex(F.md5(F.concat_ws(" ", "tokens")))
-    leaf = F.unhex(F.md5(F.concat_ws(" ", F.size("tokens").cast("string"), F.slice("tokens", 1, depth))))
-    return rows.select("text_key", "doc_id", "line_no", key.alias("line_key"), leaf.alias("leaf"), *(["tokens"] if with_tokens else []))
+def _line_rows(texts: DataFrame, least_tokens: int, depth: int) -> DataFrame:
+    """One row per line with enough tokens: text key, id, line number, line key and leaf. Only the leading tokens are taken
+    apart here."""
+    rows = _masked_lines(texts).withColumn("n", F.regexp_count("line", F.lit(WORD))).where(F.col("n") >= least_tokens)
+    lead = F.regexp_extract("line", rf"^{BLANK}*({WORD}(?:{BLANK}+{WORD}){{0,{depth - 1}}})", 1)
+    leaf = F.unhex(F.md5(F.concat_ws(" ", F.col("n").cast("string"), F.regexp_replace(lead, f"{BLANK}+", " "))))
+    return rows.select("text_key", "doc_id", "line_no", F.unhex(F.md5("line")).alias("line_key"), leaf.alias("leaf"))
 
 
 def line_templates(texts: DataFrame, lines: DataFrame, depth: int, least_tokens: int, share: int, constant: float) -> DataFrame:
-    """``(line_key, template)`` for the lines whose template differs from themselves.
+    """``(line_key, template)`` for the lines that share their leaf with others and keep enough tokens.
 
     ``share``: a token stays if at least two and one in ``share`` of the leaf's distinct lines have it there.
     """
     distinct = stored(lines.groupBy("line_key", "leaf").agg(F.min(F.struct("text_key", "line_no")).alias("at")))
     leaves = stored(distinct.groupBy("leaf").agg(F.count(F.lit(1)).alias("leaf_lines")).where("leaf_lines > 1"))
-    wanted = stored(distinct.join(leaves, "leaf").select("at.text_key", "at.line_no", "leaf_lines"))
+    wanted = stored(distinct.join(leaves, "leaf").select("line_key", "leaf", "at.text_key", "at.line_no", "leaf_lines"))
     # The tokens of one occurrence of each such line, read again from its text.
     source = texts.join(wanted.select("text_key").distinct(), "text_key", "left_semi")
     rows = stored(
-        _line_rows(source, least_tokens, depth, True)
-        .groupBy("text_key", "line_no").agg(*[F.min(c).alias(c) for c in ("line_key", "leaf", "tokens")])
-        .join(wanted, ["text_key", "line_no"])
-        .select("line_key", "leaf", "leaf_lines", F.posexplode("tokens").alias("place", "token"))
+        _masked_lines(source).select("text_key", "line_no", "line")
+        .join(wanted, ["text_key", "line_no"]).dropDuplicates(["text_key", "line_no"])
+        .select("line_key", "leaf", "leaf_lines", F.posexplode(F.regexp_extract_all("line", F.lit(f"({WORD})"), 1)).alias("place", "token"))
     )
     support = stored(rows.groupBy("leaf", "place", "token").agg(F.count(F.lit(1)).alias("support")))
     stays = (F.col("support") >= 2) & (F.col("support") * share >= F.col("leaf_lines"))
@@ -58,7 +58,7 @@ def line_templates(texts: DataFrame, lines: DataFrame, depth: int, least_tokens:
     whole = marked.groupBy("line_key").agg(
         F.array_sort(F.collect_list(F.struct("place", F.coalesce("kept", F.lit(FIELD)).alias("token")))).alias("tokens"),
         F.sum("stays").alias("stays"), F.count(F.lit(1)).alias("n"),
-    ).where((F.col("stays") < F.col("n")) & (F.col("stays") >= F.col("n") * constant))
+    ).where(F.col("stays") >= F.col("n") * constant)
     template = F.unhex(F.md5(F.concat_ws(" ", F.lit("template"), F.transform("tokens", lambda t: t["token"]))))
     return whole.select("line_key", template.alias("template"))
 
@@ -79,7 +79,7 @@ def drop_recurring_lines(
     texts = marked.where(F.col(text_col).isNotNull()).select(
         F.col("__key").alias("text_key"), F.coalesce(F.col(id_col).cast("long"), F.lit(2**63 - 1)).alias("doc_id"), F.col(text_col).alias("text"))
     lines = stored(
-        _line_rows(texts, least_tokens, depth, False)
+        _line_rows(texts, least_tokens, depth)
         .groupBy("text_key", "line_no", "line_key", "leaf").agg(F.min("doc_id").alias("doc_id"))
     )
     templates = stored(line_templates(texts, lines, depth, least_tokens, share, constant))

@@ -46,9 +46,9 @@ WITH t AS (
   SELECT md5(text) AS text_key, coalesce(doc_id, 9223372036854775807) AS doc_id, string_split(text, chr(10)) AS parts
   FROM documents WHERE text IS NOT NULL),
 x AS (SELECT text_key, doc_id, unnest(parts) AS line, generate_subscripts(parts, 1) - 1 AS line_no FROM t),
-k AS (SELECT text_key, doc_id, line_no, regexp_extract_all(regexp_replace(line, '[0-9]+', '<*>', 'g'), '[^\x20\x09-\x0D]+') AS tokens FROM x),
+k AS (SELECT text_key, doc_id, line_no, regexp_replace(line, '[0-9]+', '<*>', 'g') AS masked, regexp_extract_all(regexp_replace(line, '[0-9]+', '<*>', 'g'), '[^\x20\x09-\x0D]+') AS tokens FROM x),
 l AS MATERIALIZED (
-  SELECT text_key, line_no, min(doc_id) AS doc_id, any_value(tokens) AS tokens, any_value(array_to_string(tokens, ' ')) AS line_key,
+  SELECT text_key, line_no, min(doc_id) AS doc_id, any_value(tokens) AS tokens, any_value(masked) AS line_key,
          any_value(len(tokens) || ' ' || array_to_string(tokens[1:3], ' ')) AS leaf
   FROM k WHERE len(tokens) >= 3 GROUP BY text_key, line_no),
 d AS MATERIALIZED (SELECT line_key, leaf, any_value(tokens) AS tokens FROM l GROUP BY line_key, leaf),
@@ -59,7 +59,7 @@ s AS (SELECT leaf, place, token, count(*) AS support FROM r GROUP BY ALL),
 m AS (SELECT line_key, place, token, support >= 2 AND support * 20 >= leaf_lines AS stays FROM r JOIN s USING (leaf, place, token)),
 g AS (
   SELECT line_key, 'template ' || string_agg(CASE WHEN stays THEN token ELSE '<*>' END, ' ' ORDER BY place) AS template
-  FROM m GROUP BY line_key HAVING NOT bool_and(stays) AND count(*) FILTER (stays) >= count(*) * 0.75),
+  FROM m GROUP BY line_key HAVING count(*) FILTER (stays) >= count(*) * 0.75),
 n AS MATERIALIZED (SELECT text_key, line_no, doc_id, coalesce(template, 'line ' || line_key) AS template FROM l LEFT JOIN g USING (line_key)),
 o AS (
   SELECT template, min(ROW(doc_id, text_key)) AS first FROM (SELECT template, text_key, min(doc_id) AS doc_id FROM n GROUP BY ALL)
