@@ -113,8 +113,8 @@ def _decomposition_tables() -> tuple[str, str, dict[str, str]]:
     return "".join(source) + marks, "".join(target), wide
 
 
-def slugify(value: Column) -> Column:
-    """Lower-case ASCII slug for display; 'item' when nothing is left.
+def slugify(value: Column, longest: int = 80) -> Column:
+    """Lower-case ASCII slug for display, never a key: at most ``longest`` characters; 'item' when nothing is left.
 
     ASCII text never reaches the decomposition branch, and no branch leaves the JVM.
     """
@@ -131,7 +131,7 @@ def slugify(value: Column) -> Column:
         .when(single.rlike(wide_class), full)
         .otherwise(single)
     )
-    slug = F.btrim(F.regexp_replace(plain, "[^a-z0-9]+", "-"), F.lit("-"))
+    slug = F.substring(F.btrim(F.regexp_replace(plain, "[^a-z0-9]+", "-"), F.lit("-")), 1, longest)
     return F.when(slug == "", "item").otherwise(slug)
 
 

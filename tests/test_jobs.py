@@ -1,10 +1,14 @@
 """Operators on small fixtures: golden rows, skew paths against plain paths, properties."""
 
+import os
 import random
 from datetime import datetime, timezone
 
+import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
+from framejobs.functions import paths
 from framejobs.operators import analyze, detect, exports, framing, hygiene, ingest, jobs as J, lookup, ranking, routing
 from framejobs.plans import settings
 from framejobs.sources import bridge as B, media, tables, templates as T
@@ -282,3 +286,62 @@ def test_silent_workers_are_found_by_event_time(spark, tmp_path):
     events = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
     found = run_to_table(stream_stale(events, 3_600_000, "1 minute"), str(tmp_path), "update").collect()
     assert [(r.job_id, r.status, r.stale) for r in found] == [("a", "pending", True)]
+
+
+def test_analysis_merge_follows_time(spark):
+    schema = "source_hash string, engine_version string, status string, error string, created_at int, shot_type string"
+    frame = lambda rows: spark.createDataFrame(rows, schema)
+    current = frame([("a", "1", "ready", None, 1, "old"), ("b", "1", "ready", None, 5, "old"), ("c", "1", "ready", None, 1, "old")])
+    incoming = frame([("a", "1", "ready", None, 9, "new"), ("c", "1", "ready", None, 3, "new")])
+    failures = spark.createDataFrame(
+        [("a", "1", "failed", "early", 2), ("b", "1", "failed", "late", 7), ("c", "1", "failed", "same", 3), ("d", "1", "failed", "only", 1)],
+        "source_hash string, engine_version string, status string, error string, created_at int")
+    got = {r.source_hash: (r.status, r.error, r.created_at, r.shot_type) for r in lookup.merge_analyses(current, incoming, failures).collect()}
+    assert got == {
+        "a": ("ready", None, 9, "new"), "b": ("failed", "late", 7, "old"), "c": ("failed", "same", 3, "new"), "d": ("failed", "only", 1, None)}
+
+
+def test_upsert_survives_a_crash_between_its_renames(spark, tmp_path):
+    path = f"{tmp_path}/t"
+    frame = lambda rows: spark.createDataFrame(rows, "k int, v int")
+    tables.upsert(frame([(1, 1), (2, 1)]), path, ["k"], F.col("v"))
+    os.rename(path, path + "__old")  # the swap had put the table aside and not yet replaced it
+    frame([(9, 9)]).write.parquet(path + "__next")
+    tables.upsert(frame([(2, 5)]), path, ["k"], F.col("v"))
+    assert sorted(map(tuple, spark.read.parquet(path).collect())) == [(1, 1), (2, 5)]
+    assert sorted(os.listdir(tmp_path)) == ["t"]
+
+
+def test_storage_key_follows_the_type(spark):
+    rows = [("a.png", None, "png"), ("a.PNG", "image/jpeg", "jpg"), ("a.tif", "", "tiff"), ("a.webp", "image/gif", "webp"), ("a.jpeg", None, "jpg")]
+    df = spark.createDataFrame(rows, "n string, m string, want string")
+    for r in df.select("want", paths.original_key(F.lit("abcdef"), paths.stored_mime(F.col("n"), F.col("m"))).alias("k")).collect():
+        assert r.k == f"ab/cd/abcdef.{r.want}"
+
+
+def test_root_files_are_products_of_their_own(spark):
+    names = ["日本.jpg", "中国.jpg", "x" * 90 + "1.jpg", "x" * 90 + "2.jpg"]
+    df = spark.createDataFrame([(n, n) for n in names], "relative_path string, file_name string").withColumn("import_id", F.lit("i"))
+    assert ingest.group_products(df).select("product_id").distinct().count() == 4
+
+
+def test_job_log_out_of_order_stops():
+    class Value:
+        row = None
+
+        def exists(self):
+            return self.row is not None
+
+        def get(self):
+            return self.row
+
+        def update(self, row):
+            self.row = row
+
+    machine = JobMachine()
+    machine.state = Value()
+    batch = lambda *ts: iter([pd.DataFrame({"event": "claim", "ts_ms": list(ts), "event_id": list(ts), "detail": None})])
+    list(machine.handleInputRows(("j",), batch(5, 3), None))
+    list(machine.handleInputRows(("j",), batch(5, 9), None))
+    with pytest.raises(ValueError):
+        list(machine.handleInputRows(("j",), batch(8), None))
