@@ -41,15 +41,22 @@ def line_templates(texts: DataFrame, lines: DataFrame, depth: int, least_tokens:
 
     ``share``: a token stays if at least two and one in ``share`` of the leaf's distinct lines have it there.
     """
-    distinct = stored(lines.groupBy("line_key", "leaf").agg(F.min(F.struct("text_key", "line_no")).alias("at")))
+    distinct = stored(lines.groupBy("line_key", "leaf").agg(F.min(F.struct("text_key", "doc_id", "line_no")).alias("at")))
     leaves = stored(distinct.groupBy("leaf").agg(F.count(F.lit(1)).alias("leaf_lines")).where("leaf_lines > 1"))
-    wanted = stored(distinct.join(leaves, "leaf").select("line_key", "leaf", "at.text_key", "at.line_no", "leaf_lines"))
-    # The tokens of one occurrence of each such line, read again from its text.
-    source = texts.join(wanted.select("text_key").distinct(), "text_key", "left_semi")
+    wanted = stored(
+        distinct.join(leaves, "leaf").select("at.text_key", "at.doc_id", F.struct("at.line_no", "line_key", "leaf", "leaf_lines").alias("of"))
+        .groupBy("text_key", "doc_id").agg(F.collect_list("of").alias("wanted"))  # at most the lines of one text
+    )
+    # The tokens of one occurrence of each such line, read again from its text: of copies, the one with the smallest id.
+    once = texts.join(wanted, ["text_key", "doc_id"])
+    if texts.groupBy("text_key", "doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count():
+        once = once.dropDuplicates(["text_key"])  # rows that repeat a document
     rows = stored(
-        _masked_lines(source).select("text_key", "line_no", "line")
-        .join(wanted, ["text_key", "line_no"]).dropDuplicates(["text_key", "line_no"])
-        .select("line_key", "leaf", "leaf_lines", F.posexplode(F.regexp_extract_all("line", F.lit(f"({WORD})"), 1)).alias("place", "token"))
+        once.select(F.split("text", "\n").alias("parts"), "wanted")
+        .select(F.explode(F.transform("wanted", lambda of: F.struct(
+            F.regexp_replace(F.get(F.col("parts"), of["line_no"]), "[0-9]+", FIELD).alias("line"),
+            of["line_key"].alias("line_key"), of["leaf"].alias("leaf"), of["leaf_lines"].alias("leaf_lines")))).alias("of"))
+        .select("of.line_key", "of.leaf", "of.leaf_lines", F.posexplode(F.regexp_extract_all("of.line", F.lit(f"({WORD})"), 1)).alias("place", "token"))
     )
     support = stored(rows.groupBy("leaf", "place", "token").agg(F.count(F.lit(1)).alias("support")))
     stays = (F.col("support") >= 2) & (F.col("support") * share >= F.col("leaf_lines"))
