@@ -34,8 +34,10 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document of each group of near copies: the smallest id, and of rows with that id one row."""
     prepare(spark)
-    kept = stored(simhash.near_duplicates(docs).where("kept").select(F.col("doc_id").alias("__id")).distinct())
-    rows = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__id"))).drop("__id")
+    gone = stored(
+        simhash.near_duplicates(docs).groupBy(F.col("doc_id").alias("__id")).agg(F.bool_or("kept").alias("kept")).where("not kept").select("__id")
+    )
+    rows = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("__id")), "left_anti")
     return rows.dropDuplicates(["doc_id"]) if _repeats(docs) else rows
 
 
