@@ -103,7 +103,8 @@ def drop_recurring_lines(
         .select(F.col("text_key").alias("__key"), F.col("lines").alias("__lines"))
     )
     split = F.split(F.col(text_col), "\n")
-    total = F.when(F.col(text_col).isNull(), 0).otherwise(F.size(split))
+    breaks = F.octet_length(text_col) - F.octet_length(F.replace(F.col(text_col), F.lit("\n"), F.lit("")))
+    total = F.coalesce((breaks + 1).cast("int"), F.lit(0))
     kept = F.array_except(F.sequence(F.lit(0), F.size(split) - 1), F.col("__lines"))
     clean = F.when(F.col("__lines").isNull(), F.col(text_col)).otherwise(
         F.concat_ws("\n", F.transform(kept, lambda i: F.get(split, i))))
