@@ -8,6 +8,7 @@ are those of encoding the whole text. Texts with unusual white space, where the
 
 from __future__ import annotations
 
+import gc
 import json
 import os
 import re
@@ -21,7 +22,7 @@ UNUSUAL = re.compile("[^\\S \\n\\t\\r]|[\\x0b\\x0c\\x1c-\\x1f\\x85\u180e\u200b\u
 PLAIN = re.compile("[\\x09\\x0a\\x0d\\x20-\\x7e\\xa1-\\xb1\\xb4-\\xb8\\xba\\xbb\\xbf-\u024f]*")
 #: Fixed value: the cut of byte-level vocabularies that name none of their own.
 BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 550_000
 RUN = 64
 
 
@@ -124,6 +125,7 @@ def encoder(path: str) -> Ids:
     """The worker's encoder of a vocabulary file, kept between batches."""
     if path not in _encoders:
         _encoders[path] = Ids(path)
+        gc.freeze()  # what is loaded by now lives as long as the worker; the collector need not walk it again
     return _encoders[path]
 
 
