@@ -71,8 +71,9 @@ class Ids:
         cut = [self._parts_of(p) for p in pieces]
         new = list(set().union(*cut) - known.keys()) if cut else []
         # Words that stay one part when they follow each other are encoded as running text, the rest one by one.
-        running = [p for p in new if p.lstrip(" ").isalpha() and (p[0] == " " or self.normal is not None)]
-        single = [p for p in new if not (p.lstrip(" ").isalpha() and (p[0] == " " or self.normal is not None))]
+        running, single = [], []
+        for part in new:
+            (running if self._runs_on(part) else single).append(part)
         glue = "" if self.normal is None else " "
         lots = [running[i:i + RUN] for i in range(0, len(running), RUN)]
         for lot, coded in zip(lots, self.tokenizer.encode_batch([glue.join(lot) for lot in lots], add_special_tokens=False)):
@@ -82,6 +83,11 @@ class Ids:
         self.pieces.update([
             (p, known[parts[0]] if len(parts) == 1 else b"".join([known[x] for x in parts])) for p, parts in zip(pieces, cut)])
 
+    def _runs_on(self, part: str) -> bool:
+        """One plain word, with its blank where the vocabulary keeps blanks."""
+        word = part if self.normal is not None else part[1:]
+        return word.isalpha() and (part is word or part[0] == " ") and (part.isascii() or PLAIN.fullmatch(part) is not None)
+
     def _keep(self, parts: list[str], coded) -> None:
         raw = np.array(coded.ids, dtype="<u4").tobytes()
         ends = (np.searchsorted(np.array(coded.word_ids, dtype=np.int64), np.arange(len(parts) + 1)) * 4).tolist()

@@ -15,7 +15,7 @@ from framejobs.llm.queries import QUERIES
 
 BYTE, WORDS = (public_tokenizers.path(n) for n in ("byte_bpe_50k.json", "word_bpe_49k.json"))
 ODD = [None, "", " ", "\n\n a  b\t\tc \n", "x\xa0 y", "it's I'M we'll", "ΣΑΣ İstanbul", "<|endoftext|> a", "é é", "a b",
-       "x\x1cy \x85 z", "word " * 3000, "日本語 text\r\n", "a​b", "  lead", "trail  "]
+       "x\x1cy \x85 z", "word " * 3000, "日本語 text\r\n", "a​b", "  lead", "trail  ", "  Σ Σ", "a  ² ½b x²y"]
 SCHEMA = "doc_id long, text string, start string"
 
 
