@@ -22,7 +22,7 @@ UNUSUAL = re.compile("[^\\S \\n\\t\\r]|[\\x0b\\x0c\\x1c-\\x1f\\x85\u180e\u200b\u
 PLAIN = re.compile("[\\x09\\x0a\\x0d\\x20-\\x7e\\xa1-\\xb1\\xb4-\\xb8\\xba\\xbb\\xbf-\u024f]*")
 #: Fixed value: the cut of byte-level vocabularies that name none of their own.
 BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-CACHE_ENTRIES = 550_000
+CACHE_ENTRIES = 300_000
 RUN = 64
 
 
