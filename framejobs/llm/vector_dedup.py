@@ -1,15 +1,17 @@
-"""Embedding near-dedup by sorted projection passes.
+"""Embedding near-dedup by buckets of rotated cross-polytope hashes.
 
-Every pass rotates the vectors, turns each into a short string of random hashes, orders all vectors
-lexicographically by it and compares each vector with the ``window`` vectors that follow. Verified pairs of all
-passes are united.
+Every pass rotates the vectors, gives each a short string of random hashes and compares all vectors whose strings are
+equal with each other. Verified pairs of all passes are united.
 
 * Equal vectors are one class from the start (128-bit content hash), so thousands of copies cost one row.
 * A hash symbol is the axis of a rotated vector with the largest magnitude, with its sign (cross-polytope hash):
   2d values, far more selective than sign bits at the same chance of collision.
-* The number of passes follows the row count, so that a pair at the threshold meets with the asked recall.
-* Rows know their place in every pass. A pair counts in the first pass in which it meets, so link counts need no
-  table of pairs: blocks of bounded size emit one count per row and a spanning forest of their links.
+* A bucket is compared whole, however dense: one larger than a tile is cut into tiles, and every pair of tiles is a unit of
+  its own, so no task holds a whole bucket and no pair of a bucket is lost. Whether a pair meets in a pass thus depends on its own two
+  vectors alone, and the number of passes follows from that chance.
+* The length of the strings follows from the measured sizes of the buckets.
+* Rows know their bucket in every pass. A pair counts in the first pass in which it meets, so link counts need no
+  table of pairs: units of bounded size emit one count per row and a spanning forest of their links.
 """
 
 from __future__ import annotations
@@ -18,20 +20,38 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
-from framejobs.llm.common import components, merge_labels, running_totals, spread_join
+from framejobs.llm.common import components, merge_labels
 from framejobs.session import stored
 
+#: Symbols of a hash string at most.
 SYMBOLS = 4
-#: Chance that one hash symbol agrees for two vectors at cosine 0.95 (measured for 16 to 256 dimensions, rounded down).
-AGREE = 0.54
+#: Passes that bucket sizes are measured on.
+MEASURED = 2
+#: Comparisons that cost about as much as moving one row to its bucket.
+ROW_COST = 1000
 
 
-def passes_for(rows: int, window: int, dimension: int, recall: float) -> int:
-    """Passes after which a pair that meets with the chance of one pass has met with chance ``recall``."""
-    depth = max(1, math.ceil(math.log(max(2.0, rows / window)) / math.log(2 * max(2, dimension))))
-    return max(4, math.ceil(math.log(1 - recall) / math.log(1 - AGREE**depth)))
+def agreement(dimension: int, threshold: float) -> float:
+    """Chance that one hash symbol agrees for two vectors at cosine ``threshold``, by simulation, less three standard errors."""
+    if dimension < 2:
+        return 0.999
+    n = max(2000, min(20000, (1 << 23) // dimension))
+    x, y = np.random.default_rng(dimension).standard_normal((2, n, dimension))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    y -= (x * y).sum(axis=1, keepdims=True) * x
+    y /= np.linalg.norm(y, axis=1, keepdims=True)
+    y = threshold * x + math.sqrt(max(0.0, 1 - threshold**2)) * y
+    top, other = np.abs(x).argmax(axis=1), np.abs(y).argmax(axis=1)
+    at = np.arange(n)
+    p = float(((top == other) & ((x[at, top] < 0) == (y[at, other] < 0))).mean())
+    return min(0.999, max(0.01, p - 3 * math.sqrt(p * (1 - p) / n)))
+
+
+def passes_for(depth: int, agree: float, recall: float) -> int:
+    """Passes after which a pair whose strings of ``depth`` symbols agree with chance ``agree ** depth`` has met with chance ``recall``."""
+    return max(4, math.ceil(math.log(1 - recall) / math.log(1 - agree**depth)))
 
 
 def rotation(seed: int, number: int, symbol: int, dimension: int) -> np.ndarray:
@@ -39,61 +59,69 @@ def rotation(seed: int, number: int, symbol: int, dimension: int) -> np.ndarray:
     return np.linalg.qr(gauss)[0]
 
 
-def _signatures(passes: int, seed: int):
+def _codes(passes: int, depth: int, seed: int, every: bool = False):
+    """The hash string of each pass as one number; of each of its beginnings too if ``every``. Numbers that wrap around only
+    merge buckets."""
     def run(batches):
         turned: dict[tuple[int, int, int], np.ndarray] = {}
         for pdf in batches:
             sizes = pdf["embedding"].map(len).to_numpy()
-            out = [[b""] * passes for _ in range(len(pdf))]
+            out = np.empty((len(pdf), passes, depth), dtype=np.int64)
             for d in np.unique(sizes):
                 rows = np.flatnonzero(sizes == d)
                 x = np.stack(pdf["embedding"].to_numpy()[rows]).astype(np.float64)
                 x /= np.abs(x).max(axis=1, keepdims=True)
                 for p in range(passes):
-                    codes = np.empty((len(rows), SYMBOLS + 1), dtype=">u4")
-                    codes[:, 0] = d
-                    for s in range(SYMBOLS):
+                    code = np.full(len(rows), d, dtype=np.int64)
+                    for s in range(depth):
                         key = (p, s, int(d))
                         if key not in turned:
                             turned[key] = rotation(seed, *key)
                         y = x @ turned[key]
                         top = np.abs(y).argmax(axis=1)
-                        codes[:, s + 1] = 2 * top + (y[np.arange(len(y)), top] < 0)
-                    for r, code in zip(rows, codes):
-                        out[r][p] = code.tobytes()
-            yield pd.DataFrame({"rep": pdf["rep"], "signs": out})
+                        code = code * (2 * d) + 2 * top + (y[np.arange(len(y)), top] < 0)
+                        out[rows, p, s] = code
+            yield pdf.assign(codes=list(out.reshape(len(pdf), -1) if every else out[:, :, -1]))
 
     return run
 
 
-def _compare(window: int, threshold: float):
+def depth_for(reps: DataFrame, total: int, agree: float, recall: float, passes: int | None, seed: int) -> int:
+    """Symbols for which moving all rows to their buckets and comparing these costs least, over all passes needed."""
+    if passes is not None:
+        return max([k for k in range(1, SYMBOLS + 1) if passes_for(k, agree, recall) <= passes], default=1)
+    codes = reps.select("rep", "embedding").mapInPandas(
+        lambda batches: (pdf[["codes"]] for pdf in _codes(MEASURED, SYMBOLS, seed, True)(batches)), "codes array<long>")
+    pairs = (
+        codes.select(F.posexplode("codes").alias("at", "code")).groupBy("at", "code").agg(F.count(F.lit(1)).alias("n"))
+        .groupBy((F.col("at") % SYMBOLS + 1).alias("depth")).agg((F.sum(F.col("n").cast("double") * F.col("n")) / MEASURED).alias("pairs"))
+    )
+    cost = {r.depth: passes_for(r.depth, agree, recall) * (total * ROW_COST + r.pairs) for r in pairs.collect()}
+    return min(cost, key=lambda k: (cost[k], k), default=1)
+
+
+def _compare(threshold: float):
     def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        number, block = int(key[0]), int(key[1])
-        pdf = pdf.sort_values("place").reset_index(drop=True)
-        places = np.stack(pdf["places"].to_numpy())
-        place, ids = pdf["place"].to_numpy(), pdf["rep"].to_numpy()
-        copies = pdf["copies"].to_numpy()
+        number, cross = int(key[0]), key[2] != key[3]
+        codes = np.stack(pdf["codes"].to_numpy())
+        ids, copies, side = pdf["rep"].to_numpy(), pdf["copies"].to_numpy(), pdf["side"].to_numpy()
         sizes = pdf["embedding"].map(len).to_numpy()
-        own = int((pdf["block"] == block).sum())
         labels, counts = np.arange(len(pdf)), np.zeros(len(pdf), dtype=np.int64)
         for d in np.unique(sizes):
             rows = np.flatnonzero(sizes == d)
             x = np.stack(pdf["embedding"].to_numpy()[rows]).astype(np.float64)
             x /= np.abs(x).max(axis=1, keepdims=True)
             x /= np.sqrt((x * x).sum(axis=1, keepdims=True))
-            mine = rows < own
-            for start in range(0, int(mine.sum()), 256):
-                near = x[mine][start:start + 256] @ x.T >= threshold
-                i, j = np.nonzero(near)
-                i, j = rows[mine][start:start + 256][i], rows[j]
-                gap = place[j] - place[i]
-                ok = (gap > 0) & (gap <= window)
-                i, j = i[ok], j[ok]
+            for start in range(0, len(rows), 256):
+                i, j = np.nonzero(x[start:start + 256] @ x[start:].T >= threshold)
+                i, j = rows[start + i[i < j]], rows[start + j[i < j]]
+                if cross:
+                    apart = side[i] != side[j]
+                    i, j = i[apart], j[apart]
                 for q in range(number):
-                    new = np.abs(places[i, q] - places[j, q]) > window
+                    new = codes[i, q] != codes[j, q]
                     i, j = i[new], j[new]
-                np.add.at(counts, i, copies[j])
-                np.add.at(counts, j, copies[i])
+                counts += np.bincount(i, copies[j], len(pdf)).astype(np.int64) + np.bincount(j, copies[i], len(pdf)).astype(np.int64)
                 labels = merge_labels(labels, i, j)
         linked, child = np.flatnonzero(counts), np.flatnonzero(labels != np.arange(len(pdf)))
         return pd.DataFrame({
@@ -114,9 +142,9 @@ def near_duplicates(
     Compares all rows, whatever their other columns, by cosine in double precision. Null, empty or zero vectors and
     those with null or non-finite components link with nothing, nor do rows without an id (component null, kept).
     Vectors of different lengths never link. Repeated ids: one row, with the vector smallest in array order. An
-    empty table gives an empty result. Links are verified, so none lies below ``threshold``; pairs further apart
-    than ``window`` places in every pass are missed, which the pass count holds under 1 - ``recall`` for pairs at
-    the threshold. Extra columns are ignored.
+    empty table gives an empty result. Links are verified, so none lies below ``threshold``; pairs that share
+    no bucket in any pass are missed, which the pass count holds under 1 - ``recall`` for pairs at
+    the threshold, however many vectors lie around them. ``window``: rows of one tile. Extra columns are ignored.
     """
     named = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("embedding"))
     anonymous = named.where("vec_id is null").select("vec_id")
@@ -135,24 +163,26 @@ def near_duplicates(
         .join(classes.select("rep", "copies"), "rep")
     )
     total = reps.agg(F.count(F.lit(1)), F.max(F.size("embedding"))).head()
+    agree = agreement(total[1] or 2, threshold)
+    depth = depth_for(reps, total[0], agree, recall, passes, seed)
     if passes is None:
-        passes = passes_for(total[0], window, total[1] or 2, recall)
-
-    signed = reps.select("rep", "embedding").mapInPandas(_signatures(passes, seed), "rep long, signs array<binary>")
-    one = signed.select("rep", F.posexplode("signs").alias("pass", "sign"), F.lit(1).alias("one"))
-    ordered = running_totals(one, ["sign", "rep"], {"one": "place"}, ["pass"])
-    places = ordered.groupBy("rep").agg(
-        F.array_sort(F.collect_list(F.struct("pass", "place"))).alias("at")  # one entry per pass
-    ).select("rep", F.col("at.place").alias("places"))
-    block = F.floor(F.col("place") / window)
-    spread = (
-        reps.join(stored(places), "rep")
-        .select("*", F.posexplode("places").alias("pass", "place"))
-        .withColumn("block", block)
-        .withColumn("into", F.explode(F.when(F.col("block") > 0, F.array("block", F.col("block") - 1)).otherwise(F.array("block"))))
+        passes = passes_for(depth, agree, recall)
+
+    shape = T.StructType([*reps.schema.fields, T.StructField("codes", T.ArrayType(T.LongType()))])
+    coded = stored(reps.mapInPandas(_codes(passes, depth, seed), shape))
+    large = stored(
+        coded.select(F.posexplode("codes").alias("pass", "code")).groupBy("pass", "code").agg(F.count(F.lit(1)).alias("n"))
+        .where(F.col("n") > window)
+    )
+    tiles = F.ceil(F.coalesce("n", F.lit(1)) / window).cast("int")
+    units = (
+        coded.select("*", F.posexplode("codes").alias("pass", "code")).join(large, ["pass", "code"], "left")
+        .withColumn("side", F.pmod(F.xxhash64("rep"), tiles).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), tiles - 1)))
+        .withColumn("low", F.least("side", "other")).withColumn("high", F.greatest("side", "other")).drop("n", "other")
     )
     found = stored(
-        spread.groupBy("pass", "into").applyInPandas(_compare(window, threshold), "a long, b long, n long")
+        units.groupBy("pass", "code", "low", "high").applyInPandas(_compare(threshold), "a long, b long, n long")
     )
     counts = found.where("n > 0").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("n"))
     roots = components(found.where("n = 0").select("a", "b")).select(F.col("id").alias("rep"), "root")

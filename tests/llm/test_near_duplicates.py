@@ -58,6 +58,21 @@ def test_vectors_match_all_pairs(spark):
     assert got[None].component_id is None and got[None].kept
 
 
+@pytest.mark.parametrize("noise", [0.02, 0.15])
+def test_dense_groups_keep_their_links(spark, noise):
+    rng = np.random.default_rng(5)
+    centre = rng.standard_normal(32)
+    x = np.concatenate([centre + noise * rng.standard_normal((1500, 32)), rng.standard_normal((500, 32))]).astype(np.float32)
+    got = {r.vec_id: r for r in vector_dedup.near_duplicates(
+        spark.createDataFrame([(i, v.tolist(), "x") for i, v in enumerate(x)], VECTORS), window=64).collect()}
+    x = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    near = (x @ x.T >= 0.95) & ~np.eye(len(x), dtype=bool)
+    links = np.array([got[i].n_links for i in range(len(x))])
+    assert near.sum() > 1000 * 1000 and (links <= near.sum(axis=1)).all()
+    assert links.sum() >= 0.999 * near.sum()
+    assert [got[i].component_id for i in range(len(x))] == roots(len(x), zip(*np.nonzero(near)))
+
+
 def test_vectors_empty(spark):
     assert vector_dedup.near_duplicates(spark.createDataFrame([], VECTORS)).collect() == []
 
