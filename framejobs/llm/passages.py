@@ -1,15 +1,12 @@
-"""Repeated passages by sparse suffix arrays.
-
-Of all suffixes of all texts only those at minimiser positions are kept: in every run of ``span`` word shingles the one
-with the smallest hash. Which positions those are depends on the words alone, so a passage that repeats brings the same
-suffixes wherever it stands, and any passage of ``least_words`` words holds at least one. A suffix whose shingle is
-unique in the corpus cannot lie in a repeat and goes at once.
-
-The others are sorted: by shingle, then by what follows in blocks of words, then by what precedes; and once more by what
-precedes, then what follows. Neighbours are compared word by word, to the right and to the left. A suffix and its
-neighbour agree at least as far as with any other, so one comparison each way finds its longest repeat. Sorting is a
-range partition over the whole key, so thousands of equal suffixes spread over tasks; each partition also gets the
-last suffix of the one before.
+"""Repeated passages by windows at minimisers.
+
+Every window of ``least_words`` words belongs to its minimiser: of the word shingles in it, the leftmost with the smallest
+hash. Which one that is depends on the words alone, so equal windows bring equal minimisers at equal places within them. A
+window whose minimiser shingle is unique in the corpus cannot repeat and goes at once, which leaves few.
+
+Each of the others is one row, keyed by its minimiser and a hash of all its words. Keys are counted with partial aggregates
+and windows whose key recurs are repeats: exact, for every split of a window around its minimiser, however many partners a
+passage has. Windows that overlap or touch are one passage.
 """
 
 from __future__ import annotations
@@ -18,7 +15,6 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from framejobs.llm.common import shuffle_partitions
 from framejobs.llm.mixing import word_count
 from framejobs.session import stored
 
@@ -71,62 +67,26 @@ def minimisers(words: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray]:
     return chosen, grams[chosen]
 
 
-def _padded(words: np.ndarray, at: np.ndarray, reach: int, step: int) -> tuple[np.ndarray, np.ndarray]:
-    """The ``reach`` words that follow (step 1) or precede (step -1) each position, zero beyond the text, and how many
-    there are."""
-    offsets = np.arange(reach) if step > 0 else -1 - np.arange(reach)
-    index = at[:, None] + offsets
-    inside = (index >= 0) & (index < len(words))
-    return np.where(inside, words[np.clip(index, 0, len(words) - 1)], 0).astype("<u4"), inside.sum(axis=1)
-
-
-def _agreeing(block: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """Leading words that each row shares with the next."""
-    same = np.logical_and.accumulate(block[1:] == block[:-1], axis=1).sum(axis=1)
-    return np.minimum(same, np.minimum(lengths[1:], lengths[:-1]))
-
-
-def _neighbour_spans(least_words: int):
-    """Spans of sorted suffixes that agree with a neighbour, and the first and last suffix of each partition."""
-    def spans(pdf: pd.DataFrame) -> pd.DataFrame:
-        if len(pdf) < 2:
-            return pd.DataFrame({"text_key": [], "start": [], "stop": []}, dtype="int64")
-        after, before = (np.frombuffer(b"".join(pdf[c]), "<u4").reshape(len(pdf), -1) for c in ("after", "before"))
-        right = _agreeing(after, pdf["n_after"].to_numpy())
-        left = _agreeing(before, pdf["n_before"].to_numpy())
-        gram, key, place = pdf["gram"].to_numpy(), pdf["text_key"].to_numpy(), pdf["place"].to_numpy()
-        hit = np.flatnonzero((gram[1:] == gram[:-1]) & (left + right >= least_words))
-        both = np.concatenate([hit, hit + 1])
-        return pd.DataFrame({
-            "text_key": key[both], "start": place[both] - np.tile(left[hit], 2), "stop": place[both] + np.tile(right[hit], 2)})
-
-    def run(batches):
-        columns = ["part", "text_key", "place", "gram", "after", "n_after", "before", "n_before"]
-        last = None
-        for pdf in batches:
-            if last is None:
-                yield pdf[columns].iloc[:1].assign(start=0, stop=0, edge=1)
-            else:
-                pdf = pd.concat([last, pdf], ignore_index=True)
-            last = pdf.iloc[-1:]
-            yield spans(pdf).drop_duplicates().assign(edge=0, **{c: None for c in columns if c != "text_key"})
-        if last is not None:
-            yield last[columns].assign(start=0, stop=0, edge=2)
-
-    def seams(pdf: pd.DataFrame) -> pd.DataFrame:
-        return spans(pdf.sort_values(["part", "edge"]).reset_index(drop=True))
-
-    return run, seams
+def windows(words: np.ndarray, places: np.ndarray, least_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First words of the windows whose minimiser stands at one of ``places``, the minimisers' shingle hashes and the windows' hashes."""
+    n = len(words) - SHINGLE + 1
+    span = least_words - SHINGLE + 1
+    at = np.arange(n)
+    grams = _ranges(words, at, at + SHINGLE)
+    best = np.lib.stride_tricks.sliding_window_view(grams, span).argmin(axis=1) + np.arange(n - span + 1)
+    wanted = np.zeros(n, dtype=bool)
+    wanted[places] = True
+    starts = np.flatnonzero(wanted[best])
+    return starts, grams[best[starts]], _ranges(words, starts, starts + least_words)
 
 
-def _merged(spans: list) -> list[tuple[int, int]]:
-    out: list[list[int]] = []
-    for start, stop in sorted((int(s["start"]), int(s["stop"])) for s in spans):
-        if out and start <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], stop)
-        else:
-            out.append([start, stop])
-    return [tuple(s) for s in out]
+def _merged(starts: np.ndarray, least_words: int) -> list[tuple[int, int]]:
+    """Passages covered by windows that begin at ``starts``."""
+    starts = np.sort(np.asarray(starts, dtype=np.int64))
+    gaps = np.flatnonzero(np.diff(starts) > least_words)
+    first = starts[np.concatenate([[0], gaps + 1])]
+    last = starts[np.concatenate([gaps, [len(starts) - 1]])]
+    return list(zip(first.tolist(), (last + least_words).tolist()))
 
 
 def repeated_passages(
@@ -135,13 +95,12 @@ def repeated_passages(
     """One row per document: ``doc_id``, ``n_words``, ``n_repeated`` words inside passages of at least ``least_words``
     words that stand elsewhere too, and ``spans`` of those passages (first word, end word).
 
-    Passages repeat across rows or within one; words are compared by 32-bit hashes behind an equal 64-bit hash
-    of eight words. Whole texts are read. Null and empty texts have no word and no span. Texts that several rows
+    Passages repeat across rows or within one; windows are compared by a 64-bit hash of all their words behind an equal 64-bit
+    hash of eight of them. Whole texts are read. Null and empty texts have no word and no span. Texts that several rows
     share, repeated rows included, are looked at once and repeat as a whole. An empty table gives an empty result. Extra
     columns are ignored.
     """
     span = least_words - SHINGLE + 1
-    right, left = least_words + SHINGLE, least_words
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     keyed = rows.withColumn("text_key", F.xxhash64("text", F.length("text")))
 
@@ -154,18 +113,15 @@ def repeated_passages(
                 "gram": np.concatenate([gram for _, gram in found]).view(np.int64),
             })
 
-    def contexts(batches):
+    def keys(batches):
         for pdf in batches:
-            for key, text, places in zip(pdf["text_key"], pdf["text"], pdf["places"]):
-                words, at = word_hashes(text)[0], np.asarray(places, dtype=np.int64)
-                grams = _ranges(words, at, at + SHINGLE).view(np.int64)
-                after, n_after = _padded(words, at, right, 1)
-                before, n_before = _padded(words, at, left, -1)
-                yield pd.DataFrame({
-                    "text_key": np.full(len(at), key), "place": at, "gram": grams,
-                    "after": [r.tobytes() for r in after], "n_after": n_after,
-                    "before": [r.tobytes() for r in before], "n_before": n_before,
-                })
+            found = [windows(word_hashes(t)[0], np.asarray(places, dtype=np.int64), least_words) for t, places in zip(pdf["text"], pdf["places"])]
+            yield pd.DataFrame({
+                "text_key": np.repeat(pdf["text_key"].to_numpy(), [len(starts) for starts, _, _ in found]),
+                "start": np.concatenate([starts for starts, _, _ in found]).astype(np.int32),
+                "gram": np.concatenate([grams for _, grams, _ in found]).view(np.int64),
+                "whole": np.concatenate([whole for _, _, whole in found]).view(np.int64),
+            })
 
     ids = keyed.where("text is not null").groupBy("text_key", "doc_id").agg(F.count(F.lit(1)).alias("n"))
     texts = stored(ids.groupBy("text_key").agg(F.sum("n").alias("copies"), F.min(F.struct("doc_id", "n")).alias("of")).select("text_key", "copies", "of.*"))
@@ -178,25 +134,12 @@ def repeated_passages(
     once = keyed.select("text_key", F.col("doc_id").alias("__id"), "text").join(anchors, "text_key").where(F.col("__id").eqNullSafe(F.col("doc_id")))
     if anchors.where("n > 1").limit(1).count():  # rows that repeat a document
         once = once.dropDuplicates(["text_key"])
-    site = "text_key long, place long, gram long, after binary, n_after int, before binary, n_before int"
-    suffixes = stored(once.select("text_key", "text", "places").mapInPandas(contexts, site))
-
-    run, seams = _neighbour_spans(least_words)
-    spans = []
-    for order in (["gram", "after", "before"], ["gram", "before", "after"]):
-        order = [*order, "text_key", "place"]
-        found = stored(
-            suffixes.repartitionByRange(shuffle_partitions(docs), *order).sortWithinPartitions(*order)
-            .withColumn("part", F.spark_partition_id())
-            .mapInPandas(run, f"{site}, part int, start long, stop long, edge int")
-        )
-        # Two suffixes of each partition at most.
-        across = found.where("edge > 0").withColumn("all", F.lit(0)).groupBy("all").applyInPandas(seams, "text_key long, start long, stop long")
-        spans += [found.where("edge = 0").select("text_key", "start", "stop"), across]
+    placed = stored(once.select("text_key", "text", "places").mapInPandas(keys, "text_key long, start int, gram long, whole long"))
+    again = stored(placed.groupBy("gram", "whole").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gram", "whole"))
 
     def merge(batches):
         for pdf in batches:
-            merged = [_merged(s) for s in pdf["found"]]
+            merged = [_merged(s, least_words) for s in pdf["starts"]]
             yield pd.DataFrame({
                 "text_key": pdf["text_key"], "n_repeated": [sum(b - a for a, b in m) for m in merged],
                 "spans": [[{"start": a, "stop": b} for a, b in m] for m in merged],
@@ -204,8 +147,7 @@ def repeated_passages(
 
     kind = "array<struct<start:long,stop:long>>"
     of_text = stored(
-        spans[0].union(spans[1]).union(spans[2]).union(spans[3]).distinct()
-        .groupBy("text_key").agg(F.collect_list(F.struct("start", "stop")).alias("found"))  # of one text
+        placed.join(again, ["gram", "whole"]).groupBy("text_key").agg(F.collect_list("start").alias("starts"))  # of one text
         .mapInPandas(merge, f"text_key long, n_repeated long, spans {kind}")
     )
     copied = stored(texts.where("copies > 1").select("text_key", F.lit(True).alias("copied")))

@@ -60,6 +60,19 @@ def test_matches_all_windows(spark):
     assert hit >= 0.995 * total
 
 
+def test_frequent_lines(spark):
+    rng = np.random.default_rng(4)
+    pool = [" ".join("".join(rng.choice(list("abcdefgh"), 5)) for _ in range(18)) for _ in range(40)]
+    texts = ["\n".join(pool[k] for k in rng.integers(0, len(pool), 8)) for _ in range(600)]
+    got = {r.doc_id: r for r in passages.repeated_passages(spark.createDataFrame([(i, t, "") for i, t in enumerate(texts)], SCHEMA)).collect()}
+    for i, want in enumerate(brute(texts, 50)):
+        cover = np.zeros(len(want), dtype=bool)
+        for s in got[i].spans:
+            cover[s.start:s.stop] = True
+        assert (cover == want).all(), i
+        assert got[i].n_repeated == cover.sum()
+
+
 def test_odd_rows(spark):
     long = "w " * 30000
     rows = [(1, None, ""), (2, "", ""), (3, long, ""), (None, "x y z", ""), (4, "a b", ""), (4, "a b", ""), (5, " ".join(map(str, range(60))), ""),
