@@ -32,17 +32,9 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each group of near copies: the smallest id, and of rows with that id one row."""
+    """Keep one row of each group of near copies, that of the smallest id; rows of one id or none are told apart by content."""
     prepare(spark)
-    gone = stored(
-        simhash.near_duplicates(docs).groupBy(F.col("doc_id").alias("__id")).agg(F.bool_or("kept").alias("kept")).where("not kept").select("__id")
-    )
-    rows = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("__id")), "left_anti")
-    return rows.dropDuplicates(["doc_id"]) if _repeats(docs) else rows
-
-
-def _repeats(docs: DataFrame) -> bool:
-    return docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count() > 0
+    return simhash.survivors(docs)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -50,17 +50,17 @@ def _signed(value: int) -> int:
     return value - (1 << 64) if value >> 63 else value
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4) -> DataFrame:
-    """``(doc_id, fp)`` of every row; ``fp`` is the fingerprint as a signed long."""
+def fingerprints(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, keys: tuple[str, ...] = (),
+) -> DataFrame:
+    """``(doc_id, *keys, fp)`` of every row; ``fp`` is the fingerprint as a signed long, as are ``keys``."""
     def run(batches):
         for pdf in batches:
-            yield pd.DataFrame({
-                "doc_id": pdf["doc_id"],
-                "fp": np.array([_signed(fingerprint(t, words)) for t in pdf["text"]], dtype=np.int64),
-            })
+            yield pdf[["doc_id", *keys]].assign(
+                fp=np.array([_signed(fingerprint(t, words)) for t in pdf["text"]], dtype=np.int64))
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInPandas(run, "doc_id long, fp long")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), *keys, F.col(text_col).alias("text"))
+    return rows.mapInPandas(run, ", ".join(f"{c} long" for c in ("doc_id", *keys, "fp")))
 
 
 def slices(blocks: int) -> list[tuple[int, int]]:
@@ -138,6 +138,31 @@ def near_links(distinct: DataFrame, distance: int = 4, blocks: int | None = None
     )
 
 
+def survivors(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, distance: int = 4,
+    blocks: int | None = None, tile: int = 2048,
+) -> DataFrame:
+    """One row of each component of near copies, with all columns of ``docs``: that of the smallest id, null ids last; of
+    several rows with that id the one with the smallest row hash. Rows are told apart by a 128-bit hash of all their columns, never by
+    their id. Links as in ``near_duplicates``.
+    """
+    every = [c for name in docs.columns for c in (F.col(name), F.col(name).isNull())]
+    keyed = docs.withColumn("__h1", F.xxhash64(*every)).withColumn("__h2", F.xxhash64(F.lit(7), *every))
+    keys = ["__h1", "__h2"]
+    marked = stored(fingerprints(keyed, id_col, text_col, words, tuple(keys)))
+    place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", *keys)
+    classes = stored(marked.groupBy("fp").agg(F.min(place).alias("first")))
+    roots = components(stored(near_links(classes.select("fp"), distance, blocks, tile)))
+    rooted = stored(
+        classes.join(roots.withColumnRenamed("id", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root")))
+    stay = stored(rooted.groupBy("root").agg(F.min("first").alias("of")).select("of.__h1", "of.__h2"))
+    gone = stored(marked.select(*keys).distinct().join(stay, keys, "left_anti"))
+    rows = keyed.join(gone, keys, "left_anti")
+    if marked.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count():
+        rows = rows.dropDuplicates(keys)  # rows equal in all columns
+    return rows.drop(*keys)
+
+
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, distance: int = 4,
     blocks: int | None = None, tile: int = 2048,

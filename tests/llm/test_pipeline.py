@@ -75,6 +75,18 @@ def test_one_document_of_each_group_stays(steps):
     assert sorted(r.doc_id for r in steps[3].collect()) == [d for d in ids if find(d) == d]
 
 
+def test_different_texts_of_one_id_stay(spark, sf_dir):
+    rng = np.random.default_rng(1)
+    text = lambda: " ".join("".join(rng.choice(list("abcdefgh"), 6)) for _ in range(60))
+    a, b, c, d, e, f = (text() for _ in range(6))
+    rows = [(None, a), (None, b), (None, b), (1, c), (2, c), (2, d), (3, e), (3, f), (3, f), (None, f)]
+    docs = spark.createDataFrame([(i, t, "en", "web", 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = pipeline.near_duplicates(spark, docs, sf_dir)
+    assert got.columns == docs.columns
+    want = [(None, a), (None, b), (1, c), (2, d), (3, e), (3, f)]
+    assert sorted(((r.doc_id, r.text) for r in got.collect()), key=str) == sorted(want, key=str)
+
+
 def test_mix_repeats_whole_documents(steps):
     before = {r.doc_id: r for r in steps[3].collect()}
     counts = {}
