@@ -10,7 +10,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from framejobs.llm import line_dedup, mixing, packing, passages, preferences, quality_model, quality_rules, simhash, token_files, vector_dedup
+from framejobs.llm import (
+    line_dedup, mixing, packing, passages, preferences, quality_model, quality_rules, simhash, spelling, super_kmers, token_files,
+    turn_repair, vector_dedup,
+)
 from framejobs.llm.common import prepare
 from framejobs.session import checkpoint_dir
 
@@ -137,6 +140,25 @@ LEFT JOIN k ON d.doc_id IS NOT DISTINCT FROM k.doc_id AND d.source IS NOT DISTIN
 """
 
 
+SUBSTRINGS_SQL = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(doc_id, 9223372036854775807) AS doc, md5(coalesce(text, '')) AS key,
+         regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+u AS (SELECT doc, key, any_value(words) AS words FROM d GROUP BY doc, key),
+s AS (SELECT doc, key, words, unnest(range(0, len(words) - 19)) AS start FROM u WHERE len(words) >= 20),
+w AS MATERIALIZED (SELECT doc, key, start, md5(array_to_string(words[start + 1:start + 20], ' ')) AS win FROM s),
+f AS (SELECT win, min(ROW(doc, start)) AS first FROM w GROUP BY win HAVING count(*) > 1),
+g AS (SELECT doc, key, start FROM w JOIN f USING (win) WHERE ROW(doc, start) > first),
+c AS (SELECT DISTINCT doc, key, start + o AS place FROM g, range(20) t(o)),
+x AS (SELECT doc, key, unnest(words) AS word, generate_subscripts(words, 1) - 1 AS place FROM u),
+k AS (
+  SELECT x.doc, x.key, count(c.place) AS n_removed, coalesce(string_agg(word, ' ' ORDER BY x.place) FILTER (c.place IS NULL), '') AS kept
+  FROM x LEFT JOIN c ON x.doc = c.doc AND x.key = c.key AND x.place = c.place GROUP BY x.doc, x.key)
+SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN k ON d.doc = k.doc AND d.key = k.key
+"""
+
+
 #: Production selection: the best of three grades with at least this chance.
 GRADE, LEAST_CHANCE = 2, 0.4
 
@@ -211,3 +233,21 @@ def op9(spark, sf_dir):
     chosen, rejected = preferences.answer_swaps(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
     text = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws("-", s["start"], s["stop"])), ",")
     return preferences.format_pairs(chosen, rejected).withColumns({c: text(c) for c in ("chosen_spans", "rejected_spans")})
+
+
+@query("op11_substring_dedup", SUBSTRINGS_SQL)
+def op11(spark, sf_dir):
+    """Every document without the words of windows of 20 words that start earlier too."""
+    return super_kmers.remove_repeats(documents(spark, sf_dir))
+
+
+@query("op12_conversation_repair")
+def op12(spark, sf_dir):
+    """Faults and cheapest repair of every damaged conversation."""
+    return turn_repair.repair(turn_repair.damage(spark.read.parquet(f"{sf_dir}/conversations.parquet")))
+
+
+@query("op13_spelling_variants")
+def op13(spark, sf_dir):
+    """Every word with its near words and the form it is a variant of."""
+    return spelling.variants(documents(spark, sf_dir))
