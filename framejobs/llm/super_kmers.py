@@ -183,8 +183,9 @@ def remove_repeats(
         .mapInPandas(repeated_in_buckets(window), "p1 long, p2 long, mask long")
         .union(repeated_in_large_buckets(shared.where(F.col("size") > bucket), window))
     )
-    marked = strings.select("p1", "p2", "times", F.col("doc").alias("of_doc"), F.col("start").alias("of_start")).join(
-        masks, ["p1", "p2"], "left").where("times > 1 or mask is not null")
+    # Stored, so that the join below is a plain one of two tables and a string with very many places can be split.
+    marked = stored(strings.select("p1", "p2", "times", F.col("doc").alias("of_doc"), F.col("start").alias("of_start")).join(
+        masks, ["p1", "p2"], "left").where("times > 1 or mask is not null"))
     is_first = (F.col("doc") == F.col("of_doc")) & (F.col("start") == F.col("of_start"))
     every = F.expr("shiftleft(1L, n) - 1")
     removed = stored(
