@@ -21,6 +21,7 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 
@@ -28,40 +29,45 @@ from framejobs.llm.common import release
 from framejobs.session import stored
 
 RUN = re.compile("[a-zÀ-ÿ]+")
-#: Different words a task adds up before it passes them on.
-HELD = 300_000
+#: Different words a task adds up before it passes them on, and texts it takes out of a batch at a time.
+HELD, TEXTS = 100_000, 256
 
 
 def occurrences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_letters: int = 6, every: int = 199) -> DataFrame:
     """``(word, n)``, partly added up: the runs of letters of whole texts, A-Z lower-cased. A run whose checksum with
     its document's id is a multiple of ``every`` loses one letter, the same wherever it stands in that document. A
     null id counts as an empty one."""
-    def flush(found: Counter) -> pd.DataFrame:
-        return pd.DataFrame({"word": np.array(list(found), dtype=object), "n": np.fromiter(found.values(), dtype=np.int64, count=len(found))})
+    def flush(found: Counter) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(found, pa.string()), pa.array(found.values(), pa.int64())], names=["word", "n"])
+
+    def rows(batches):
+        for batch in batches:
+            for start in range(0, batch.num_rows, TEXTS):
+                part = batch.slice(start, TEXTS)
+                yield from zip(part.column(0).to_pylist(), part.column(1).to_pylist())
 
     def run(batches):
         found: Counter = Counter()
-        for pdf in batches:
-            for doc_id, text in zip(pdf["doc_id"], pdf["text"]):
-                if not text:
+        for doc_id, text in rows(batches):
+            if not text:
+                continue
+            start = zlib.crc32(f"{doc_id or ''}:".encode())
+            for word, n in Counter(RUN.findall(text.encode("utf-8").lower().decode("utf-8"))).items():
+                if len(word) < least_letters:
                     continue
-                start = zlib.crc32(f"{doc_id or ''}:".encode())
-                for word, n in Counter(RUN.findall(text.encode("utf-8").lower().decode("utf-8"))).items():
+                h = zlib.crc32(word.encode("utf-8"), start)
+                if h % every == 0:
+                    at = h % len(word)
+                    word = word[:at] + word[at + 1:]
                     if len(word) < least_letters:
                         continue
-                    h = zlib.crc32(word.encode("utf-8"), start)
-                    if h % every == 0:
-                        at = h % len(word)
-                        word = word[:at] + word[at + 1:]
-                        if len(word) < least_letters:
-                            continue
-                    found[word] += n
-                if len(found) > HELD:
-                    yield flush(found)
-                    found = Counter()
+                found[word] += n
+            if len(found) > HELD:
+                yield flush(found)
+                found = Counter()
         yield flush(found)
 
-    return docs.select(F.col(id_col).cast("string").alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(run, "word string, n long")
+    return docs.select(F.col(id_col).cast("string").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "word string, n long")
 
 
 def words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_letters: int = 6, least: int = 5, every: int = 199) -> DataFrame:
