@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from framejobs.llm.common import release, shuffle_partitions
 from framejobs.llm.passages import SHINGLE, _ranges, minimisers, word_hashes
+from framejobs.llm.tokens import slices_of
 from framejobs.session import stored
 
 #: Place of a null id in the order of documents: after every other.
@@ -111,15 +112,26 @@ def _covered(starts: list[int], masks: list[int], window: int, n_words: int) ->
     return np.cumsum(edges[:-1]) > 0
 
 
+def _slices(batches):
+    """Batches cut to about two million characters, so that the words of few texts are in memory at once."""
+    for pdf in batches:
+        for start, stop in slices_of(pdf["text"].tolist()):
+            yield pdf.iloc[start:stop]
+
+
 def _profiles(window: int):
     """Word count, digest of all words and minimisers of each text."""
     def run(batches):
-        for pdf in batches:
-            words = [_words(t) for t in pdf["text"]]
-            found = [minimisers(word_hashes(t)[0], window - SHINGLE + 1) for t in pdf["text"]]
-            yield pdf[["doc", "doc_id", "k1", "k2"]].assign(
-                n_words=[len(w) for w in words], whole=[digest(w) for w in words],
-                places=[at.astype(np.int32) for at, _ in found], grams=[g.view(np.int64) for _, g in found])
+        for pdf in _slices(batches):
+            n_words, whole, places, grams = [], [], [], []
+            for text in pdf["text"]:
+                words = _words(text)
+                at, gram = minimisers(word_hashes(text)[0], window - SHINGLE + 1)
+                n_words.append(len(words))
+                whole.append(digest(words))
+                places.append(at.astype(np.int32))
+                grams.append(gram.view(np.int64))
+            yield pdf[["doc", "doc_id", "k1", "k2"]].assign(n_words=n_words, whole=whole, places=places, grams=grams)
 
     return run
 
@@ -149,7 +161,7 @@ def remove_repeats(
     anchors = stored(sites.join(often, "gram").groupBy("k1", "k2", "first_doc").agg(F.collect_list("place").alias("places")))  # of one text
 
     def cut(batches):
-        for pdf in batches:
+        for pdf in _slices(batches):
             found = [super_kmers(t, np.asarray(p, dtype=np.int64), window) for t, p in zip(pdf["text"], pdf["places"])]
             flat = [r for rows in found for r in rows]
             counts = [len(rows) for rows in found]
@@ -198,7 +210,7 @@ def remove_repeats(
     release(strings)
 
     def edit(batches):
-        for pdf in batches:
+        for pdf in _slices(batches):
             words = [_words(t) for t in pdf["text"]]
             gone = [_covered(s, m, window, len(w)) for s, m, w in zip(pdf["starts"], [[int(x) for x in m] for m in pdf["masks"]], words)]
             kept = [[w for w, g in zip(ws, gs.tolist()) if not g] for ws, gs in zip(words, gone)]
