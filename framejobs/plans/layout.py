@@ -12,7 +12,7 @@ from framejobs.operators import hygiene, layout, validate
 from framejobs.plans import framing as PF, settings, shared_sql as S
 from framejobs.plans.registry import cte, query
 from framejobs.session import checkpoint_dir, stored
-from framejobs.sources import bridge as B, media, tables
+from framejobs.sources import bridge as B, keyed, media, tables
 
 _LAYERS = [
     (t["template_id"], i, l) for t in settings.TEMPLATES for i, l in enumerate(
@@ -233,16 +233,16 @@ def content_addressed_store(spark, sf_dir):
     """Two writes of content-addressed rows, then an overwrite on key of their derived rows."""
     base = f"{checkpoint_dir(spark)}/store-{uuid.uuid4().hex}"
     docs = B.table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("source_hash"))
-    tables.append_new(docs.filter("doc_id % 2 = 0").select("source_hash"), f"{base}/originals", ["source_hash"])
-    tables.append_new(docs.select("source_hash"), f"{base}/originals", ["source_hash"])
+    keyed.append_new(docs.filter("doc_id % 2 = 0").select("source_hash"), f"{base}/originals", ["source_hash"])
+    keyed.append_new(docs.select("source_hash"), f"{base}/originals", ["source_hash"])
     odd = docs.filter("doc_id % 2 = 1")
-    tables.upsert(odd.filter("doc_id % 4 = 1"), f"{base}/derived", ["source_hash"], F.col("doc_id"))
-    known = spark.read.parquet(f"{base}/derived")
+    keyed.upsert(odd.filter("doc_id % 4 = 1"), f"{base}/derived", ["source_hash"], F.col("doc_id"))
+    known = keyed.read(spark, f"{base}/derived")
     late = odd.filter("doc_id % 4 = 3").join(known.withColumnRenamed("doc_id", "old"), "source_hash", "left").select(
         F.greatest("doc_id", "old").alias("doc_id"), "source_hash")
-    tables.upsert(late, f"{base}/derived", ["source_hash"], F.col("doc_id"))
-    originals = spark.read.parquet(f"{base}/originals")
-    return originals.join(spark.read.parquet(f"{base}/derived"), "source_hash", "left").select(
+    keyed.upsert(late, f"{base}/derived", ["source_hash"], F.col("doc_id"))
+    originals = keyed.read(spark, f"{base}/originals")
+    return originals.join(keyed.read(spark, f"{base}/derived"), "source_hash", "left").select(
         "source_hash", F.col("doc_id").alias("last_writer")
     )
 

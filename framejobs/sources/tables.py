@@ -1,11 +1,9 @@
-"""Catalogue tables on Parquet: schemas, reads, idempotent writes."""
+"""Catalogue tables on Parquet: schemas, reads, partitioned writes. Keyed writes are in ``sources.keyed``."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from framejobs.operators.ranking import last_by
-
 SCHEMAS = {
     "imports": "import_id string, name string, root_path string, status string, total_files int, "
     "imported_files int, skipped_files int, failed_files int, duplicate_files int, error string, "
@@ -53,61 +51,6 @@ def write_table(df: DataFrame, base: str, name: str, partition_by: list[str] | N
     writer.parquet(f"{base}/{name}")
 
 
-def exists(spark: SparkSession, path: str) -> bool:
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
-
-
-def append_new(df: DataFrame, path: str, keys: list[str]) -> None:
-    """Append only rows whose key is not in the table yet (content-addressed data never changes)."""
-    spark = df.sparkSession
-    fresh = df.dropDuplicates(keys)
-    if exists(spark, path):
-        fresh = fresh.join(spark.read.parquet(path).select(*keys), keys, "left_anti")
-    fresh.write.mode("append").parquet(path)
-
-
-def merge_by_key(current: DataFrame, incoming: DataFrame, keys: list[str], order: Column) -> DataFrame:
-    """Last write wins per key; ``incoming`` beats ``current`` whatever the order says."""
-    both = current.withColumn("__new", F.lit(0)).unionByName(incoming.withColumn("__new", F.lit(1)))
-    return last_by(both, keys, F.struct(F.col("__new"), order)).drop("__new")
-
-
-def upsert(df: DataFrame, path: str, keys: list[str], order: Column) -> str:
-    """Overwrite on key: the merged table is written beside the old one, then swapped in by rename."""
-    spark = df.sparkSession
-    recover(spark, path)
-    if not exists(spark, path):
-        last_by(df, keys, order).write.parquet(path)
-        return path
-    merged = merge_by_key(spark.read.parquet(path), df, keys, order)
-    merged.write.mode("overwrite").parquet(path + "__next")
-    fs, target, fresh, old = _swap_paths(spark, path)
-    fs.rename(target, old)
-    fs.rename(fresh, target)
-    fs.delete(old, True)
-    return path
-
-
-def _swap_paths(spark: SparkSession, path: str):
-    paths = [spark._jvm.org.apache.hadoop.fs.Path(path + suffix) for suffix in ("", "__next", "__old")]
-    return paths[0].getFileSystem(spark._jsc.hadoopConfiguration()), *paths
-
-
-def recover(spark: SparkSession, path: str) -> None:
-    """Finish or undo a swap that a crash cut short; call before reading a table that ``upsert`` writes.
-
-    The old table goes only once the new one stands in its place, so without a table the old one is put back.
-    """
-    fs, target, fresh, old = _swap_paths(spark, path)
-    if fs.exists(old):
-        if fs.exists(target):
-            fs.delete(old, True)
-        else:
-            fs.rename(old, target)
-    fs.delete(fresh, True)
-
-
 def parse_payload(raw: Column, schema: str, default: Column | None = None) -> Column:
     """JSON text as a struct; null, empty or broken text gives the default.
 
