@@ -82,22 +82,39 @@ def product_counters(images: DataFrame) -> DataFrame:
     )
 
 
+def undecodable(files: DataFrame) -> Column:
+    """Whether a file's bytes gave no picture, as far as the listing knows."""
+    broken = F.lit(False)
+    if {"width", "height"} <= set(files.columns):
+        broken = (F.coalesce(F.col("width"), F.lit(0)) == 0) | (F.coalesce(F.col("height"), F.lit(0)) == 0)
+    return broken | F.col("format").isNull() if "format" in files.columns else broken
+
+
+def settle_types(images: DataFrame) -> DataFrame:
+    """One stored type per content hash, so that equal bytes have one storage key: the type they decode to, or where
+    the listing does not know it, the type under which they arrived first."""
+    if "format" in images.columns:
+        return images.withColumn("mime_type", P.mime_of_format(F.col("format")))
+    arrived = images.withColumn("__type", P.stored_mime(F.col("file_name"), F.col("mime_type")))
+    first = arrived.groupBy("source_hash").agg(
+        F.min_by("__type", F.struct("created_at", "import_id", "arrival", "product_id")).alias("mime_type"))
+    return arrived.drop("mime_type", "__type").join(first, "source_hash")
+
+
 def import_catalog(
     files: DataFrame, analyses: DataFrame, engine_version: str, max_group_rows: int = MAX_GROUP_ROWS
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Ingest a listing; returns (outcomes per file, products, images).
 
     ``files`` carries arrival (unique inside the import), import_id, relative_path, file_name,
-    mime_type, byte_size, source_hash, created_at, and optionally width and height.
+    mime_type, byte_size, source_hash, created_at, and optionally width and height, and the decoded ``format``.
+    An accepted file without a size or a format cannot be decoded and has failed.
     """
-    staged = classify(files)
-    sized = {"width", "height"} <= set(files.columns)
-    broken = (F.coalesce(F.col("width"), F.lit(0)) == 0) | (F.coalesce(F.col("height"), F.lit(0)) == 0)
-    staged = staged.withColumn("__failed", (F.col("skip_reason").isNull() & broken) if sized else F.lit(False))
+    staged = classify(files).withColumn("__failed", F.col("skip_reason").isNull() & undecodable(files))
     usable = group_products(staged.filter(F.col("skip_reason").isNull() & ~F.col("__failed")))
-    kept = distinct_images(usable).withColumn(
+    kept = settle_types(distinct_images(usable)).withColumn(
         "image_id", stable_id("img", F.col("product_id"), F.col("source_hash"))
-    ).withColumn("storage_key", P.original_key(F.col("source_hash"), P.stored_mime(F.col("file_name"), F.col("mime_type"))))
+    ).withColumn("storage_key", P.original_key(F.col("source_hash"), F.col("mime_type")))
     # Outcomes, products and images all derive from the kept files: write them once, read them back.
     kept = stored(kept.drop("skip_reason", "__failed"))
     numbered = renumber(kept, max_group_rows)

@@ -44,6 +44,11 @@ def batch_rollup(jobs: DataFrame, batches: DataFrame, as_of: datetime) -> DataFr
         F.count_if(F.col("status") == "cancelled").alias("cancelled_jobs"),
         F.count_if(_live()).alias("active_jobs"),
     )
+    return settle_batches(counted, batches, as_of)
+
+
+def settle_batches(counted: DataFrame, batches: DataFrame, as_of: datetime) -> DataFrame:
+    """Counters and status of every batch from ``counted``, one row per batch that has jobs."""
     columns = ("total_jobs", "completed_jobs", "failed_jobs", "cancelled_jobs", "active_jobs")
     own = [c for c in batches.columns if c not in columns]
     out = batches.select(*own).join(counted, "batch_id", "left").fillna(0, subset=list(columns))

@@ -90,7 +90,7 @@ def group_products(spark, sf_dir):
 
 @query("import_outcomes", uses=("b_classified", "b_kept"), sql="""
   SELECT c.arrival, c.import_id, c.norm AS relative_path, c.skip_reason,
-    CASE WHEN c.skip_reason IS NOT NULL THEN 'skipped' WHEN k.arrival IS NOT NULL THEN 'imported'
+    CASE WHEN c.skip_reason IS NOT NULL THEN 'skipped' WHEN c.format IS NULL THEN 'failed' WHEN k.arrival IS NOT NULL THEN 'imported'
       ELSE 'duplicate' END AS outcome
   FROM b_classified c LEFT JOIN b_kept k USING (arrival)""")
 def import_outcomes(spark, sf_dir):
@@ -121,8 +121,8 @@ def import_products(spark, sf_dir):
 
 @query("import_counters", uses=("b_classified", "b_kept"), sql="""
   SELECT c.import_id, count(*) AS total_files, count(k.arrival) AS imported_files,
-    count(*) FILTER (c.skip_reason IS NULL AND k.arrival IS NULL) AS duplicate_files,
-    count(c.skip_reason) AS skipped_files, 0 AS failed_files
+    count(*) FILTER (c.skip_reason IS NULL AND c.format IS NOT NULL AND k.arrival IS NULL) AS duplicate_files,
+    count(c.skip_reason) AS skipped_files, count(*) FILTER (c.skip_reason IS NULL AND c.format IS NULL) AS failed_files
   FROM b_classified c LEFT JOIN b_kept k USING (arrival) GROUP BY 1""")
 def import_counters(spark, sf_dir):
     outcomes, _, _ = ingested(spark, sf_dir)
@@ -142,7 +142,7 @@ def scan_summary(spark, sf_dir):
 
 
 @query("analysis_requests", uses=("b_images",), sql="""
-  SELECT source_hash, min(image_id) AS image_id, min(storage_key) AS storage_key,
+  SELECT source_hash, min(image_id) AS image_id, any_value(storage_key) AS storage_key,
     'vision:' || source_hash AS dedupe_key, 10 AS priority
   FROM b_images WHERE vision_status <> 'ready' GROUP BY source_hash""")
 def analysis_requests(spark, sf_dir):

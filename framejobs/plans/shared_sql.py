@@ -39,7 +39,9 @@ cte("b_files", f"""
          ELSE lang || '/set-' || (doc_id % 3) || '/' || fn END AS relative_path,
     fn AS file_name,
     CASE doc_id % 11 WHEN 0 THEN 'text/plain' WHEN 1 THEN 'image/gif' WHEN 2 THEN 'image/jpeg' END AS mime_type,
-    n_chars AS byte_size, sha256(text) AS source_hash, {AT.format('doc_id')} AS created_at
+    n_chars AS byte_size, sha256(text) AS source_hash, {AT.format('doc_id')} AS created_at,
+    CASE WHEN sha256(text) LIKE '0%' THEN NULL WHEN substr(sha256(text), 1, 1) IN ('1', '2', '3') THEN 'png'
+         WHEN substr(sha256(text), 1, 1) IN ('4', '5') THEN 'webp' ELSE 'jpeg' END AS format
   FROM (SELECT *, 'look-' || doc_id ||
           (['.jpg','.PNG','.webp','.txt','.DS_Store'])[(doc_id % 5)::int + 1] AS fn FROM documents)""")
 
@@ -72,7 +74,7 @@ cte("b_grouped", f"""
 
 cte("b_kept", """
   SELECT *, 'img_' || sha256(product_id || chr(31) || source_hash) AS image_id
-  FROM b_grouped WHERE skip_reason IS NULL
+  FROM b_grouped WHERE skip_reason IS NULL AND format IS NOT NULL
   QUALIFY row_number() OVER (PARTITION BY product_id, source_hash ORDER BY arrival) = 1""", ("b_grouped",))
 
 cte("b_analysis_events", f"""
@@ -98,7 +100,7 @@ cte("b_images", f"""
     CASE WHEN EXISTS (SELECT 1 FROM b_analyses a WHERE a.source_hash = k.source_hash AND a.engine_version = '2.0'
          AND a.status = 'ready') THEN 'ready' ELSE 'pending' END AS vision_status,
     substr(source_hash, 1, 2) || '/' || substr(source_hash, 3, 2) || '/' || source_hash ||
-      CASE WHEN mime_type = 'image/jpeg' THEN '.jpg' ELSE '.' || lower(regexp_extract(file_name, '\\.([A-Za-z]+)$', 1)) END AS storage_key
+      CASE format WHEN 'jpeg' THEN '.jpg' ELSE '.' || format END AS storage_key
   FROM b_kept k""", ("b_kept", "b_analyses"))
 
 cte("b_products", """

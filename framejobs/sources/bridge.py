@@ -50,10 +50,17 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
         mime.alias("mime_type"),
         F.col("n_chars").alias("byte_size"),
         F.sha2("text", 256).alias("source_hash"),
+        _format(F.sha2("text", 256)).alias("format"),
         _at(n).alias("created_at"),
     )
 
 
+def _format(source_hash: Column) -> Column:
+    """Format the bytes decode to, settled by their hash; null where they cannot be decoded."""
+    first = F.substring(source_hash, 1, 1)
+    return F.when(first != "0", F.when(first <= "3", "png").when(first <= "5", "webp").otherwise("jpeg"))
+
+
 def analysis_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw analysis writes for two engine versions; equal bytes write the same key more than once."""
     docs = table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("source_hash"))
@@ -321,14 +328,31 @@ def logits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def job_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A job log with all eleven kinds of event, one job per user."""
     ev = table(spark, sf_dir, "events")
     return ev.select(
         F.concat(F.lit("job_"), F.col("user_id").cast("string")).alias("job_id"),
-        job_event_name(F.col("event_type")).alias("event"),
+        job_event_name(F.col("event_type"), F.col("event_id")).alias("event"),
         F.col("ts").cast("timestamp").alias("ts"), "event_id", "value",
     )
 
 
-def job_event_name(event_type: Column) -> Column:
-    names = {"signup": "claim", "view": "heartbeat", "click": "run", "purchase": "complete", "error": "fail"}
-    return F.element_at(F.create_map(*[F.lit(x) for pair in names.items() for x in pair]), event_type)
+#: Kinds of job event by type of driver event, taken in turn by its number.
+JOB_EVENTS = {
+    "signup": ("claim", "claim", "claim", "retry"), "view": ("heartbeat", "heartbeat", "heartbeat", "defer"),
+    "click": ("run", "run", "run", "defer_refund"), "purchase": ("complete", "cancel", "run", "park"),
+    "error": ("fail", "fail", "claim", "reclaim"),
+}
+
+
+def job_event_name(event_type: Column, event_id: Column) -> Column:
+    pairs = [F.lit(x) if i == 0 else F.array(*[F.lit(v) for v in x]) for pair in JOB_EVENTS.items() for i, x in enumerate(pair)]
+    return F.get(F.element_at(F.create_map(*pairs), event_type), (event_id % 4).cast("int"))
+
+
+def job_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The batch of every job of the log."""
+    users = table(spark, sf_dir, "events").select("user_id").distinct()
+    return users.select(
+        F.concat(F.lit("job_"), F.col("user_id").cast("string")).alias("job_id"),
+        F.concat(F.lit("bat_"), (F.col("user_id") % 50).cast("string")).alias("batch_id"))

@@ -1,16 +1,17 @@
 """Structured Streaming jobs: incremental ingest, job state, throughput, bursts, stale workers.
 
-Every job takes its watermark as an argument. Events later than the watermark are dropped by the
-stateful operators and counted in the query's progress metrics.
+Every job takes its watermark as an argument. Events behind it are dropped by Spark's own stateful operators;
+``land_windows`` keeps and counts them.
 """
 
 from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from datetime import datetime
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.types import IntegerType, StructField, StructType
@@ -18,7 +19,10 @@ from pyspark.sql.types import IntegerType, StructField, StructType
 from framejobs import vocab
 from framejobs.functions.text import stable_id
 from framejobs.operators import ingest
-from framejobs.sources.tables import append_new, upsert
+from framejobs.operators.jobs import settle_batches
+from framejobs.operators.ranking import last_by
+from framejobs.session import stored
+from framejobs.sources import keyed
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -36,12 +40,13 @@ def stream_import(files: DataFrame, target: str, checkpoint: str) -> StreamingQu
 
     Each micro-batch appends only rows whose (product, hash) is new, so a replayed batch is harmless.
     """
-    def land(batch: DataFrame, _epoch: int) -> None:
-        staged = ingest.classify(batch)
-        fresh = ingest.group_products(staged.filter(F.col("skip_reason").isNull()).drop("skip_reason"))
-        append_new(ingest.distinct_images(fresh), f"{target}/images", ["product_id", "source_hash"])
-        skipped = staged.filter(F.col("skip_reason").isNotNull()).select("import_id", "arrival", "skip_reason")
-        append_new(skipped, f"{target}/skipped", ["import_id", "arrival"])
+    def land(batch: DataFrame, epoch: int) -> None:
+        staged = stored(ingest.classify(batch).withColumn("__failed", ingest.undecodable(batch)))
+        usable, version = F.col("skip_reason").isNull(), epoch + 1
+        fresh = ingest.group_products(staged.filter(usable & ~F.col("__failed")).drop("skip_reason", "__failed"))
+        keyed.append_new(ingest.distinct_images(fresh), f"{target}/images", ["product_id", "source_hash"], version=version)
+        for name, rows in (("skipped", staged.filter(~usable)), ("failed", staged.filter(usable & F.col("__failed")))):
+            keyed.append_new(rows.select("import_id", "arrival", "skip_reason"), f"{target}/{name}", ["import_id", "arrival"], version=version)
 
     return (
         files.writeStream.foreachBatch(land).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
@@ -50,7 +55,7 @@ def stream_import(files: DataFrame, target: str, checkpoint: str) -> StreamingQu
 
 def finalise_import(spark: SparkSession, target: str) -> DataFrame:
     """Number the shots of everything that landed, independent of the order it landed in."""
-    images = spark.read.parquet(f"{target}/images").withColumn(
+    images = keyed.read(spark, f"{target}/images").withColumn(
         "image_id", stable_id("img", F.col("product_id"), F.col("source_hash"))
     )
     return ingest.renumber(images)
@@ -76,28 +81,39 @@ def stream_bursts(events: DataFrame, gap: str, watermark: str = "1 hour") -> Dat
     ).select("job_id", F.col("s.start").alias("start"), F.col("s.end").alias("end"), "n")
 
 
+STATE_FIELDS = "status attempts max_attempts heartbeat_at available_at error updated_at revision".split()
 STATE_SCHEMA = (
     "status string, attempts int, max_attempts int, heartbeat_at bigint, available_at bigint, error string, "
-    "updated_at bigint, seen_at bigint"
+    "updated_at bigint, revision bigint"
+)
+WAITING_SCHEMA = "ts_ms bigint, event_id bigint, event string, detail string"
+STATE_OUTPUT = (
+    "job_id string, status string, attempts int, heartbeat_at bigint, error string, updated_at bigint, stale boolean, "
+    "silent_since bigint, revision bigint"
 )
-STATE_OUTPUT = "job_id string, status string, attempts int, heartbeat_at bigint, error string, updated_at bigint, stale boolean"
 
 
 class JobMachine(StatefulProcessor):
-    """Job life cycle over an event log; one small state row per job.
+    """Job life cycle over an event log that may arrive in any order within the watermark.
 
     A claim costs an attempt, a failure returns the job to pending while attempts remain, a deferral
-    may refund its attempt, a retry starts afresh. An event-time timer marks a claimed or running job
-    whose worker stays silent. Events of one micro-batch are taken in event-time order; over micro-batches the
-    source must be ordered for each job, and an event older than one of an earlier batch stops the query.
+    may refund its attempt, a retry starts afresh. With ``stale_ms`` a claimed or running job whose worker is silent for
+    longer goes back to pending at that moment, before any later event counts.
+
+    Events wait in list state until the watermark has passed them, when nothing can arrive before them any more; then
+    they are taken in event-time order into the settled state. A timer at the first waiting event releases it
+    also where a job hears nothing more. Each row put out shows the settled state with the waiting events applied on top, so
+    the last row of a job is that of the ordered log whatever order the log came in. What is kept for a job is
+    its events inside the watermark; a micro-batch's chunks pass one by one.
     """
 
-    def __init__(self, max_attempts: int = vocab.RETRY_ATTEMPTS, stale_ms: int = vocab.STALE_CLAIM_MS, timers: bool = False):
-        self.max_attempts, self.stale_ms, self.timers = max_attempts, stale_ms, timers
+    def __init__(self, max_attempts: int = vocab.RETRY_ATTEMPTS, stale_ms: int | None = None):
+        self.max_attempts, self.stale_ms = max_attempts, stale_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.state = handle.getValueState("job", STATE_SCHEMA)
+        self.waiting = handle.getListState("waiting", WAITING_SCHEMA)
 
     def _step(self, s: dict, event: str, ts: int, detail: str | None) -> None:
         working = s["status"] in ("claimed", "running")
@@ -128,72 +144,113 @@ class JobMachine(StatefulProcessor):
         elif event == "reclaim" and working:
             s.update(status="pending", heartbeat_at=None, error="reclaimed after worker went silent", updated_at=ts)
 
+    def _silence(self, s: dict, until: int) -> int | None:
+        """Take the job back if its worker was silent too long before ``until``; the last sign of life, if so."""
+        if self.stale_ms is None or s["status"] not in ("claimed", "running") or s["heartbeat_at"] is None:
+            return None
+        since = s["heartbeat_at"]
+        if since + self.stale_ms >= until:
+            return None
+        self._step(s, "reclaim", since + self.stale_ms, None)
+        return since
+
+    def _fold(self, s: dict, events: list[tuple], until: int | None) -> list[tuple[int, dict]]:
+        """Apply events in order, then the silence before ``until``; the spells of silence with the state after each."""
+        spells = []
+        for ts, _, event, detail in events:
+            since = self._silence(s, ts)
+            if since is not None:
+                spells.append((since, dict(s)))
+            self._step(s, event, ts, detail)
+        since = None if until is None else self._silence(s, until)
+        return spells if since is None else [*spells, (since, dict(s))]
+
     def _load(self) -> dict:
         if self.state.exists():
-            return dict(zip([f.split()[0] for f in STATE_SCHEMA.split(", ")], self.state.get()))
+            return dict(zip(STATE_FIELDS, self.state.get()))
         return {
             "status": "pending", "attempts": 0, "max_attempts": self.max_attempts, "heartbeat_at": None,
-            "available_at": None, "error": None, "updated_at": 0, "seen_at": -(2**62),
+            "available_at": None, "error": None, "updated_at": 0, "revision": 0,
         }
 
-    def _emit(self, key, s: dict, stale: bool) -> pd.DataFrame:
-        row = {"job_id": key[0], **{c: s[c] for c in ("status", "attempts", "heartbeat_at", "error", "updated_at")}}
-        return pd.DataFrame([{**row, "stale": stale}]).astype({"heartbeat_at": "Int64", "attempts": "int32"})
+    def _settle(self, s: dict, watermark: int) -> tuple[list[tuple[int, dict]], list[tuple]]:
+        """Move the waiting events the watermark has passed into ``s``; the spells of silence and the events left."""
+        waiting = sorted(self.waiting.get(), key=lambda e: (e[0], e[1])) if self.waiting.exists() else []
+        due = [e for e in waiting if e[0] < watermark]
+        left = waiting[len(due):]
+        spells = self._fold(s, due, watermark)
+        if due:
+            self.waiting.put(left) if left else self.waiting.clear()
+        return spells, left
+
+    def _wake(self, s: dict, left: list[tuple]) -> None:
+        if left:
+            self.handle.registerTimer(left[0][0] + 1)
+        elif self.stale_ms is not None and s["status"] in ("claimed", "running"):
+            self.handle.registerTimer(s["heartbeat_at"] + self.stale_ms + 1)
+
+    def _rows(self, key, s: dict, spells: list[tuple[int, dict]], now: dict | None) -> pd.DataFrame:
+        found = [(since, after, True) for since, after in spells] + ([(None, now, False)] if now else [])
+        rows = []
+        for since, state, stale in found:
+            s["revision"] += 1
+            rows.append({"job_id": key[0], **{c: state[c] for c in ("status", "attempts", "heartbeat_at", "error", "updated_at")},
+                         "stale": stale, "silent_since": since, "revision": s["revision"]})
+        return pd.DataFrame(rows).astype({"heartbeat_at": "Int64", "silent_since": "Int64", "attempts": "int32"})
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        events = pd.concat(list(rows)).sort_values(["ts_ms", "event_id"], kind="stable")
+        for chunk in rows:
+            details = [None if pd.isna(d) else str(d) for d in chunk["detail"]]
+            self.waiting.appendList(list(zip(chunk["ts_ms"].tolist(), chunk["event_id"].tolist(), chunk["event"].tolist(), details)))
         s = self._load()
-        if len(events) and int(events["ts_ms"].iloc[0]) < s["seen_at"]:
-            raise ValueError(f"events of {key[0]} arrive out of order")
-        for event, ts, detail in zip(events["event"], events["ts_ms"], events["detail"]):
-            self._step(s, event, int(ts), None if pd.isna(detail) else str(detail))
-        s["seen_at"] = int(events["ts_ms"].iloc[-1])
+        spells, left = self._settle(s, timerValues.getCurrentWatermarkInMs())
+        now = dict(s)
+        self._fold(now, left, None)
+        out = self._rows(key, s, spells, now)
         self.state.update(tuple(s.values()))
-        if self.timers:
-            for timer in self.handle.listTimers():
-                self.handle.deleteTimer(timer)
-            if s["status"] in ("claimed", "running"):
-                self.handle.registerTimer(s["heartbeat_at"] + self.stale_ms)
-        yield self._emit(key, s, False)
+        self._wake(s, left)
+        yield out
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         s = self._load()
-        if s["status"] in ("claimed", "running"):
-            self._step(s, "reclaim", expiredTimerInfo.getExpiryTimeInMs(), None)
-            self.state.update(tuple(s.values()))
-            yield self._emit(key, s, True)
+        spells, left = self._settle(s, timerValues.getCurrentWatermarkInMs())
+        # The view with all events applied changes only where a silence was settled.
+        now = dict(s)
+        self._fold(now, left, None)
+        if spells:
+            yield self._rows(key, s, spells, now)
+        self.state.update(tuple(s.values()))
+        self._wake(s, left)
 
     def close(self) -> None:
         pass
 
 
 def stream_job_state(
-    events: DataFrame, max_attempts: int = vocab.RETRY_ATTEMPTS, watermark: str | None = None, stale_ms: int = vocab.STALE_CLAIM_MS
+    events: DataFrame, watermark: str, max_attempts: int = vocab.RETRY_ATTEMPTS, stale_ms: int | None = None
 ) -> DataFrame:
-    """Latest state of each job touched in a micro-batch; with a watermark also silent workers.
+    """Latest state of each job touched in a micro-batch, the last row per job by ``revision``; with ``stale_ms`` also silent workers.
 
-    ``events``: job_id, event, ts, event_id and optionally detail. Needs the RocksDB state store.
+    ``events``: job_id, event, ts, event_id and optionally detail. The watermark covers the disorder of the log; events behind
+    it are dropped (``land_windows`` shows how to keep and count them). Needs the RocksDB state store.
     """
-    events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    if events.sparkSession.conf.get("spark.sql.streaming.stateStore.providerClass", None) != ROCKSDB:
+        raise ValueError(f"set spark.sql.streaming.stateStore.providerClass to {ROCKSDB}")
     rows = events if "detail" in events.columns else events.withColumn("detail", F.lit(None).cast("string"))
-    if watermark:
-        rows = rows.withWatermark("ts", watermark)
-    rows = rows.select("job_id", "event", "event_id", "detail", F.unix_millis("ts").alias("ts_ms"), "ts")
+    rows = rows.withWatermark("ts", watermark).select("job_id", "event", "event_id", "detail", F.unix_millis("ts").alias("ts_ms"), "ts")
     return rows.groupBy("job_id").transformWithStateInPandas(
-        JobMachine(max_attempts, stale_ms, timers=watermark is not None), STATE_OUTPUT, "update",
-        "EventTime" if watermark else "None",
-    )
+        JobMachine(max_attempts, stale_ms), STATE_OUTPUT, "update", "EventTime")
 
 
 def stream_stale(events: DataFrame, timeout_ms: int = vocab.STALE_CLAIM_MS, watermark: str = "1 minute") -> DataFrame:
-    """Jobs whose worker went silent, found by event-time timers."""
-    return stream_job_state(events, watermark=watermark, stale_ms=timeout_ms).filter("stale")
+    """Every spell in which a job's worker was silent for too long, once the watermark has settled it."""
+    return stream_job_state(events, watermark, stale_ms=timeout_ms).filter("stale")
 
 
 def land_job_state(states: DataFrame, target: str, checkpoint: str) -> StreamingQuery:
-    """Keep a job table current: each micro-batch overwrites the rows it touched."""
-    def land(batch: DataFrame, _epoch: int) -> None:
-        upsert(batch, target, ["job_id"], F.col("updated_at"))
+    """Keep a job table current: each micro-batch overwrites the rows it touched, in their buckets alone."""
+    def land(batch: DataFrame, epoch: int) -> None:
+        keyed.upsert(batch, target, ["job_id"], F.col("revision"), version=epoch + 1)
 
     return (
         states.writeStream.outputMode("update").foreachBatch(land).option("checkpointLocation", checkpoint)
@@ -201,6 +258,93 @@ def land_job_state(states: DataFrame, target: str, checkpoint: str) -> Streaming
     )
 
 
+def land_rollup(states: DataFrame, job_batches: DataFrame, target: str, checkpoint: str) -> StreamingQuery:
+    """Counts per (batch, status), kept by what changes: a job leaves its former status and enters its new one.
+
+    ``states`` is joined to the static ``job_batches(job_id, batch_id)`` as it passes. Jobs and counts are keyed tables
+    whose versions are micro-batches: a replayed batch builds on the versions under it, so it writes the same or nothing.
+    """
+    def land(batch: DataFrame, epoch: int) -> None:
+        spark, version = batch.sparkSession, epoch + 1
+        moved = stored(last_by(batch.select("job_id", "batch_id", "status", "revision"), ["job_id"], F.col("revision")))
+        if keyed.manifest(spark, f"{target}/jobs", version) is None:
+            keyed.upsert(moved.limit(0), f"{target}/jobs", ["job_id"], F.col("revision"), version=0)
+            empty = spark.createDataFrame([], "batch_id string, status string, n bigint")
+            keyed.upsert(empty, f"{target}/counts", ["batch_id", "status"], F.col("n"), version=0)
+        former = keyed.read(spark, f"{target}/jobs", before=version).join(moved.select("job_id"), "job_id", "left_semi")
+        change = moved.select("batch_id", "status", F.lit(1).alias("n")).unionByName(
+            former.select("batch_id", "status", F.lit(-1).alias("n"))
+        ).groupBy("batch_id", "status").agg(F.sum("n").alias("by")).where("by <> 0")
+        counts = keyed.read(spark, f"{target}/counts", before=version)
+        both = change.alias("c").join(counts.alias("o"), F.col("c.batch_id").eqNullSafe(F.col("o.batch_id")) & (F.col("c.status") == F.col("o.status")), "left")
+        keyed.upsert(both.select("c.batch_id", "c.status", (F.col("c.by") + F.coalesce("o.n", F.lit(0))).alias("n")),
+                     f"{target}/counts", ["batch_id", "status"], F.col("n"), version=version)
+        keyed.upsert(moved, f"{target}/jobs", ["job_id"], F.col("revision"), version=version)
+
+    joined = states.join(job_batches, "job_id", "left")
+    return joined.writeStream.outputMode("update").foreachBatch(land).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def live_rollup(spark: SparkSession, target: str, batches: DataFrame, as_of: datetime) -> DataFrame:
+    """Every batch with its counters and settled status, from the counts ``land_rollup`` keeps."""
+    of = lambda *names: F.coalesce(F.sum(F.when(F.col("status").isin(*names), F.col("n"))), F.lit(0))
+    counted = keyed.read(spark, f"{target}/counts").where("batch_id is not null").groupBy("batch_id").agg(
+        F.sum("n").alias("total_jobs"), of("completed").alias("completed_jobs"), of("failed").alias("failed_jobs"),
+        of("cancelled").alias("cancelled_jobs"), of(*vocab.LIVE_JOB_STATUSES).alias("active_jobs"))
+    return settle_batches(counted, batches, as_of)
+
+
+def land_windows(
+    events: DataFrame, size: str, slide: str | None, delay: str, target: str, checkpoint: str
+) -> StreamingQuery:
+    """Events per window and kind with every late row kept and counted; read the result with ``window_counts``.
+
+    The horizon of a micro-batch is the latest event time of all earlier ones less ``delay``, as for a watermark. An event
+    whose window ended at or before it is late for that window and goes to ``late`` instead of the counts. The
+    batch's own latest time, its rows and its late rows are observed while they are written. Counts are a keyed table by
+    micro-batch, late rows and horizons are files by micro-batch: a replay writes the same again or nothing.
+    """
+    def land(batch: DataFrame, epoch: int) -> None:
+        spark, version = batch.sparkSession, epoch + 1
+        past = [r.latest for r in _progress(spark, target).where(F.col("epoch") < epoch).agg(F.max("latest").alias("latest")).collect()]
+        horizon = F.lit(past[0]).cast("timestamp") - F.expr(f"INTERVAL {delay}")
+        window = F.window("ts", size, slide) if slide else F.window("ts", size)
+        seen = Observation()
+        placed = batch.observe(seen, F.max("ts").alias("latest"), F.count(F.lit(1)).alias("n")).select("*", window.alias("w"))
+        late = F.coalesce(F.col("w.end") <= horizon, F.lit(False))
+        marked = stored(placed.select(*batch.columns, F.col("w.start").alias("start"), F.col("w.end").alias("end"), late.alias("late")))
+        marked.where("late").drop("late").write.mode("overwrite").parquet(f"{target}/late/epoch={epoch}")
+        change = marked.where("not late").groupBy("start", "end", "event").agg(F.count(F.lit(1)).alias("by"))
+        if keyed.manifest(spark, f"{target}/counts", version) is None:
+            keyed.upsert(change.limit(0).withColumnRenamed("by", "n"), f"{target}/counts", ["start", "event"], F.col("n"), version=0)
+        counts = keyed.read(spark, f"{target}/counts", before=version).withColumnRenamed("event", "__event")
+        both = change.join(counts.drop("end"), (change.start == counts.start) & change.event.eqNullSafe(counts.__event), "left")
+        keyed.upsert(both.select(change.start, "end", "event", (F.col("by") + F.coalesce("n", F.lit(0))).alias("n")),
+                     f"{target}/counts", ["start", "event"], F.col("n"), version=version)
+        row = [(epoch, seen.get["latest"], seen.get["n"])]
+        spark.createDataFrame(row, PROGRESS).coalesce(1).write.mode("overwrite").parquet(f"{target}/progress/batch-{epoch}")
+
+    return events.writeStream.foreachBatch(land).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+PROGRESS = "epoch bigint, latest timestamp, n bigint"
+
+
+def _progress(spark: SparkSession, target: str) -> DataFrame:
+    """One row per micro-batch: its number, latest event time and rows."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{target}/progress")
+    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+        return spark.createDataFrame([], PROGRESS)
+    return spark.read.schema(PROGRESS).option("recursiveFileLookup", "true").parquet(f"{target}/progress")
+
+
+def window_counts(spark: SparkSession, target: str) -> DataFrame:
+    """``start``, ``event``, ``n`` in time and ``late`` of every window."""
+    late = spark.read.parquet(f"{target}/late").groupBy("start", "event").agg(F.count(F.lit(1)).alias("late"))
+    return keyed.read(spark, f"{target}/counts").select("start", "event", "n").join(late, ["start", "event"], "full").select(
+        "start", "event", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("late", F.lit(0)).alias("late"))
+
+
 def run_to_table(stream: DataFrame, base: str, mode: str = "append") -> DataFrame:
     """Run a stream over what is available and read the result back as a table.
 

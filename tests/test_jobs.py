@@ -1,6 +1,5 @@
 """Operators on small fixtures: golden rows, skew paths against plain paths, properties."""
 
-import os
 import random
 from datetime import datetime, timezone
 
@@ -12,7 +11,7 @@ from framejobs.functions import paths
 from framejobs.operators import analyze, detect, exports, framing, hygiene, ingest, jobs as J, lookup, ranking, routing
 from framejobs.plans import settings
 from framejobs.sources import bridge as B, media, tables, templates as T
-from framejobs.streaming.jobs import JobMachine, run_to_table, stream_stale
+from framejobs.streaming.jobs import JobMachine
 
 
 def rows(df, *order):
@@ -273,21 +272,6 @@ def test_flat_lay_without_a_person(spark):
     assert (shot.type, shot.confidence) == ("flat_lay", 0.7) and "50%" in shot.reasoning
 
 
-def test_silent_workers_are_found_by_event_time(spark, tmp_path):
-    at = lambda h, m=0: datetime(2024, 1, 1, h, m, tzinfo=timezone.utc)
-    schema = "job_id string, event string, ts timestamp, event_id bigint"
-    waves = [
-        [("a", "claim", at(0), 1), ("b", "claim", at(0), 2), ("b", "complete", at(0, 5), 3)],
-        [("c", "claim", at(5), 4)],
-        [("d", "claim", at(5, 30), 5)],
-    ]
-    for i, wave in enumerate(waves):
-        spark.createDataFrame(wave, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
-    events = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
-    found = run_to_table(stream_stale(events, 3_600_000, "1 minute"), str(tmp_path), "update").collect()
-    assert [(r.job_id, r.status, r.stale) for r in found] == [("a", "pending", True)]
-
-
 def test_analysis_merge_follows_time(spark):
     schema = "source_hash string, engine_version string, status string, error string, created_at int, shot_type string"
     frame = lambda rows: spark.createDataFrame(rows, schema)
@@ -301,17 +285,6 @@ def test_analysis_merge_follows_time(spark):
         "a": ("ready", None, 9, "new"), "b": ("failed", "late", 7, "old"), "c": ("failed", "same", 3, "new"), "d": ("failed", "only", 1, None)}
 
 
-def test_upsert_survives_a_crash_between_its_renames(spark, tmp_path):
-    path = f"{tmp_path}/t"
-    frame = lambda rows: spark.createDataFrame(rows, "k int, v int")
-    tables.upsert(frame([(1, 1), (2, 1)]), path, ["k"], F.col("v"))
-    os.rename(path, path + "__old")  # the swap had put the table aside and not yet replaced it
-    frame([(9, 9)]).write.parquet(path + "__next")
-    tables.upsert(frame([(2, 5)]), path, ["k"], F.col("v"))
-    assert sorted(map(tuple, spark.read.parquet(path).collect())) == [(1, 1), (2, 5)]
-    assert sorted(os.listdir(tmp_path)) == ["t"]
-
-
 def test_storage_key_follows_the_type(spark):
     rows = [("a.png", None, "png"), ("a.PNG", "image/jpeg", "jpg"), ("a.tif", "", "tiff"), ("a.webp", "image/gif", "webp"), ("a.jpeg", None, "jpg")]
     df = spark.createDataFrame(rows, "n string, m string, want string")
@@ -325,23 +298,20 @@ def test_root_files_are_products_of_their_own(spark):
     assert ingest.group_products(df).select("product_id").distinct().count() == 4
 
 
-def test_job_log_out_of_order_stops():
-    class Value:
-        row = None
-
-        def exists(self):
-            return self.row is not None
-
-        def get(self):
-            return self.row
-
-        def update(self, row):
-            self.row = row
-
-    machine = JobMachine()
-    machine.state = Value()
-    batch = lambda *ts: iter([pd.DataFrame({"event": "claim", "ts_ms": list(ts), "event_id": list(ts), "detail": None})])
-    list(machine.handleInputRows(("j",), batch(5, 3), None))
-    list(machine.handleInputRows(("j",), batch(5, 9), None))
-    with pytest.raises(ValueError):
-        list(machine.handleInputRows(("j",), batch(8), None))
+def test_equal_bytes_have_one_storage_key(spark):
+    files = [
+        (1, "a/x.png", "x.png", None, "h1"), (2, "b/x.jpg", "x.jpg", "image/jpeg", "h1"), (3, "c/x.webp", "x.webp", "image/webp", "h1"),
+        (4, "a/y.jpg", "y.jpg", None, "h2"), (5, "b/y.png", "y.png", "image/png", "h2"), (6, "b/z.png", "z.png", "image/png", "h3"),
+    ]
+    listing = spark.createDataFrame(
+        [(a, "i", p, n, m, 10, h, datetime(2024, 1, 1, 0, a)) for a, p, n, m, h in files],
+        "arrival int, import_id string, relative_path string, file_name string, mime_type string, byte_size int, source_hash string, created_at timestamp")
+    analyses = spark.createDataFrame([], "source_hash string, engine_version string, status string")
+    keys = lambda df: {tuple(r) for r in ingest.import_catalog(df, analyses, "1")[2].select("arrival", "storage_key").collect()}
+    # The type under which the bytes arrived first.
+    assert keys(listing) == {(a, f"h{n}//h{n}.{e}") for a, n, e in [(1, 1, "png"), (2, 1, "png"), (3, 1, "png"), (4, 2, "jpg"), (5, 2, "jpg"), (6, 3, "png")]}
+    # The type they decode to; bytes that do not decode have failed.
+    decoded = listing.withColumn("format", F.when(F.col("source_hash") == "h1", "webp").when(F.col("source_hash") == "h2", "png"))
+    assert keys(decoded) == {(a, f"h{n}//h{n}.{e}") for a, n, e in [(1, 1, "webp"), (2, 1, "webp"), (3, 1, "webp"), (4, 2, "png"), (5, 2, "png")]}
+    outcomes = ingest.import_catalog(decoded, analyses, "1")[0]
+    assert ingest.import_counters(outcomes).select("imported_files", "failed_files").collect()[0] == (5, 1)
