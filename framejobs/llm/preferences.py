@@ -8,8 +8,9 @@ included; headers and all other turns are masked.
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
+from framejobs.llm.common import shuffle_partitions, spread_join
 from framejobs.session import stored
 
 OPEN, CLOSE = "<|", "|>"
@@ -78,24 +79,44 @@ def format_pairs(chosen: DataFrame, rejected: DataFrame, pair_col: str = "pair_i
         run, f"pair_id long, prompt string, chosen string, rejected string, chosen_spans {SPANS}, rejected_spans {SPANS}, n_common long")
 
 
+def next_in_order(ids: DataFrame, id_col: str) -> DataFrame:
+    """``(id, next)`` for the distinct values of ``id_col``: the following one in order, null last, and the first after the last.
+
+    Rows are range partitioned, so order needs no single task; only each partition's first id meets the others'.
+    """
+    value = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"))
+    placed = stored(
+        ids.select(value.alias("v")).distinct().repartitionByRange(shuffle_partitions(ids), "v").sortWithinPartitions("v")
+        .withColumn("row", F.monotonically_increasing_id()).withColumn("part", F.shiftright("row", 33)))
+    parts = Window.orderBy("part")  # one row a partition
+    heads = placed.groupBy("part").agg(F.min("v").alias("head")).select(
+        "part", F.coalesce(F.lead("head").over(parts), F.first("head").over(parts)).alias("ahead"))
+    follows = F.lead("v").over(Window.partitionBy("part").orderBy("row"))
+    return placed.withColumn("follows", follows).join(heads, "part").select(
+        F.col("v.id").alias("id"), F.coalesce("follows", "ahead")["id"].alias("next"))
+
+
 def answer_swaps(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Chosen and rejected sides made from plain conversations.
 
-    Chosen is a conversation as it is; rejected follows it to its last assistant turn, and there gives the last answer of
-    the conversation whose id differs in the lowest bit. Conversations without an answer, or whose partner
-    has none, make no pair.
+    Chosen is a conversation as it is; rejected follows it to its last assistant turn, and there gives the last answer of the
+    next answered conversation in id order, the last one that of the first, so every answered conversation makes a pair
+    (alone in its table, with equal sides). One without an answer makes none. Rows of null ids are one conversation, in order
+    after all others. A null turn comes before every other; of several assistant rows at the last turn the largest
+    text is the answer, and all of them are exchanged, repeated rows included. An empty table gives empty sides.
     """
-    turns = conversations.select(F.col("conv_id").cast("long").alias("pair_id"), "turn", "role", "text").where("pair_id is not null")
+    turns = conversations.select(F.col("conv_id").cast("long").alias("pair_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
     last = stored(
-        turns.where("role = 'assistant'").groupBy("pair_id").agg(F.max(F.struct("turn", "text")).alias("of")).select("pair_id", "of.turn", "of.text")
-    )
-    swaps = stored(
-        last.select("pair_id", F.col("turn").alias("last_turn"))
-        .join(last.select(F.col("pair_id").bitwiseXOR(F.lit(1)).alias("pair_id"), F.col("text").alias("answer")), "pair_id")
+        turns.where("role = 'assistant'").groupBy("pair_id").agg(F.max(F.struct("turn", "text")).alias("of"))
+        .select("pair_id", F.col("of.turn").alias("last_turn"), F.col("of.text").alias("answer"))
     )
-    sided = turns.join(swaps, "pair_id")
+    order = stored(next_in_order(last, "pair_id").select(F.col("id").alias("pair_id"), F.col("next").alias("partner")))
+    answers = last.select(F.col("pair_id").alias("partner"), "answer")
+    swaps = stored(spread_join(spread_join(last.select("pair_id", "last_turn"), order, ["pair_id"]), answers, ["partner"]).drop("partner"))
+    sided = spread_join(turns, swaps, ["pair_id"])
     chosen = sided.select("pair_id", "turn", "role", "text")
-    swapped = (F.col("turn") == F.col("last_turn")) & (F.col("role") == "assistant")
-    rejected = sided.where((F.col("turn") < F.col("last_turn")) | swapped).select(
+    swapped = F.col("turn").eqNullSafe(F.col("last_turn")) & F.coalesce(F.col("role") == "assistant", F.lit(False))
+    before = F.coalesce(F.col("turn") < F.col("last_turn"), F.col("turn").isNull() & F.col("last_turn").isNotNull())
+    rejected = sided.where(before | swapped).select(
         "pair_id", "turn", "role", F.when(swapped, F.col("answer")).otherwise(F.col("text")).alias("text"))
     return chosen, rejected

@@ -78,13 +78,15 @@ FROM documents LEFT JOIN p ON md5(text) = text_key
 """
 
 PREFERENCES_SQL = r"""
-WITH l AS (SELECT conv_id, max(ROW(turn, text)) AS last FROM conversations WHERE role = 'assistant' AND conv_id IS NOT NULL GROUP BY conv_id),
-w AS (SELECT a.conv_id, a.last[1] AS last_turn, b.last[2] AS answer FROM l a JOIN l b ON b.conv_id = xor(a.conv_id, 1)),
+WITH l AS (SELECT conv_id, max(ROW(turn, text)) AS last FROM conversations WHERE role = 'assistant' GROUP BY conv_id),
+p AS (SELECT conv_id, last, row_number() OVER (ORDER BY conv_id NULLS LAST) AS i, count(*) OVER () AS n FROM l),
+w AS (SELECT a.conv_id, a.last[1] AS last_turn, b.last[2] AS answer FROM p a JOIN p b ON b.i = a.i % a.n + 1),
+j AS (SELECT c.*, w.last_turn, w.answer, c.turn IS NOT DISTINCT FROM w.last_turn AND c.role = 'assistant' AS swapped
+  FROM conversations c JOIN w ON c.conv_id IS NOT DISTINCT FROM w.conv_id),
 s AS (
-  SELECT conv_id, 'c' AS side, turn, role, text FROM conversations JOIN w USING (conv_id)
+  SELECT conv_id, 'c' AS side, turn, role, text FROM j
   UNION ALL
-  SELECT conv_id, 'r', turn, role, CASE WHEN turn = last_turn AND role = 'assistant' THEN answer ELSE text END
-  FROM conversations JOIN w USING (conv_id) WHERE turn < last_turn OR (turn = last_turn AND role = 'assistant')),
+  SELECT conv_id, 'r', turn, role, CASE WHEN swapped THEN answer ELSE text END FROM j WHERE turn < last_turn OR swapped),
 n AS (SELECT conv_id, side, coalesce(role, '') AS role, coalesce(text, '') AS text,
         row_number() OVER (PARTITION BY conv_id, side ORDER BY turn, role, text) AS place FROM s),
 c AS (

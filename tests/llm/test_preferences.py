@@ -41,3 +41,25 @@ def test_repeated_rows_and_long_conversations(spark):
     other = turns[:3000]
     r = preferences.format_pairs(spark.createDataFrame(turns, SCHEMA), spark.createDataFrame(other, SCHEMA)).collect()[0]
     assert r.n_common == 3000 and r.rejected == "" and len(r.chosen_spans) == 500
+
+
+def test_every_answered_conversation_makes_a_pair(spark):
+    rows = [(c, t, role, f"{c} {t} {role}", "x") for c in (2, 4, 40, 6, None) for t, role in ((0, "user"), (1, "assistant"), (2, "assistant"), (3, "user"))]
+    rows += [(8, 0, "user", "no answer", ""), (10, None, "assistant", "only", ""), (10, None, "assistant", "only", ""), (4, 2, "assistant", "4 2 assistant", ""),
+             (12, None, None, None, ""), (12, 5, "assistant", None, "")]
+    chosen, rejected = preferences.answer_swaps(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, answer string").repartition(4))
+    kept, gone = ({c: sorted(((r.turn, r.role, r.text) for r in side.collect() if r.pair_id == c), key=str) for c in (2, 4, 6, 10, 12, 40, None)}
+                  for side in (chosen, rejected))
+    partner = {2: "4 2 assistant", 4: "6 2 assistant", 6: "only", 10: None, 12: "40 2 assistant", 40: "None 2 assistant", None: "2 2 assistant"}
+    for c in (2, 6, 40, None):
+        assert kept[c] == sorted([(t, r, f"{c} {t} {r}") for t, r in ((0, "user"), (1, "assistant"), (2, "assistant"), (3, "user"))], key=str)
+        assert gone[c] == sorted([(0, "user", f"{c} 0 user"), (1, "assistant", f"{c} 1 assistant"), (2, "assistant", partner[c])], key=str)
+    assert len(kept[4]) == 5 and gone[4].count((2, "assistant", "6 2 assistant")) == 2
+    assert gone[10] == [(None, "assistant", None)] * 2 and gone[12] == [(5, "assistant", "40 2 assistant"), (None, None, None)]
+    assert {r.pair_id for r in chosen.collect()} == set(partner)
+    formatted = preferences.format_pairs(chosen, rejected).collect()
+    assert {r.pair_id for r in formatted} == set(partner)
+    empty = preferences.answer_swaps(spark.createDataFrame([], "conv_id long, turn long, role string, text string"))
+    assert preferences.format_pairs(*empty).collect() == []
+    alone = preferences.format_pairs(*preferences.answer_swaps(spark.createDataFrame(rows[:4], "conv_id long, turn long, role string, text string, answer string"))).collect()
+    assert len(alone) == 1 and alone[0].rejected == ""
