@@ -155,10 +155,15 @@ def remove_repeats(
         _profiles(window), "doc long, doc_id long, k1 long, k2 long, n_words long, whole string, places array<int>, grams array<long>"))
     texts = stored(profiles.groupBy("k1", "k2").agg(
         F.min("doc").alias("first_doc"), F.any_value("places").alias("places"), F.any_value("grams").alias("grams")))
-    sites = texts.select("k1", "k2", "first_doc", F.explode(F.arrays_zip("places", "grams")).alias("at")).select(
-        "k1", "k2", "first_doc", F.col("at.places").alias("place"), F.col("at.grams").alias("gram"))
+    rows = stored(profiles.select("doc", "doc_id", "k1", "k2", "n_words", "whole"))
+    firsts = stored(texts.select("k1", "k2", "first_doc"))
+    release(profiles)
+    sites = texts.select("k1", "k2", F.explode(F.arrays_zip("places", "grams")).alias("at")).select(
+        "k1", "k2", F.col("at.places").alias("place"), F.col("at.grams").alias("gram"))
     often = stored(sites.groupBy("gram").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("gram"))
-    anchors = stored(sites.join(often, "gram").groupBy("k1", "k2", "first_doc").agg(F.collect_list("place").alias("places")))  # of one text
+    anchors = stored(sites.join(often, "gram").groupBy("k1", "k2").agg(F.collect_list("place").alias("places")).join(firsts, ["k1", "k2"]))  # of one text
+    release(texts)
+    release(often)
 
     def cut(batches):
         for pdf in _slices(batches):
@@ -180,7 +185,6 @@ def remove_repeats(
         .withColumns({"p1": F.xxhash64("packed"), "p2": F.xxhash64(F.lit(7), "packed")})
     )
     release(anchors)
-    release(often)
     strings = stored(
         occurrences.groupBy("gram", "p1", "p2").agg(
             F.min(F.struct("doc", "start")).alias("first"), F.count(F.lit(1)).alias("times"),
@@ -198,6 +202,8 @@ def remove_repeats(
     # Stored, so that the join below is a plain one of two tables and a string with very many places can be split.
     marked = stored(strings.select("p1", "p2", "times", F.col("doc").alias("of_doc"), F.col("start").alias("of_start")).join(
         masks, ["p1", "p2"], "left").where("times > 1 or mask is not null"))
+    for done in (strings, sizes, masks):
+        release(done)
     is_first = (F.col("doc") == F.col("of_doc")) & (F.col("start") == F.col("of_start"))
     every = F.expr("shiftleft(1L, n) - 1")
     removed = stored(
@@ -207,7 +213,7 @@ def remove_repeats(
         .agg(F.collect_list("start").alias("starts"), F.collect_list("mask").alias("masks"))  # of one text
     )
     release(occurrences)
-    release(strings)
+    release(marked)
 
     def edit(batches):
         for pdf in _slices(batches):
@@ -221,13 +227,12 @@ def remove_repeats(
 
     text_column = ", kept_text string" if with_text else ""
     edited = first_rows(removed).mapInPandas(edit, f"k1 long, k2 long, n_gone long, rest string{text_column}")
-    rows = profiles.select("doc", "doc_id", "k1", "k2", "n_words", "whole")
     if with_text:  # the words of documents that keep all of them
         own = F.array_join(F.regexp_extract_all("text", F.lit(r"([^\x20\x09-\x0D]+)"), 1), " ")
         rows = keyed.select("k1", "k2", "doc", "doc_id", F.coalesce(own, F.lit("")).alias("own")).join(
             rows.drop("doc", "doc_id").dropDuplicates(["k1", "k2"]), ["k1", "k2"])
     copy = (F.col("doc") > F.col("first_doc")) & (F.col("n_words") >= window)
-    result = rows.join(texts.select("k1", "k2", "first_doc"), ["k1", "k2"]).join(edited, ["k1", "k2"], "left").select(
+    result = rows.join(firsts, ["k1", "k2"]).join(edited, ["k1", "k2"], "left").select(
         "doc_id", "n_words",
         F.when(copy, F.col("n_words")).otherwise(F.coalesce("n_gone", F.lit(0))).alias("n_removed"),
         F.when(copy, F.lit(digest([]))).otherwise(F.coalesce("rest", "whole")).alias("kept_sha256"),
