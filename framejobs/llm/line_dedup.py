@@ -12,31 +12,36 @@ shuffled, and tokens are looked at only in leaves with two lines or more.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from framejobs.llm.common import WORD
+from framejobs.llm.common import WORD, release
 from framejobs.session import stored
 
 FIELD = "<*>"
 BLANK = r"[\x20\x09-\x0D]"
 
 
-def _masked_lines(texts: DataFrame) -> DataFrame:
-    """Every line with its digits generalised."""
-    return texts.select("text_key", "doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line")).withColumn(
-        "line", F.regexp_replace("line", "[0-9]+", FIELD))
+def _masked_lines(text: Column) -> Column:
+    """The lines of a text with their digits generalised, which is done once for the whole text."""
+    return F.split(F.regexp_replace(text, "[0-9]+", FIELD), "\n")
 
 
-def _line_rows(texts: DataFrame, least_tokens: int, depth: int) -> DataFrame:
-    """One row per line with enough tokens: text key, id, line number, line key and leaf. Only the leading tokens are taken
-    apart here."""
-    rows = _masked_lines(texts).withColumn("n", F.regexp_count("line", F.lit(WORD))).where(F.col("n") >= least_tokens)
+def _key(*columns) -> Column:
+    """128-bit key of some columns."""
+    return F.struct(F.xxhash64(*columns).alias("a"), F.xxhash64(F.lit(7), *columns).alias("b"))
+
+
+def _line_rows(texts: DataFrame, depth: int) -> DataFrame:
+    """One row per line with a word: text key, id, line number, tokens, line key and leaf. Only the leading tokens are taken
+    apart here; a line of fewer is its own leaf."""
+    rows = texts.select("text_key", "doc_id", F.posexplode(_masked_lines(F.col("text"))).alias("line_no", "line")).withColumn(
+        "n", F.regexp_count("line", F.lit(WORD))).where("n > 0")
     lead = F.regexp_extract("line", rf"^{BLANK}*({WORD}(?:{BLANK}+{WORD}){{0,{depth - 1}}})", 1)
-    leaf = F.unhex(F.md5(F.concat_ws(" ", F.col("n").cast("string"), F.regexp_replace(lead, f"{BLANK}+", " "))))
-    return rows.select("text_key", "doc_id", "line_no", F.unhex(F.md5("line")).alias("line_key"), leaf.alias("leaf"))
+    return rows.select(
+        "text_key", "doc_id", "line_no", "n", _key("line").alias("line_key"), _key("n", F.regexp_replace(lead, f"{BLANK}+", " ")).alias("leaf"))
 
 
-def line_templates(texts: DataFrame, lines: DataFrame, depth: int, least_tokens: int, share: int, constant: float) -> DataFrame:
+def line_templates(texts: DataFrame, lines: DataFrame, share: int, constant: float) -> DataFrame:
     """``(line_key, template)`` for the lines that share their leaf with others and keep enough tokens.
 
     ``share``: a token stays if at least two and one in ``share`` of the leaf's distinct lines have it there.
@@ -47,17 +52,20 @@ def line_templates(texts: DataFrame, lines: DataFrame, depth: int, least_tokens:
         distinct.join(leaves, "leaf").select("at.text_key", "at.doc_id", F.struct("at.line_no", "line_key", "leaf", "leaf_lines").alias("of"))
         .groupBy("text_key", "doc_id").agg(F.collect_list("of").alias("wanted"))  # at most the lines of one text
     )
+    release(distinct)
+    release(leaves)
     # The tokens of one occurrence of each such line, read again from its text: of copies, the one with the smallest id.
     once = texts.join(wanted, ["text_key", "doc_id"])
     if texts.groupBy("text_key", "doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count():
         once = once.dropDuplicates(["text_key"])  # rows that repeat a document
     rows = stored(
-        once.select(F.split("text", "\n").alias("parts"), "wanted")
+        once.select(_masked_lines(F.col("text")).alias("parts"), "wanted")
         .select(F.explode(F.transform("wanted", lambda of: F.struct(
-            F.regexp_replace(F.get(F.col("parts"), of["line_no"]), "[0-9]+", FIELD).alias("line"),
+            F.get(F.col("parts"), of["line_no"]).alias("line"),
             of["line_key"].alias("line_key"), of["leaf"].alias("leaf"), of["leaf_lines"].alias("leaf_lines")))).alias("of"))
         .select("of.line_key", "of.leaf", "of.leaf_lines", F.posexplode(F.regexp_extract_all("of.line", F.lit(f"({WORD})"), 1)).alias("place", "token"))
     )
+    release(wanted)
     support = stored(rows.groupBy("leaf", "place", "token").agg(F.count(F.lit(1)).alias("support")))
     stays = (F.col("support") >= 2) & (F.col("support") * share >= F.col("leaf_lines"))
     marked = rows.join(support, ["leaf", "place", "token"]).select(
@@ -66,19 +74,22 @@ def line_templates(texts: DataFrame, lines: DataFrame, depth: int, least_tokens:
         F.array_sort(F.collect_list(F.struct("place", F.coalesce("kept", F.lit(FIELD)).alias("token")))).alias("tokens"),
         F.sum("stays").alias("stays"), F.count(F.lit(1)).alias("n"),
     ).where(F.col("stays") >= F.col("n") * constant)
-    template = F.unhex(F.md5(F.concat_ws(" ", F.lit("template"), F.transform("tokens", lambda t: t["token"]))))
-    return whole.select("line_key", template.alias("template"))
+    template = _key(F.lit("template"), F.concat_ws(" ", F.transform("tokens", lambda t: t["token"])))
+    found = stored(whole.select("line_key", template.alias("template")))
+    release(rows)
+    release(support)
+    return found
 
 
 def drop_recurring_lines(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = 3, least_documents: int = 3,
-    least_tokens: int = 3, share: int = 20, constant: float = 0.75,
+    long_line: int = 50, share: int = 20, constant: float = 0.75,
 ) -> DataFrame:
     """All columns of ``docs`` with the text cleaned, and ``n_lines``, ``n_dropped``.
 
-    A line goes if its template occurs in at least ``least_documents`` different texts and another text has it first
-    (by smallest id, then text hash). Lines of fewer than ``least_tokens`` tokens stay. A null text stays null
-    with 0 lines; an empty one is one empty line. Rows of equal text are treated alike and all returned; a
+    A line with a word goes if its template occurs in at least ``least_documents`` different texts, or in two if it has
+    ``long_line`` tokens or more, and another text has it first (by smallest id, then text hash). Blank lines stay. A null text
+    stays null with 0 lines; an empty one is one empty line. Rows of equal text are treated alike and all returned; a
     null id comes after every other. Columns ``n_lines`` and ``n_dropped`` of ``docs`` are replaced.
     """
     columns = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
@@ -86,22 +97,28 @@ def drop_recurring_lines(
     texts = marked.where(F.col(text_col).isNotNull()).select(
         F.col("__key").alias("text_key"), F.coalesce(F.col(id_col).cast("long"), F.lit(2**63 - 1)).alias("doc_id"), F.col(text_col).alias("text"))
     lines = stored(
-        _line_rows(texts, least_tokens, depth)
-        .groupBy("text_key", "line_no", "line_key", "leaf").agg(F.min("doc_id").alias("doc_id"))
+        _line_rows(texts, depth)
+        .groupBy("text_key", "line_no", "line_key", "leaf", "n").agg(F.min("doc_id").alias("doc_id"))
     )
-    templates = stored(line_templates(texts, lines, depth, least_tokens, share, constant))
+    templates = line_templates(texts, lines, share, constant)
     named = stored(lines.join(templates, "line_key", "left").select(
-        "text_key", "line_no", "doc_id", F.coalesce("template", "line_key").alias("template")))
-    per_text = named.groupBy("template", "text_key").agg(F.min("doc_id").alias("doc_id"))
+        "text_key", "line_no", "doc_id", "n", F.coalesce("template", "line_key").alias("template")))
+    release(lines)
+    release(templates)
+    per_text = named.groupBy("template", "text_key").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"))
+    enough = (F.col("texts") >= least_documents) | ((F.col("texts") >= 2) & (F.col("n") >= long_line))
     recurring = stored(
-        per_text.groupBy("template").agg(F.count(F.lit(1)).alias("texts"), F.min(F.struct("doc_id", "text_key")).alias("first"))
-        .where(F.col("texts") >= least_documents).select("template", F.col("first.text_key").alias("owner"))
+        per_text.groupBy("template").agg(
+            F.count(F.lit(1)).alias("texts"), F.max("n").alias("n"), F.min(F.struct("doc_id", "text_key")).alias("first"))
+        .where(enough).select("template", F.col("first.text_key").alias("owner"))
     )
     dropped = stored(
         named.join(recurring, "template").where(F.col("text_key") != F.col("owner"))
         .groupBy("text_key").agg(F.collect_list("line_no").alias("lines"))  # at most the lines of one text
         .select(F.col("text_key").alias("__key"), F.col("lines").alias("__lines"))
     )
+    release(named)
+    release(recurring)
     split = F.split(F.col(text_col), "\n")
     breaks = F.octet_length(text_col) - F.octet_length(F.replace(F.col(text_col), F.lit("\n"), F.lit("")))
     total = F.coalesce((breaks + 1).cast("int"), F.lit(0))

@@ -53,7 +53,7 @@ k AS (SELECT text_key, doc_id, line_no, regexp_replace(line, '[0-9]+', '<*>', 'g
 l AS MATERIALIZED (
   SELECT text_key, line_no, min(doc_id) AS doc_id, any_value(tokens) AS tokens, any_value(masked) AS line_key,
          any_value(len(tokens) || ' ' || array_to_string(tokens[1:3], ' ')) AS leaf
-  FROM k WHERE len(tokens) >= 3 GROUP BY text_key, line_no),
+  FROM k WHERE len(tokens) > 0 GROUP BY text_key, line_no),
 d AS MATERIALIZED (SELECT line_key, leaf, any_value(tokens) AS tokens FROM l GROUP BY line_key, leaf),
 f AS (SELECT leaf, count(*) AS leaf_lines FROM d GROUP BY leaf HAVING count(*) > 1),
 r AS MATERIALIZED (
@@ -63,10 +63,10 @@ m AS (SELECT line_key, place, token, support >= 2 AND support * 20 >= leaf_lines
 g AS (
   SELECT line_key, 'template ' || string_agg(CASE WHEN stays THEN token ELSE '<*>' END, ' ' ORDER BY place) AS template
   FROM m GROUP BY line_key HAVING count(*) FILTER (stays) >= count(*) * 0.75),
-n AS MATERIALIZED (SELECT text_key, line_no, doc_id, coalesce(template, 'line ' || line_key) AS template FROM l LEFT JOIN g USING (line_key)),
+n AS MATERIALIZED (SELECT text_key, line_no, doc_id, len(tokens) AS n, coalesce(template, 'line ' || line_key) AS template FROM l LEFT JOIN g USING (line_key)),
 o AS (
-  SELECT template, min(ROW(doc_id, text_key)) AS first FROM (SELECT template, text_key, min(doc_id) AS doc_id FROM n GROUP BY ALL)
-  GROUP BY template HAVING count(*) >= 3),
+  SELECT template, min(ROW(doc_id, text_key)) AS first FROM (SELECT template, text_key, min(doc_id) AS doc_id, max(n) AS n FROM n GROUP BY template, text_key)
+  GROUP BY template HAVING count(*) >= 3 OR (count(*) >= 2 AND max(n) >= 50)),
 p AS (
   SELECT text_key, list(line_no) AS lines FROM n JOIN o USING (template) WHERE text_key <> first[2] GROUP BY text_key)
 SELECT doc_id,
