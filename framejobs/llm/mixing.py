@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from framejobs.llm.common import WORD, running_totals, spread_join
+from framejobs.llm.common import WORD, release, running_totals, spread_join
 from framejobs.session import stored
 
 
@@ -81,6 +81,7 @@ def mix(
     queued = running_totals(offers, ["epoch", "turn", "doc_id", "key", "repeat"], {"size": "offered"}, ["source"])
     timed = spread_join(queued, targets, ["source"]).where("target > 0").withColumn(
         "finish", (F.col("offered") + F.col("size")) / F.col("target"))
+    release(rows)
     budget = targets.agg(F.coalesce(F.sum("target"), F.lit(0.0))).head()[0]
     ordered = running_totals(
         timed.select("doc_id", "source", "size", "key", "epoch", "turn", "repeat", "finish"),
@@ -103,19 +104,17 @@ def mixed_documents(docs: DataFrame, text_col: str = "text", **options) -> DataF
     """The mix itself: the columns of ``docs``, each document as often as the mix takes it."""
     columns = docs.columns
     id_col, source_col = options.get("id_col", "doc_id"), options.get("source_col", "source")
-    keys = ["__id", "__source", "__key"]
+    # One key without nulls for rows and results, so that one exchange of the texts serves the join and the numbering.
+    key = lambda *cs: {"__a": F.xxhash64(*cs), "__b": F.xxhash64(F.lit(7), *cs)}
     taken = stored(
-        mix(docs, text_col=text_col, **options)
-        .groupBy(*[F.col(c).alias(k) for c, k in zip(("doc_id", "source", "key"), keys)])
-        .agg(F.sum("copies").alias("__copies"), F.count(F.lit(1)).alias("__rows"))
-        .where("__copies > 0")
+        mix(docs, text_col=text_col, **options).groupBy("doc_id", "source", "key")
+        .agg(F.sum("copies").alias("__copies"), F.count(F.lit(1)).alias("__rows")).where("__copies > 0")
+        .withColumns(key("doc_id", F.col("source").isNull(), "source", "key")).drop("doc_id", "source", "key")
     )
-    marked = docs.withColumns({
-        "__id": F.col(id_col).cast("long"), "__source": F.col(source_col).cast("string"),
-        "__key": F.md5(F.coalesce(F.col(text_col), F.lit(""))),
-    }).withColumn("__repeat", F.row_number().over(Window.partitionBy(*keys).orderBy("__id")))
+    source = F.col(source_col).cast("string")
+    marked = docs.withColumns(key(F.col(id_col).cast("long"), source.isNull(), source, F.md5(F.coalesce(F.col(text_col), F.lit("")))))
+    repeat = F.row_number().over(Window.partitionBy("__a", "__b").orderBy("__rows"))
     # Rows that repeat a document are alike and share its copies evenly.
-    own = F.floor(F.col("__copies") / F.col("__rows")) + F.when(
-        F.col("__repeat") <= F.col("__copies") % F.col("__rows"), 1).otherwise(0)
-    return spread_join(marked, taken, keys).withColumn("__own", own.cast("int")).where("__own > 0").withColumn(
+    own = F.floor(F.col("__copies") / F.col("__rows")) + F.when(repeat <= F.col("__copies") % F.col("__rows"), 1).otherwise(0)
+    return marked.join(taken, ["__a", "__b"]).withColumn("__own", own.cast("int")).where("__own > 0").withColumn(
         "__copy", F.explode(F.sequence(F.lit(1), F.col("__own")))).select(*columns)
