@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
@@ -199,41 +204,115 @@ def pack_by_bytes(
     """Greedy units bounded by bytes, in order; an oversize file goes alone. ``order`` is unique per key.
 
     Where a unit starts depends on where the previous one ended. Small keys are one streaming fold
-    each. When a key exceeds ``max_group_rows`` its rows are cut into blocks that are folded side by
-    side: each block first guesses the bytes open at its start and is folded again until every guess
-    equals what the block before really left open. Folds forget their start after a unit or two, so
-    two or three rounds settle it; the result is exact in any case, as block after block becomes final.
+    each. When a key exceeds ``max_group_rows`` it is range partitioned into blocks, and units are found as steps to
+    "the first file of the next unit", by pointer doubling over blocks: see ``_pack_in_blocks``.
     """
     narrow = files.select(*keys, order, size)
     if largest_group(narrow, keys) <= max_group_rows:
         entry = narrow.withColumns({"__part": F.lit(0), "__open": F.lit(None).cast("double")})
         return _fold_units(entry, keys, order, size, max_bytes).select(*narrow.columns, "unit_id")
-    parts = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    blocks = stored(
-        narrow.repartitionByRange(parts, *keys, order).withColumn("__part", F.spark_partition_id())
-    )
-    cell = [*keys, "__part"]
-    previous = Window.partitionBy(*keys).orderBy("__part")
-    before = previous.rowsBetween(Window.unboundedPreceding, -1)
+    return _pack_in_blocks(narrow, keys, order, size, max_bytes)
+
+
+def _starts(sizes: np.ndarray, before: float, max_bytes: float) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes up to and with each file, and the first file of the unit after the one that starts at each (may be the end)."""
+    ends = before + np.cumsum(sizes)
+    follow = np.searchsorted(ends, ends - sizes + max_bytes, side="right")
+    return ends, np.maximum(follow, np.arange(1, len(sizes) + 1))
+
+
+def _last_start(follow: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The last unit start of the block that each start leads to, and the units on the way with its own."""
+    at = np.arange(len(follow))
+    step = np.where(follow < len(follow), follow, at)
+    units = (step != at).astype(np.int64)
+    while (step[step] != step).any():
+        units, step = units + units[step], step[step]
+    return step, units + 1
+
+
+def _exits(ends: np.ndarray, sizes: np.ndarray, last: np.ndarray, max_bytes: float) -> np.ndarray:
+    """What a chain leaves the block with: the bytes its open unit reaches to, or -1 if that holds one file too large."""
+    return np.where(sizes[last] > max_bytes, -1.0, ends[last] - sizes[last] + max_bytes)
+
+
+def _pack_in_blocks(narrow: DataFrame, keys: list[str], order: str, size: str, max_bytes: int) -> DataFrame:
+    """Greedy units of keys too large for one task.
+
+    A chain of units enters a block, leaves it with the bytes its open unit still reaches to, and enters a later block at the
+    first file beyond them; -1 stands for a block's first file. Chains that enter a block at different files soon run
+    together, so few such entries exist. They are the nodes of a graph in which each has one successor. The
+    nodes that the key's first file leads to are found in as many rounds as the number of blocks has binary digits, each
+    round doubling the steps; then every block is numbered by itself. A block is one task's rows.
+    """
+    parts = int(narrow.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = stored(narrow.repartitionByRange(parts, *keys, order).withColumn("__part", F.spark_partition_id()))
+    along = Window.partitionBy(*keys).orderBy("__part")
+    sums = placed.groupBy(*keys, "__part").agg(F.sum(size).cast("double").alias("__sum")).withColumn("__cell", F.monotonically_increasing_id())
     # One row per (key, block): at most the number of partitions for each key.
-    state = stored(blocks.select(*cell).distinct().withColumn(
-        "__open", F.when(F.row_number().over(previous) > 1, F.lit(0.0))
-    ))
-    while True:
-        folded = stored(_fold_units(blocks.join(state, cell), keys, order, size, max_bytes))
-        ends = folded.groupBy(*cell).agg(
-            F.max_by("__total", F.col(order)).alias("__end"), F.max("unit_id").alias("__units")
-        )
-        nxt = stored(ends.select(
-            *cell, F.lag("__end").over(previous).alias("__open"),
-            F.coalesce(F.sum("__units").over(before), F.lit(0)).alias("__before"),
-        ))
-        guess = state.withColumnRenamed("__open", "__guess")
-        if nxt.join(guess, cell).filter(~F.col("__open").eqNullSafe(F.col("__guess"))).isEmpty():
-            break
-        state = nxt.select(*cell, "__open")
-    done = folded.join(nxt.select(*cell, "__before"), cell)
-    return done.withColumn("unit_id", (F.col("unit_id") + F.col("__before")).cast("int")).select(*narrow.columns, "unit_id")
+    cells = stored(stored(sums).withColumns({
+        "__end": F.sum("__sum").over(along), "__key": F.first("__cell").over(along)}).withColumn("__before", F.col("__end") - F.col("__sum")))
+    same = reduce(and_, [placed[k].eqNullSafe(cells[k]) for k in keys], placed["__part"] == cells["__part"])
+    blocks = stored(placed.join(cells, same).select(*[placed[k] for k in keys], placed[order], placed[size], "__cell", "__key", "__before"))
+    routes = stored(cells.groupBy("__key").agg(F.array_sort(F.collect_list(F.struct("__part", "__cell", "__end"))).alias("__way")))
+
+    def routed(exits: DataFrame) -> DataFrame:
+        """The (cell, reach) at which chains that leave ``__cell`` with ``__reach`` enter next; none at the end of the key."""
+        beyond = F.size(F.filter("__way", lambda c: c["__end"] <= F.col("__reach")))
+        own = F.array_position(F.transform("__way", lambda c: c["__cell"]), F.col("__cell")).cast("int")
+        place = F.when(F.col("__reach") >= 0, beyond).otherwise(own)  # positions count from one, places from nought
+        return exits.join(routes, "__key").withColumn("__to", F.get(F.col("__way"), place)["__cell"]).drop("__way")
+
+    def leave(pdf: pd.DataFrame) -> pd.DataFrame:
+        sizes = pdf.sort_values(order)[size].to_numpy(dtype=float)
+        ends, follow = _starts(sizes, pdf["__before"].iloc[0], max_bytes)
+        found = np.unique(_exits(ends, sizes, np.unique(_last_start(follow)[0]), max_bytes))
+        return pd.DataFrame({"__key": pdf["__key"].iloc[0], "__cell": pdf["__cell"].iloc[0], "__reach": found})
+
+    def follow_up(pdf: pd.DataFrame, nodes: pd.DataFrame) -> pd.DataFrame:
+        sizes = pdf.sort_values(order)[size].to_numpy(dtype=float)
+        ends, follow = _starts(sizes, pdf["__before"].iloc[0], max_bytes)
+        last, units = _last_start(follow)
+        at = np.where(nodes["__entry"] < 0, 0, np.searchsorted(ends, nodes["__entry"].to_numpy(), side="right"))
+        return pd.DataFrame({
+            "__key": pdf["__key"].iloc[0], "__cell": pdf["__cell"].iloc[0], "__entry": nodes["__entry"].to_numpy(), "__units": units[at],
+            "__reach": _exits(ends, sizes, last[at], max_bytes)})
+
+    exits = blocks.groupBy("__cell").applyInPandas(leave, "__key long, __cell long, __reach double")
+    entries = routed(exits).where("__to is not null").select(
+        F.col("__to").alias("__cell"), F.when(F.col("__reach") >= 0, F.col("__reach")).otherwise(-1.0).alias("__entry"))
+    first = cells.where("__cell = __key").select("__cell", F.lit(-1.0).alias("__entry"))
+    nodes = stored(entries.union(first).distinct())
+    steps = stored(routed(blocks.join(nodes.select("__cell").distinct(), "__cell", "left_semi").groupBy("__cell").cogroup(nodes.groupBy("__cell")).applyInPandas(
+        follow_up, "__key long, __cell long, __entry double, __units long, __reach double"
+    )).withColumn("__next", F.when(F.col("__to").isNotNull(), F.greatest("__reach", F.lit(-1.0)))))
+
+    reached = stored(first)
+    jump = stored(steps.where("__to is not null").select("__cell", "__entry", "__to", "__next"))
+    while not jump.isEmpty():
+        ahead = reached.join(jump, ["__cell", "__entry"]).select(F.col("__to").alias("__cell"), F.col("__next").alias("__entry"))
+        reached = stored(reached.union(ahead).distinct())
+        onward = jump.select(F.col("__cell").alias("__to"), F.col("__entry").alias("__next"), F.col("__to").alias("__to2"), F.col("__next").alias("__next2"))
+        jump = stored(jump.join(onward, ["__to", "__next"]).select("__cell", "__entry", F.col("__to2").alias("__to"), F.col("__next2").alias("__next")))
+
+    taken = steps.join(reached, ["__cell", "__entry"]).select("__cell", "__entry", "__units")
+    numbered = stored(cells.select("__cell", "__key", "__part").join(taken, "__cell", "left").withColumn(
+        "__past", F.coalesce(F.sum("__units").over(Window.partitionBy("__key").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ).select("__cell", "__entry", "__past"))
+
+    def number(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(order)
+        sizes = pdf[size].to_numpy(dtype=float)
+        ends, follow = _starts(sizes, pdf["__before"].iloc[0], max_bytes)
+        starts, entry = np.zeros(len(pdf), dtype=np.int64), pdf["__entry"].iloc[0]
+        at = len(pdf) if pd.isna(entry) else 0 if entry < 0 else int(np.searchsorted(ends, entry, side="right"))
+        while at < len(pdf):
+            starts[at] = 1
+            at = follow[at]
+        return pdf[[*keys, order, size]].assign(unit_id=(pdf["__past"].iloc[0] - 1 + np.cumsum(starts)).astype(np.int32))
+
+    schema = StructType([*narrow.schema.fields, StructField("unit_id", IntegerType())])
+    return blocks.join(numbered, "__cell").groupBy("__cell").applyInPandas(number, schema)
 
 
 def _fold_units(rows: DataFrame, keys: list[str], order: str, size: str, max_bytes: int) -> DataFrame:

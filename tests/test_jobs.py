@@ -82,6 +82,44 @@ def test_blocks_of_a_large_key_pack_like_one_fold(spark):
         assert {r.i: r.unit_id for r in got} == want
 
 
+def greedy(sizes, limit):
+    unit = total = 0
+    out = []
+    for i, w in enumerate(sizes):
+        if total + w > limit and i:
+            unit, total = unit + 1, 0
+        total += w
+        out.append(unit)
+    return out
+
+
+def test_large_keys_are_packed_like_the_sequential_fold(spark, monkeypatch):
+    rng = random.Random(8)
+    keys = {"even": [7] * 5000, "zeros": [0] * 300 + [rng.choice([0, 0, 3, 101, 250]) for _ in range(3000)] + [0] * 50, None: [rng.randint(0, 120) for _ in range(4000)],
+            "huge": [150] * 700, "one": [5], "nil": [0] * 9, "wide": [1] * 30}
+    rows = [(k, i, w) for k, sizes in keys.items() for i, w in enumerate(sizes)]
+    df = spark.createDataFrame(rows, "k string, i int, byte_size bigint").repartition(7)
+    got = {}
+    for r in ingest.pack_by_bytes(df, ["k"], "i", "byte_size", 100, 10).collect():
+        got.setdefault(r.k, {})[r.i] = r.unit_id
+    assert {k: [v[i] for i in range(len(v))] for k, v in got.items()} == {k: greedy(sizes, 100) for k, sizes in keys.items()}
+
+
+def test_one_key_of_a_million_files(spark):
+    df = spark.range(1_000_000).select(F.lit("k").alias("k"), F.col("id").alias("i"), F.pmod(F.xxhash64("id"), F.lit(900_000)).alias("byte_size"))
+    stages = []
+    whole = ingest.stored
+    spark.conf.set("spark.sql.shuffle.partitions", "24")
+    try:
+        ingest.stored = lambda d: stages.append(d) or whole(d)
+        got = ingest.pack_by_bytes(df, ["k"], "i", "byte_size", 1_000_000, 10_000).toPandas().sort_values("i")
+    finally:
+        ingest.stored = whole
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+    assert got.unit_id.tolist() == greedy(got.byte_size.tolist(), 1_000_000)
+    assert len(stages) <= 10 + 2 * 6  # two tables a round, a round for each binary digit of 24 blocks
+
+
 def sequential_names(names):
     used, out = set(), []
     for name in names:
