@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from framejobs import vocab
 from framejobs.functions import text as X
+from framejobs.operators.ranking import MAX_GROUP_ROWS, rank_within
 
 
 def category_counts(products: DataFrame) -> DataFrame:
@@ -68,13 +69,50 @@ def timing_report(analyses: DataFrame) -> DataFrame:
     )
 
 
-def threshold_calibration(scores: DataFrame) -> DataFrame:
-    """Spread of the best head-keypoint score, with and without a face (has_face, best_head_score)."""
+QUANTILES = (0.05, 0.5, 0.75, 0.9)
+
+
+def threshold_calibration(scores: DataFrame, max_group_rows: int = MAX_GROUP_ROWS) -> DataFrame:
+    """Spread of the best head-keypoint score, with and without a face (has_face, best_head_score).
+
+    Exact: scores are ranked within their group, a large one over many tasks, and only the two places around each
+    quantile are read. Null scores count in ``n`` alone.
+    """
     s = F.col("best_head_score")
+    groups = scores.groupBy("has_face").agg(F.count(F.lit(1)).alias("n"), F.count(s).alias("__known"), F.min(s).alias("min"))
+    places = F.array(*[F.struct(F.lit(f"p{int(q * 100)}").alias("name"), (F.lit(q) * (F.col("__known") - 1)).alias("at")) for q in QUANTILES])
+    marks = groups.select("has_face", F.explode(places).alias("q")).select("has_face", "q.name", "q.at").select(
+        F.col("has_face").alias("__face"), "name", (F.col("at") - F.floor("at")).alias("part"),
+        F.explode(F.array(F.floor("at"), F.ceil("at"))).alias("place"), F.floor("at").alias("low")).distinct()
+    ranked = rank_within(scores.where(s.isNotNull()).select("has_face", "best_head_score"), ["has_face"], [s], "__rank", max_group_rows)
+    # Three groups at most, two places for each quantile.
+    hit = ranked.join(F.broadcast(marks), ranked["has_face"].eqNullSafe(marks["__face"]) & (ranked["__rank"] == marks["place"] + 1))
+    weight = F.when(F.col("part") == 0, 1.0).when(F.col("place") == F.col("low"), 1 - F.col("part")).otherwise(F.col("part"))
+    found = hit.groupBy(F.col("has_face").alias("__face")).agg(*[
+        F.sum(F.when(F.col("name") == f"p{int(q * 100)}", s * weight)).alias(f"p{int(q * 100)}") for q in QUANTILES])
+    return groups.join(found, groups["has_face"].eqNullSafe(found["__face"]), "left").drop("__face", "__known")
+
+
+def sketch_error(k: int) -> float:
+    """Rank error of a quantile sketch of size ``k``, as a share of the rows, that one quantile keeps with a chance of 99 %."""
+    return 2.296 / k**0.9021
+
+
+def threshold_sketches(scores: DataFrame, k: int = 400) -> DataFrame:
+    """A mergeable quantile sketch of each group: a few kB whatever its size, so daily ones can be kept and added up."""
     return scores.groupBy("has_face").agg(
-        F.count(F.lit(1)).alias("n"), F.min(s).alias("min"),
-        *[F.percentile(s, q).alias(f"p{int(q * 100)}") for q in (0.05, 0.5, 0.75, 0.9)],
-    )
+        F.count(F.lit(1)).alias("n"), F.min("best_head_score").alias("min"), F.kll_sketch_agg_double("best_head_score", k).alias("sketch"))
+
+
+def merge_sketches(sketches: DataFrame, k: int = 400) -> DataFrame:
+    """Sketches of the same groups from several days or regions as one."""
+    return sketches.groupBy("has_face").agg(F.sum("n").alias("n"), F.min("min").alias("min"), F.kll_merge_agg_double("sketch", k).alias("sketch"))
+
+
+def sketched_calibration(sketches: DataFrame) -> DataFrame:
+    """``threshold_calibration`` within ``sketch_error`` of its ranks."""
+    return sketches.select("has_face", "n", "min", *[
+        F.kll_sketch_get_quantile_double("sketch", F.lit(q)).alias(f"p{int(q * 100)}") for q in QUANTILES])
 
 
 def storage_cells(usage: DataFrame) -> DataFrame:

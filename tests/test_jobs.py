@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from framejobs.functions import paths
-from framejobs.operators import analyze, detect, exports, framing, hygiene, ingest, jobs as J, lookup, ranking, routing
+from framejobs.operators import analyze, detect, exports, framing, hygiene, ingest, jobs as J, lookup, ranking, reports, routing
 from framejobs.plans import settings
 from framejobs.sources import bridge as B, media, tables, templates as T
 from framejobs.streaming.jobs import JobMachine
@@ -353,3 +353,28 @@ def test_equal_bytes_have_one_storage_key(spark):
     assert keys(decoded) == {(a, f"h{n}//h{n}.{e}") for a, n, e in [(1, 1, "webp"), (2, 1, "webp"), (3, 1, "webp"), (4, 2, "png"), (5, 2, "png")]}
     outcomes = ingest.import_catalog(decoded, analyses, "1")[0]
     assert ingest.import_counters(outcomes).select("imported_files", "failed_files").collect()[0] == (5, 1)
+
+
+def test_calibration_by_ranks_and_by_sketches(spark):
+    rng = random.Random(2)
+    values = {True: [rng.random() ** 3 for _ in range(6001)], False: [rng.choice([0.1, 0.1, 0.5]) for _ in range(500)], None: [0.25]}
+    rows = [(k, v) for k, vs in values.items() for v in vs] + [(True, None), (False, None)]
+    df = spark.createDataFrame(rows, "has_face boolean, best_head_score double").repartition(5)
+    want = df.groupBy("has_face").agg(F.count(F.lit(1)).alias("n"), F.min("best_head_score").alias("min"), *[
+        F.percentile("best_head_score", q).alias(f"p{int(q * 100)}") for q in reports.QUANTILES])
+    exact = {r.has_face: r for r in want.collect()}
+    for limit in (100, 1_000_000):
+        got = reports.threshold_calibration(df, limit).collect()
+        assert len(got) == 3
+        for r in got:
+            assert r.n == exact[r.has_face].n and [r[f"p{int(q * 100)}"] for q in reports.QUANTILES] == pytest.approx(
+                [exact[r.has_face][f"p{int(q * 100)}"] for q in reports.QUANTILES])
+    days = [reports.threshold_sketches(df.where(F.col("best_head_score") < 0.2)), reports.threshold_sketches(df.where("best_head_score >= 0.2 or best_head_score is null"))]
+    for sketches in (reports.threshold_sketches(df), reports.merge_sketches(days[0].union(days[1]))):
+        for r in reports.sketched_calibration(sketches).collect():
+            assert (r.n, r.min) == (exact[r.has_face].n, exact[r.has_face].min)
+            known = sorted(values[r.has_face])
+            for q in reports.QUANTILES:
+                v = r[f"p{int(q * 100)}"]
+                low, high = sum(x < v for x in known) / len(known), sum(x <= v for x in known) / len(known)
+                assert low - reports.sketch_error(400) <= q <= high + reports.sketch_error(400)
