@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import BinaryType, StringType, StructField, StructType
 
 from framejobs import vocab
 from framejobs.functions import geometry as G, paths as P, text as X
 from framejobs.operators.framing import EDGE, has_overflow, placed_rect
 from framejobs.operators.ranking import bounded, first_by
-from framejobs.operators.staging import sealed
 
 EDGES = ("top", "bottom", "left", "right")
 # Share of fabric and skin that decides what an edge cuts through, and the sampled band.
@@ -17,7 +19,6 @@ SKIN_PRESENT = 0.12
 MASK_LEVEL = 0.5 * 255
 BAND_FRACTION, BAND_MIN, BAND_MAX = 0.06, 24.0, 260.0
 SAMPLES_MIN, SAMPLES_MAX = 6, 48
-_PACK = 10_000
 
 
 def with_variables(framed: DataFrame, details: DataFrame) -> DataFrame:
@@ -67,40 +68,50 @@ def layer_layout(framed: DataFrame, assets: DataFrame | None = None, scale: floa
     return sized.withColumn("fitted", F.when(F.col("asset_width").isNotNull(), fitted))
 
 
-def _axis(start: Column, size: Column, samples: Column, grids: dict[str, tuple[Column, Column]]) -> Column:
-    """Raster lines hit by ``samples`` evenly spread points, for each grid (cell size, cell count)."""
-    def hit(i: Column) -> Column:
-        at = start + (i + 0.5) / samples * size
-        return F.struct(*[
-            F.least(count - 1, F.greatest(F.lit(0).cast("long"), G.js_round(at / cell))).cast("int").alias(name)
-            for name, (cell, count) in grids.items()
-        ])
+def packed_masks(masks: DataFrame) -> DataFrame:
+    """Rasters as one bit a pixel, on or off at half probability, packed where they are read: a sixteenth of their size."""
+    def run(batches):
+        for pdf in batches:
+            bits = [np.packbits(np.asarray(d) >= MASK_LEVEL).tobytes() for d in pdf["data"]]
+            yield pdf[["source_hash", "kind", "width", "height"]].assign(bits=np.array(bits, dtype=object))
 
-    return F.transform(F.sequence(F.lit(0), samples - 1), hit)
+    return masks.where("source_hash is not null and data is not null").select("source_hash", "kind", "width", "height", "data").mapInPandas(
+        run, StructType([masks.schema["source_hash"], masks.schema["kind"], masks.schema["width"], masks.schema["height"], StructField("bits", BinaryType())]))
 
 
-def _weighted(name: str) -> Column:
-    """Distinct raster lines of an axis with the number of samples that fall on each."""
-    return F.transform(F.array_distinct(name), lambda u: F.struct(
-        u["g"].alias("g"), u["p"].alias("p"), F.size(F.filter(name, lambda v: v == u)).alias("n")
-    ))
+def _grid(width: int, height: int, bits: bytes) -> np.ndarray:
+    return np.unpackbits(np.frombuffer(bits, dtype=np.uint8), count=width * height).reshape(height, width).astype(bool)
+
+
+def _sampled(band, grids: dict[str, np.ndarray]) -> str:
+    """What a band cuts through, by evenly spread points looked up in the rasters."""
+    found = {}
+    if band.w <= 0 or band.h <= 0 or not grids:
+        return "background"
+    xs = band.x + (np.arange(band.cols) + 0.5) / band.cols * band.w
+    ys = band.y + (np.arange(band.rows) + 0.5) / band.rows * band.h
+    for kind, grid in grids.items():
+        height, width = grid.shape
+        column = np.clip(np.floor(xs / (band.image_width / width) + 0.5), 0, width - 1).astype(int)
+        row = np.clip(np.floor(ys / (band.image_height / height) + 0.5), 0, height - 1).astype(int)
+        found[kind] = grid[np.ix_(row, column)]
+    none = np.zeros((band.rows, band.cols), dtype=bool)
+    fabric = found.get("garment_mask", none)
+    garment, skin = fabric.mean(), (found.get("person_mask", none) & ~fabric).mean()
+    if skin >= SKIN_PRESENT:
+        return "skin"
+    return "garment" if garment >= GARMENT_DOMINANT else "background"
 
 
 def edge_content(framed: DataFrame, masks: DataFrame, scale: float = vocab.SUPERSAMPLE) -> DataFrame:
     """What each overflowing edge cuts through: garment, skin or background; null without overflow.
 
-    ``masks``: source_hash, kind (person_mask, garment_mask), width, height, data. Only rows that
-    overflow meet the rasters, and each samples at most 48 x 48 points per edge.
+    ``masks``: source_hash, kind (person_mask, garment_mask), width, height, data. Each raster is read once and packed to bits
+    there. Bands and packed rasters meet by image in one sorted stream, rasters first, so a band is looked up in the rasters
+    at hand: none is copied to bands or templates, and no image's bands are gathered. A band has at most 48 x 48 samples.
     """
-    grid = F.struct("width", "height", "data")
-    both = masks.groupBy("source_hash").agg(
-        F.max_by(grid, F.when(F.col("kind") == "garment_mask", 1)).alias("g"),
-        F.max_by(grid, F.when(F.col("kind") == "person_mask", 1)).alias("p"),
-    )
     placed = framed.withColumn("placed", placed_rect(scale)).filter(has_overflow(F.col("overflow")) & F.col("placed").isNotNull())
-    rows = placed.select(
-        "source_hash", "template_id", "image_width", "image_height", "overflow", "placed"
-    ).join(both, "source_hash", "left")
+    rows = placed.select("source_hash", "template_id", "image_width", "image_height", "overflow", "placed")
     x, y = F.col("placed.source_x"), F.col("placed.source_y")
     w, h = F.col("placed.source_width"), F.col("placed.source_height")
     thick = lambda cross: F.least(cross, F.greatest(F.lit(BAND_MIN), F.least(F.lit(BAND_MAX), G.js_round(cross * BAND_FRACTION).cast("double"))))
@@ -118,46 +129,26 @@ def edge_content(framed: DataFrame, masks: DataFrame, scale: float = vocab.SUPER
         band("top", x, y, w, tv), band("bottom", x, y + h - tv, w, tv),
         band("left", x, y, th, h), band("right", x + w - th, y, th, h),
     ))
-    iw, ih = F.col("image_width"), F.col("image_height")
-    one = F.lit(1)
-    dims = {
-        name: (F.coalesce(F.col(f"{name}.width"), one), F.coalesce(F.col(f"{name}.height"), one)) for name in ("g", "p")
-    }
-    has = {name: F.col(name).isNotNull() for name in ("g", "p")}
-
-    def on(name: str, column: Column, row: Column) -> Column:
-        value = F.get(F.col(f"{name}.data"), row[name] * F.col(f"{name}.width") + column[name])
-        return has[name] & F.coalesce(value >= MASK_LEVEL, F.lit(False))
-
-    # One row per edge. Neighbouring samples often share a raster line, so distinct lines carry weights.
-    long = rows.select("source_hash", "template_id", "image_width", "image_height", "g", "p", F.explode(bands).alias("b"))
-    b = F.col("b")
-    long = long.withColumns({
-        "_c": _axis(b["x"], b["w"], b["cols"], {n: (iw / d[0], d[0]) for n, d in dims.items()}),
-        "_r": _axis(b["y"], b["h"], b["rows"], {n: (ih / d[1], d[1]) for n, d in dims.items()}),
-    })
-    long = long.withColumns({"_c": _weighted("_c"), "_r": _weighted("_r")})
-
-    # Both tallies in one pass: fabric above, skin below; a band has at most 48 x 48 samples.
-    def cell(col: Column, row: Column) -> Column:
-        return F.when(on("g", col, row), col["n"] * _PACK).when(on("p", col, row), col["n"]).otherwise(0)
-
-    packed = F.aggregate("_r", F.lit(0), lambda acc, row: acc + row["n"] * F.aggregate(
-        "_c", F.lit(0), lambda inner, col: inner + cell(col, row)
-    ))
-    long = long.withColumn("_hits", packed)
-    total = b["cols"] * b["rows"]
-    long = long.withColumns({
-        "_garment": F.floor(F.col("_hits") / _PACK) / total, "_skin": (F.col("_hits") % _PACK) / total,
-    })
-    usable = (has["g"] | has["p"]) & (b["w"] > 0) & (b["h"] > 0)
-    content = (
-        F.when(~usable, "background")
-        .when((F.col("_garment") >= GARMENT_DOMINANT) & (F.col("_skin") < SKIN_PRESENT), "garment")
-        .when(F.col("_skin") >= SKIN_PRESENT, "skin")
-        .otherwise("background")
-    )
-    return sealed(long, ["source_hash", "template_id"], {"edge": b["edge"], "content": content})
+    asked = rows.select("source_hash", "template_id", "image_width", "image_height", F.explode(bands).alias("b")).select(
+        "source_hash", F.lit(1).alias("turn"), "template_id", "image_width", "image_height", "b.*")
+    both = packed_masks(masks).withColumn("turn", F.lit(0)).unionByName(asked, allowMissingColumns=True)
+
+    def run(batches):
+        image, grids = None, {}
+        for pdf in batches:
+            out = []
+            for row in pdf.itertuples(index=False):
+                if row.source_hash != image:
+                    image, grids = row.source_hash, {}
+                if row.turn == 0:
+                    grids[row.kind] = _grid(int(row.width), int(row.height), row.bits)
+                else:
+                    out.append((row.source_hash, row.template_id, row.edge, _sampled(row._replace(cols=int(row.cols), rows=int(row.rows)), grids)))
+            yield pd.DataFrame(out, columns=["source_hash", "template_id", "edge", "content"], dtype=object)
+
+    kind = StructType([asked.schema["source_hash"], asked.schema["template_id"], StructField("edge", StringType()), StructField("content", StringType())])
+    parts = int(framed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return both.repartition(parts, "source_hash").sortWithinPartitions("source_hash", "turn", "kind", "width", "height").mapInPandas(run, kind)
 
 
 def garment_edges(edges: DataFrame) -> DataFrame:

@@ -138,13 +138,12 @@ cte("e_prompts", f"""
   WHERE substr(source_hash, 2)::int % 3 <> 0 GROUP BY source_hash, kind""")
 def fill_plan(spark, sf_dir):
     framed = stored(PF.framed_all(spark, sf_dir))
-    edges = layout.edge_content(framed, both_masks(spark, sf_dir))
-    # Every third image was filled before: store those plans as derived assets and plan again.
+    edges = stored(layout.edge_content(framed, both_masks(spark, sf_dir)))
+    # Every third image was filled before: its plans are what the store of derived assets holds.
+    third = F.substring("source_hash", 2, 20).cast("long") % 3 == 0
     nothing = spark.createDataFrame([], "source_hash string, kind string")
-    plan = stored(layout.fill_plan(framed, edges, nothing))
-    done = plan.filter(F.substring("source_hash", 2, 20).cast("long") % 3 == 0).select("source_hash", "kind")
-    fresh = plan.join(done, ["source_hash", "kind"], "left_anti")
-    return fresh.select("source_hash", "template_id", "kind", "prompt", "offset_x")
+    filled = stored(layout.fill_plan(framed.where(third), edges, nothing).select("source_hash", "kind"))
+    return layout.fill_plan(framed, edges, filled).select("source_hash", "template_id", "kind", "prompt", "offset_x")
 
 
 @query("validate_rules", sql="""

@@ -3,12 +3,13 @@
 import random
 from datetime import datetime, timezone
 
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from framejobs.functions import paths
-from framejobs.operators import analyze, detect, exports, framing, hygiene, ingest, jobs as J, lookup, ranking, reports, routing
+from framejobs.operators import analyze, detect, exports, framing, hygiene, ingest, jobs as J, layout, lookup, ranking, reports, routing
 from framejobs.plans import settings
 from framejobs.sources import bridge as B, media, tables, templates as T
 from framejobs.streaming.jobs import JobMachine
@@ -378,3 +379,22 @@ def test_calibration_by_ranks_and_by_sketches(spark):
                 v = r[f"p{int(q * 100)}"]
                 low, high = sum(x < v for x in known) / len(known), sum(x <= v for x in known) / len(known)
                 assert low - reports.sketch_error(400) <= q <= high + reports.sketch_error(400)
+
+
+def test_rasters_are_packed_whole_and_bands_look_them_up(spark):
+    rng = random.Random(4)
+    data = [rng.randint(0, 255) for _ in range(15)]
+    masks = spark.createDataFrame([("a", "garment_mask", 5, 3, data), (None, "person_mask", 5, 3, data), ("b", "person_mask", 5, 3, None)],
+                                  "source_hash string, kind string, width int, height int, data array<int>")
+    row, = layout.packed_masks(masks).collect()
+    grid = layout._grid(row.width, row.height, row.bits)
+    assert grid.ravel().tolist() == [v >= 127.5 for v in data]
+    band = pd.DataFrame([{"x": 0.0, "y": 0.0, "w": 100.0, "h": 60.0, "cols": 10, "rows": 6, "image_width": 100.0, "image_height": 60.0}]).itertuples(index=False)
+    band = next(band)
+    cloth, body = np.zeros((3, 5), dtype=bool), np.ones((6, 10), dtype=bool)
+    assert layout._sampled(band, {}) == "background" and layout._sampled(band, {"garment_mask": cloth}) == "background"
+    assert layout._sampled(band, {"garment_mask": cloth, "person_mask": body}) == "skin"
+    assert layout._sampled(band, {"garment_mask": ~cloth, "person_mask": body}) == "garment"
+    cloth[:, :2] = True  # samples right of the third raster column meet no cloth
+    assert layout._sampled(band, {"garment_mask": cloth}) == "garment"
+    assert layout._sampled(band._replace(w=0.0), {"garment_mask": ~cloth}) == "background"
