@@ -36,14 +36,14 @@ def _plain_classes(pattern: str) -> str:
 
 
 class Ids:
-    """Encoder of one vocabulary file; special tokens in a text are ordinary text."""
+    """Encoder of one vocabulary file; a text that names one of its special tokens is encoded whole."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         with open(path, encoding="utf-8") as file:
             steps = json.load(file)["pre_tokenizer"]
         own = [s["pattern"]["Regex"] for s in steps.get("pretokenizers", []) if s["type"] == "Split"]
@@ -101,6 +101,9 @@ class Ids:
         out: list[np.ndarray | None] = []
         open_texts, missing = [], set()
         for number, text in enumerate(texts):
+            if text and any(name in text for name in self.special):
+                out.append(self._whole(text))
+                continue
             pieces = PIECE.findall(text) if text else []
             found = list(map(self.pieces.get, pieces))
             try:
