@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
+from operator import or_
 
 from pyspark.sql import DataFrame, functions as F
 
@@ -37,55 +38,52 @@ def purgeable(candidates: DataFrame, survivors: DataFrame) -> tuple[DataFrame, D
     return hashes.join(live, "source_hash", "left_anti"), hashes.join(live, "source_hash", "left_semi")
 
 
-def cascade(tables: dict[str, DataFrame], kind: str, ids: DataFrame) -> dict[str, DataFrame]:
+#: Id column of each table.
+ID = {
+    "imports": "import_id", "products": "product_id", "images": "image_id", "creatives": "creative_id", "jobs": "job_id",
+    "batches": "batch_id", "rules": "rule_id", "templates": "template_id",
+}
+#: Foreign keys a delete follows: (table, column, table it refers to). Parents come before children.
+FOREIGN_KEYS = (
+    ("products", "import_id", "imports"), ("images", "import_id", "imports"), ("images", "product_id", "products"),
+    ("jobs", "batch_id", "batches"), ("rules", "template_id", "templates"), ("creatives", "product_id", "products"),
+    ("creatives", "image_id", "images"), ("creatives", "template_id", "templates"), ("creatives", "batch_id", "batches"),
+)
+KINDS = {"import": "imports", "product": "products", "image": "images", "batch": "batches", "template": "templates", "creative": "creatives"}
+
+
+def cascade(
+    tables: dict[str, DataFrame], kind: str, ids: DataFrame, keys: tuple[tuple[str, str, str], ...] = FOREIGN_KEYS,
+) -> dict[str, DataFrame]:
     """Rows a delete removes, by table. ``ids`` has one column, the id of ``kind``.
 
-    import -> products -> images -> creatives; batch -> jobs and its creatives; template -> rules and
-    creatives; creative -> itself.
+    The closure over the declared foreign keys: a table loses the rows that refer to anything lost before it, through any
+    of its keys. The declaration has no circle, so one pass in its order is the whole recursion, a join for each
+    key. Tables and columns that are not there are not followed.
     """
-    key = f"{kind}_id"
-    gone: dict[str, DataFrame] = {}
-
-    def take(table: str, by: str, parents: DataFrame) -> DataFrame:
-        gone[table] = tables[table].join(parents.select(by), by, "left_semi")
-        return gone[table]
-
-    if kind == "import":
-        products = take("products", key, ids)
-        take("creatives", "image_id", take("images", "product_id", products))
-    elif kind == "product":
-        take("products", key, ids)
-        take("creatives", "image_id", take("images", key, ids))
-    elif kind == "batch":
-        take("batches", key, ids)
-        take("jobs", key, ids)
-        take("creatives", key, ids)
-    elif kind == "template":
-        take("rules", key, ids)
-        take("creatives", key, ids)
-    elif kind == "creative":
-        take("creatives", key, ids)
-    else:
+    if kind not in KINDS:
         raise ValueError(f"unknown kind {kind}")
+    root = KINDS[kind]
+    lost = {root: ids.select(ID[root]).distinct()}
+    gone = {root: tables[root].join(lost[root], ID[root], "left_semi")} if root in tables else {}
+    for table in dict.fromkeys(t for t, _, _ in keys):
+        if table not in tables or table in lost:
+            continue
+        parents = [(column, parent) for t, column, parent in keys if t == table and parent in lost and column in tables[table].columns]
+        if not parents:
+            continue
+        rows = tables[table]
+        for i, (column, parent) in enumerate(parents):
+            rows = rows.join(lost[parent].select(F.col(ID[parent]).alias(column), F.lit(True).alias(f"__{i}")), column, "left")
+        refers = reduce(or_, [F.col(f"__{i}").isNotNull() for i in range(len(parents))])
+        gone[table] = rows.where(refers).select(*tables[table].columns)
+        lost[table] = gone[table].select(ID[table]).distinct()
     return gone
 
 
 def survivors(tables: dict[str, DataFrame], gone: dict[str, DataFrame]) -> dict[str, DataFrame]:
-    """Tables after a delete; references to a removed batch or import become null."""
-    keys = {
-        "products": "product_id", "images": "image_id", "creatives": "creative_id", "jobs": "job_id",
-        "batches": "batch_id", "rules": "rule_id", "imports": "import_id",
-    }
-    left = {
-        name: df.join(gone[name].select(keys[name]), keys[name], "left_anti") if name in gone else df
-        for name, df in tables.items()
-    }
-    if "batches" in gone and "creatives" in left:
-        removed = gone["batches"].select("batch_id").withColumn("__gone", F.lit(True))
-        left["creatives"] = left["creatives"].join(removed, "batch_id", "left").withColumn(
-            "batch_id", F.when(F.col("__gone").isNull(), F.col("batch_id"))
-        ).drop("__gone")
-    return left
+    """Tables after a delete."""
+    return {name: df.join(gone[name].select(ID[name]), ID[name], "left_anti") if name in gone else df for name, df in tables.items()}
 
 
 def delete_impact(
@@ -96,7 +94,8 @@ def delete_impact(
     ``listing`` is what is on disk (root, key, size); only files that exist count as freed.
     """
     gone = cascade(tables, kind, ids)
-    wanted = [gone["creatives"].select(F.lit("creatives").alias("root"), F.col("storage_key").alias("key"))]
+    outputs = gone["creatives"] if "creatives" in gone else tables["creatives"].limit(0)
+    wanted = [outputs.select(F.lit("creatives").alias("root"), F.col("storage_key").alias("key"))]
     shared_count = None
     if "images" in gone:
         rest = survivors({"images": tables["images"]}, gone)["images"]
@@ -113,7 +112,7 @@ def delete_impact(
     files = listing.join(keys, list(ROOTED), "left_semi")
     parts = [files.agg(F.count(F.lit(1)).alias("files_deleted"), F.coalesce(F.sum("size"), F.lit(0)).alias("freed_bytes"))]
     parts += [
-        gone[t].agg(F.count(F.lit(1)).alias(f"removed_{t}")) for t in ("products", "images", "creatives", "batches", "jobs")
+        gone[t].agg(F.count(F.lit(1)).alias(f"removed_{t}")) for t in ("products", "images", "creatives", "batches", "jobs", "rules")
         if t in gone
     ]
     if shared_count is not None:

@@ -11,6 +11,7 @@ from framejobs.operators import exports, hygiene, jobs as J, lookup, reports
 from framejobs.plans import settings, shared_sql as S
 from framejobs.plans.catalog import ingested
 from framejobs.plans.registry import cte, query
+from framejobs.session import stored
 from framejobs.sources import bridge as B
 
 AS_OF = datetime(1998, 8, 5, 12, 0, 0, tzinfo=timezone.utc)
@@ -310,6 +311,57 @@ def delete_import_impact(spark, sf_dir):
     )
 
 
+_DELETES = {
+    "product": ("product_id = 'prd_7'", "product_id = 'prd_7'"),
+    "batch": ("batch_id = 'bat_9'", "false"),
+    "template": ("template_id = 'tpl_3'", "false"),
+    "creative": ("creative_id LIKE 'crt_%1_2'", "false"),
+    "all creatives": ("true", "false"),
+}
+
+
+def _delete_sql(kind: str, creatives: str, images: str) -> str:
+    """One row: what goes with it by every key, and the files nobody refers to any more."""
+    lost = f"(SELECT * FROM b_doc_images WHERE {images})"
+    dead = f"(SELECT source_hash FROM {lost} WHERE source_hash NOT IN (SELECT source_hash FROM b_doc_images WHERE NOT ({images})))"
+    outputs = f"(SELECT * FROM b_creatives WHERE {creatives} OR image_id IN (SELECT image_id FROM {lost}))"
+    count = lambda when, sql: f"({sql})" if kind == when else "NULL"
+    return f"""
+  SELECT '{kind}' AS kind, {count('product', f'SELECT count(*) FROM {lost}')} AS removed_images,
+    (SELECT count(*) FROM {outputs}) AS removed_creatives,
+    {count('batch', "SELECT count(*) FROM b_jobs WHERE batch_id = 'bat_9'")} AS removed_jobs,
+    {count('template', "SELECT count(*) FROM part WHERE p_partkey % 10 = 3")} AS removed_rules,
+    {count('product', f'SELECT count(DISTINCT source_hash) - (SELECT count(DISTINCT source_hash) FROM {dead}) FROM {lost}')} AS shared_files_kept,
+    count(*) AS files_deleted, coalesce(sum(size), 0)::bigint AS freed_bytes
+  FROM b_media WHERE (root = 'creatives' AND key IN (SELECT storage_key FROM {outputs}))
+    OR (root = 'originals' AND key IN (SELECT storage_key FROM b_doc_images WHERE source_hash IN {dead}))
+    OR (root = 'derived' AND split_part(key, '/', 3) IN {dead})"""
+
+
+@query("delete_impact", uses=("b_doc_images", "b_media", "b_creatives", "b_jobs"), sql=" UNION ALL ".join(
+    _delete_sql(kind, *where) for kind, where in _DELETES.items()))
+def delete_impact(spark, sf_dir):
+    """Dry runs of deleting a product, a batch, a template, some creatives and all of them."""
+    images, creatives = stored(doc_images(spark, sf_dir)), stored(B.creatives(spark, sf_dir))
+    rules = B.table(spark, sf_dir, "part").select(
+        F.col("p_partkey").cast("string").alias("rule_id"), F.concat(F.lit("tpl_"), (F.col("p_partkey") % 10).cast("string")).alias("template_id"))
+    tables = {
+        "images": images.drop("import_id"), "products": images.select("product_id").distinct(), "creatives": creatives,
+        "jobs": B.jobs(spark, sf_dir), "batches": B.batches(spark, sf_dir), "rules": rules,
+    }
+    listing, out = stored(B.media_listing(spark, sf_dir)), None
+    columns = ("removed_images", "removed_creatives", "removed_jobs", "removed_rules", "shared_files_kept", "files_deleted", "freed_bytes")
+    for kind, (chosen, _) in _DELETES.items():
+        name = "creative" if kind == "all creatives" else kind
+        source = tables["products"] if kind == "product" else creatives
+        ids = source.where(chosen).select(f"{name}_id")
+        report = hygiene.delete_impact(tables, name, ids, listing)[2]
+        row = report.select(F.lit(kind).alias("kind"), *[
+            (F.col(c) if c in report.columns else F.lit(None)).cast("long").alias(c) for c in columns])
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
 @query("delete_batch_survivors", uses=("b_creatives", "b_jobs", "b_batches"), sql="""
   SELECT 'creatives' AS what, count(*) AS n FROM b_creatives WHERE batch_id <> 'bat_9'
   UNION ALL SELECT 'jobs', count(*) FROM b_jobs WHERE batch_id <> 'bat_9'
@@ -348,7 +400,6 @@ def shot_type_counts(spark, sf_dir):
   SELECT 'category' AS what, category AS value, count(*) AS count FROM b_products WHERE category <> '' GROUP BY 2
   UNION ALL SELECT 'folder', folder_path, count(*) FROM b_products GROUP BY 2""")
 def category_folder_counts(spark, sf_dir):
-    from framejobs.session import stored
 
     products = stored(ingested(spark, sf_dir)[1])
     a = reports.category_counts(products).select(F.lit("category").alias("what"), F.col("category").alias("value"), "count")
