@@ -12,6 +12,9 @@ shuffled, and tokens are looked at only in leaves with two lines or more.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from framejobs.llm.common import WORD, release
@@ -26,30 +29,38 @@ def _masked_lines(text: Column) -> Column:
     return F.split(F.regexp_replace(text, "[0-9]+", FIELD), "\n")
 
 
-def _key(*columns) -> Column:
-    """128-bit key of some columns."""
-    return F.struct(F.xxhash64(*columns).alias("a"), F.xxhash64(F.lit(7), *columns).alias("b"))
+#: Key columns of a line, a leaf of the tree, a template: 128 bits each, as two numbers.
+LINE, LEAF, TEMPLATE = ["l1", "l2"], ["f1", "f2"], ["t1", "t2"]
+
+
+def _key(names: list[str], *columns) -> list[Column]:
+    return [F.xxhash64(*columns).alias(names[0]), F.xxhash64(F.lit(7), *columns).alias(names[1])]
 
 
 def _line_rows(texts: DataFrame, depth: int) -> DataFrame:
     """One row per line with a word: text key, id, line number, tokens, line key and leaf. Only the leading tokens are taken
-    apart here; a line of fewer is its own leaf."""
-    rows = texts.select("text_key", "doc_id", F.posexplode(_masked_lines(F.col("text"))).alias("line_no", "line")).withColumn(
-        "n", F.regexp_count("line", F.lit(WORD))).where("n > 0")
-    lead = F.regexp_extract("line", rf"^{BLANK}*({WORD}(?:{BLANK}+{WORD}){{0,{depth - 1}}})", 1)
-    return rows.select(
-        "text_key", "doc_id", "line_no", "n", _key("line").alias("line_key"), _key("n", F.regexp_replace(lead, f"{BLANK}+", " ")).alias("leaf"))
+    apart here; a line of fewer is its own leaf. Where a text has single blanks alone between words, tokens are counted
+    by their blanks, and by their pattern elsewhere."""
+    odd = reduce(or_, [F.contains("text", F.lit(c)) for c in ("  ", "\t", "\x0b", "\x0c", "\r")])
+    lines = texts.select("text_key", "doc_id", odd.alias("odd"), F.posexplode(_masked_lines(F.col("text"))).alias("line_no", "line"))
+    plain = ~F.col("odd") & ~F.startswith("line", F.lit(" ")) & ~F.endswith("line", F.lit(" ")) & (F.col("line") != "")
+    blanks = F.octet_length("line") - F.octet_length(F.replace("line", F.lit(" "), F.lit("")))
+    rows = lines.withColumn("plain", plain).withColumn(
+        "n", F.when(F.col("plain"), blanks + 1).otherwise(F.regexp_count("line", F.lit(WORD)))).where("n > 0")
+    lead = F.regexp_replace(F.regexp_extract("line", rf"^{BLANK}*({WORD}(?:{BLANK}+{WORD}){{0,{depth - 1}}})", 1), f"{BLANK}+", " ")
+    lead = F.when(F.col("plain"), F.substring_index("line", " ", depth)).otherwise(lead)
+    return rows.select("text_key", "doc_id", "line_no", "n", *_key(LINE, "line"), *_key(LEAF, "n", lead))
 
 
 def line_templates(texts: DataFrame, lines: DataFrame, share: int, constant: float) -> DataFrame:
-    """``(line_key, template)`` for the lines that share their leaf with others and keep enough tokens.
+    """(line key, template) for the lines that share their leaf with others and keep enough tokens.
 
     ``share``: a token stays if at least two and one in ``share`` of the leaf's distinct lines have it there.
     """
-    distinct = stored(lines.groupBy("line_key", "leaf").agg(F.min(F.struct("text_key", "doc_id", "line_no")).alias("at")))
-    leaves = stored(distinct.groupBy("leaf").agg(F.count(F.lit(1)).alias("leaf_lines")).where("leaf_lines > 1"))
+    distinct = stored(lines.groupBy(*LINE, *LEAF).agg(F.min(F.struct("text_key", "doc_id", "line_no")).alias("at")))
+    leaves = stored(distinct.groupBy(*LEAF).agg(F.count(F.lit(1)).alias("leaf_lines")).where("leaf_lines > 1"))
     wanted = stored(
-        distinct.join(leaves, "leaf").select("at.text_key", "at.doc_id", F.struct("at.line_no", "line_key", "leaf", "leaf_lines").alias("of"))
+        distinct.join(leaves, LEAF).select("at.text_key", "at.doc_id", F.struct("at.line_no", *LINE, *LEAF, "leaf_lines").alias("of"))
         .groupBy("text_key", "doc_id").agg(F.collect_list("of").alias("wanted"))  # at most the lines of one text
     )
     release(distinct)
@@ -58,24 +69,23 @@ def line_templates(texts: DataFrame, lines: DataFrame, share: int, constant: flo
     once = texts.join(wanted, ["text_key", "doc_id"])
     if texts.groupBy("text_key", "doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count():
         once = once.dropDuplicates(["text_key"])  # rows that repeat a document
+    picked = F.transform("wanted", lambda of: F.struct(
+        F.get(F.col("parts"), of["line_no"]).alias("line"), *[of[c].alias(c) for c in (*LINE, *LEAF, "leaf_lines")]))
     rows = stored(
-        once.select(_masked_lines(F.col("text")).alias("parts"), "wanted")
-        .select(F.explode(F.transform("wanted", lambda of: F.struct(
-            F.get(F.col("parts"), of["line_no"]).alias("line"),
-            of["line_key"].alias("line_key"), of["leaf"].alias("leaf"), of["leaf_lines"].alias("leaf_lines")))).alias("of"))
-        .select("of.line_key", "of.leaf", "of.leaf_lines", F.posexplode(F.regexp_extract_all("of.line", F.lit(f"({WORD})"), 1)).alias("place", "token"))
+        once.select(_masked_lines(F.col("text")).alias("parts"), "wanted").select(F.explode(picked).alias("of"))
+        .select(*[f"of.{c}" for c in (*LINE, *LEAF, "leaf_lines")], F.posexplode(F.regexp_extract_all("of.line", F.lit(f"({WORD})"), 1)).alias("place", "token"))
     )
     release(wanted)
-    support = stored(rows.groupBy("leaf", "place", "token").agg(F.count(F.lit(1)).alias("support")))
-    stays = (F.col("support") >= 2) & (F.col("support") * share >= F.col("leaf_lines"))
-    marked = rows.join(support, ["leaf", "place", "token"]).select(
-        "line_key", "place", F.when(stays, F.col("token")).alias("kept"), stays.cast("int").alias("stays"))
-    whole = marked.groupBy("line_key").agg(
-        F.array_sort(F.collect_list(F.struct("place", F.coalesce("kept", F.lit(FIELD)).alias("token")))).alias("tokens"),
+    support = stored(rows.groupBy(*LEAF, "place", "token").agg(F.count(F.lit(1)).alias("support")).where("support > 1"))
+    stays = F.coalesce(F.col("support") * share >= F.col("leaf_lines"), F.lit(False))
+    marked = rows.join(support, [*LEAF, "place", "token"], "left").select(
+        *LINE, F.when(stays, F.col("token")).otherwise(F.lit(FIELD)).alias("token"), "place", stays.cast("int").alias("stays"))
+    # A template is told by its tokens and their places, in whatever order they are met.
+    whole = marked.groupBy(*LINE).agg(
+        F.bit_xor(F.xxhash64("place", "token")).alias("x1"), F.bit_xor(F.xxhash64(F.lit(7), "place", "token")).alias("x2"),
         F.sum("stays").alias("stays"), F.count(F.lit(1)).alias("n"),
     ).where(F.col("stays") >= F.col("n") * constant)
-    template = _key(F.lit("template"), F.concat_ws(" ", F.transform("tokens", lambda t: t["token"])))
-    found = stored(whole.select("line_key", template.alias("template")))
+    found = stored(whole.select(*LINE, *_key(TEMPLATE, F.lit("template"), "n", "x1", "x2")))
     release(rows)
     release(support)
     return found
@@ -98,22 +108,22 @@ def drop_recurring_lines(
         F.col("__key").alias("text_key"), F.coalesce(F.col(id_col).cast("long"), F.lit(2**63 - 1)).alias("doc_id"), F.col(text_col).alias("text"))
     lines = stored(
         _line_rows(texts, depth)
-        .groupBy("text_key", "line_no", "line_key", "leaf", "n").agg(F.min("doc_id").alias("doc_id"))
+        .groupBy("text_key", "line_no", *LINE, *LEAF, "n").agg(F.min("doc_id").alias("doc_id"))
     )
     templates = line_templates(texts, lines, share, constant)
-    named = stored(lines.join(templates, "line_key", "left").select(
-        "text_key", "line_no", "doc_id", "n", F.coalesce("template", "line_key").alias("template")))
+    named = stored(lines.join(templates, LINE, "left").select(
+        "text_key", "line_no", "doc_id", "n", *[F.coalesce(t, l).alias(t) for t, l in zip(TEMPLATE, LINE)]))
     release(lines)
     release(templates)
-    per_text = named.groupBy("template", "text_key").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"))
+    per_text = named.groupBy(*TEMPLATE, "text_key").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"))
     enough = (F.col("texts") >= least_documents) | ((F.col("texts") >= 2) & (F.col("n") >= long_line))
     recurring = stored(
-        per_text.groupBy("template").agg(
+        per_text.groupBy(*TEMPLATE).agg(
             F.count(F.lit(1)).alias("texts"), F.max("n").alias("n"), F.min(F.struct("doc_id", "text_key")).alias("first"))
-        .where(enough).select("template", F.col("first.text_key").alias("owner"))
+        .where(enough).select(*TEMPLATE, F.col("first.text_key").alias("owner"))
     )
     dropped = stored(
-        named.join(recurring, "template").where(F.col("text_key") != F.col("owner"))
+        named.join(recurring, TEMPLATE).where(F.col("text_key") != F.col("owner"))
         .groupBy("text_key").agg(F.collect_list("line_no").alias("lines"))  # at most the lines of one text
         .select(F.col("text_key").alias("__key"), F.col("lines").alias("__lines"))
     )
