@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from framejobs import vocab
-from framejobs.operators.ranking import bounded, last_by, previous_within
+from framejobs.operators.ranking import bounded, last_by, previous_within, rank_within
 
 _RECENCY = ("created_at", "engine_version")
 
@@ -138,18 +138,78 @@ def _like(text: str) -> str:
     return text.replace("\\", "\\\\")
 
 
-def page(df: DataFrame, order: list[Column], limit: int, offset: int = 0) -> DataFrame:
-    """One page plus whether more rows follow; only limit + 1 rows leave the top-k sort."""
-    window = df.orderBy(*order).offset(offset).limit(limit + 1)
-    numbered = window.withColumn("__n", F.row_number().over(Window.orderBy(*order)))
+#: Rows a page may reach into a table by a plain top-k; deeper ones are found by rank or by an index of ranks.
+SHALLOW = 10_000
+MAX_PAGE, MAX_SAMPLE = 500, 12
+
+
+def _checked(value: int, low: int, high: int, what: str) -> int:
+    if not low <= value <= high:
+        raise ValueError(f"{what} must be from {low} to {high}")
+    return value
+
+
+def page(df: DataFrame, order: list[Column], limit: int, offset: int = 0, shallow: int = SHALLOW) -> DataFrame:
+    """One page plus whether more rows follow. The order is total.
+
+    A shallow page is a top-k. For a deep one rows are ranked over many tasks and those of the page are kept, so no task
+    takes the rows before it; who pages on and on should use ``page_after``, or ``rank_index`` for jumps.
+    """
+    if offset + limit <= shallow:
+        first = df.orderBy(*order).limit(offset + limit + 1)
+        numbered = first.withColumn("__n", F.row_number().over(Window.orderBy(*order)))
+    else:
+        numbered = rank_within(df, [], order, "__n", 0)
+    window = numbered.where(F.col("__n").between(offset + 1, offset + limit + 1)).withColumn("__n", F.col("__n") - offset)
     more = F.max("__n").over(Window.partitionBy(F.lit(0))) > limit
-    return numbered.withColumn("has_more", more).filter(F.col("__n") <= limit).drop("__n")
+    return window.withColumn("has_more", more).filter(F.col("__n") <= limit).drop("__n")
+
+
+def _order(keys: list[tuple[str, bool]]) -> list[Column]:
+    return [F.desc(k) if down else F.asc(k) for k, down in keys]
+
+
+def _behind(keys: list[tuple[str, bool]], last: dict) -> Column:
+    """Rows that come after ``last`` in the order ``keys`` of (column, descending); nulls first ascending, last descending."""
+    hit, equal = F.lit(False), F.lit(True)
+    for name, down in keys:
+        column, value = F.col(name), last[name]
+        if value is None:
+            beyond = F.lit(False) if down else column.isNotNull()
+        else:
+            beyond = (column < F.lit(value)) | column.isNull() if down else column > F.lit(value)
+        hit, equal = hit | (equal & beyond), equal & column.eqNullSafe(F.lit(value))
+    # The leading key alone, once more: a plain comparison that reaches the statistics of the files.
+    name, down = keys[0]
+    if last[name] is None:
+        return hit
+    bound = (F.col(name) <= F.lit(last[name])) | F.col(name).isNull() if down else F.col(name) >= F.lit(last[name])
+    return bound & hit
+
+
+def page_after(df: DataFrame, keys: list[tuple[str, bool]], limit: int, last: dict | None = None) -> DataFrame:
+    """The page behind the row ``last`` (the values of its keys): a filter and a top-k of ``limit`` rows, however deep."""
+    return (df if last is None else df.where(_behind(keys, last))).orderBy(*_order(keys)).limit(limit)
+
+
+def rank_index(df: DataFrame, keys: list[tuple[str, bool]], every: int) -> DataFrame:
+    """The keys of each ``every``-th row with its rank: made once, over many tasks, for jumps to any page."""
+    names = [k for k, _ in keys]
+    ranked = rank_within(df.select(*names), [], _order(keys), "rank", 0)
+    return ranked.where(F.col("rank") % every == 0).select("rank", *names)
+
+
+def page_at(df: DataFrame, keys: list[tuple[str, bool]], index: DataFrame, limit: int, offset: int) -> DataFrame:
+    """The page at ``offset`` by an index of ranks: one slice behind the nearest indexed row is read."""
+    near = index.where(F.col("rank") <= offset).orderBy(F.desc("rank")).limit(1).collect()
+    last, skipped = (near[0].asDict(), near[0]["rank"]) if near else (None, 0)
+    return page_after(df, keys, offset - skipped + limit, last).withColumn(
+        "__n", F.row_number().over(Window.orderBy(*_order(keys)))).where(F.col("__n") > offset - skipped).drop("__n")
 
 
 def list_products(products: DataFrame, images: DataFrame, usable: DataFrame, limit: int = 60, offset: int = 0) -> DataFrame:
     """A page of products with the primary image and its analysis; joins touch the page only."""
-    limit = min(limit, 500)
-    shown = page(products, [F.desc("created_at"), F.asc("product_id")], limit, offset)
+    shown = page(products, [F.desc("created_at"), F.asc("product_id")], _checked(limit, 1, MAX_PAGE, "limit"), offset)
     keep = ["image_id", "product_id", "source_hash", "file_name", "is_primary", "position", "vision_status"]
     wanted = images.join(F.broadcast(shown.select("product_id")), "product_id", "left_semi")
     primary = with_primary(shown, wanted.select(*keep, F.col("created_at").alias("created_at")))
@@ -177,7 +237,7 @@ def diverse_sample(
     if product:
         own = analysed.filter(F.col("product_id") == product).withColumn("arrival_order", F.col("position"))
         return own.join(usable.select("source_hash", "shot_type", "overall_confidence"), "source_hash").select(*fields)
-    n = min(12, max(1, n))
+    _checked(n, 1, MAX_SAMPLE, "n")
     pool = images if pinned else analysed
     order = F.struct("created_at", "image_id")
     pool = pool.withColumn("arrival_order", order).join(

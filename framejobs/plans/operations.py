@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime, timezone
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from framejobs.functions import geometry as G, paths as P, text as X
 from framejobs.operators import exports, hygiene, jobs as J, lookup, reports
@@ -285,6 +285,31 @@ _DEAD = """(SELECT DISTINCT source_hash FROM b_doc_images WHERE import_id = 'imp
   (SELECT source_hash FROM b_doc_images WHERE import_id <> 'imp_1'))"""
 
 
+_CREATIVE_ORDER = [("created_at", True), ("creative_id", False), ("image_id", False), ("template_id", False)]
+
+
+@query("deep_pages", uses=("b_creatives", "b_batches"), sql="""
+  SELECT what, key, n FROM (
+    SELECT 'creatives' AS what, creative_id || ' ' || image_id || ' ' || template_id AS key,
+      row_number() OVER (ORDER BY created_at DESC, creative_id, image_id, template_id) AS n FROM b_creatives
+    UNION ALL SELECT 'batches', batch_id, row_number() OVER (ORDER BY status, name DESC, batch_id) FROM b_batches)
+  WHERE what = 'creatives' AND n BETWEEN 2501 AND 2620 OR what = 'batches' AND n BETWEEN 61 AND 90""")
+def deep_pages(spark, sf_dir):
+    """A jump to a deep page of outputs, the page behind it, and a page of batches."""
+    creatives = stored(B.creatives(spark, sf_dir).select("created_at", "creative_id", "image_id", "template_id"))
+    index = stored(lookup.rank_index(creatives, _CREATIVE_ORDER, 1000))
+    jump = stored(lookup.page_at(creatives, _CREATIVE_ORDER, index, 60, 2500))
+    end = jump.orderBy(*[F.asc(k) if down else F.desc(k) for k, down in _CREATIVE_ORDER]).limit(1).collect()
+    onward = lookup.page_after(creatives, _CREATIVE_ORDER, 60, end[0].asDict()) if end else jump.limit(0)
+    numbered = lambda df, order, start: df.withColumn("n", F.row_number().over(Window.orderBy(*order)) + start)
+    by = lookup._order(_CREATIVE_ORDER)
+    shown = numbered(jump, by, 2500).unionByName(numbered(onward, by, 2560)).select(
+        F.lit("creatives").alias("what"), F.concat_ws(" ", "creative_id", "image_id", "template_id").alias("key"), "n")
+    order = [F.asc("status"), F.desc("name"), F.asc("batch_id")]
+    batches = lookup.page(B.batches(spark, sf_dir), order, 30, 60, shallow=0)
+    return shown.unionByName(numbered(batches, order, 60).select(F.lit("batches").alias("what"), F.col("batch_id").alias("key"), "n"))
+
+
 @query("delete_import_impact", uses=("b_doc_images", "b_media", "b_creatives"), sql=f"""
   SELECT (SELECT count(DISTINCT product_id) FROM b_doc_images WHERE import_id = 'imp_1') AS removed_products,
     (SELECT count(*) FROM b_doc_images WHERE import_id = 'imp_1') AS removed_images,

@@ -398,3 +398,31 @@ def test_rasters_are_packed_whole_and_bands_look_them_up(spark):
     cloth[:, :2] = True  # samples right of the third raster column meet no cloth
     assert layout._sampled(band, {"garment_mask": cloth}) == "garment"
     assert layout._sampled(band._replace(w=0.0), {"garment_mask": ~cloth}) == "background"
+
+
+def test_pages_at_any_depth(spark):
+    rng = random.Random(6)
+    data = [(rng.choice([None, 1, 2, 3]), f"k{i:04d}", i) for i in range(700)]
+    rng.shuffle(data)
+    df = spark.createDataFrame(data, "t int, k string, i int").repartition(5)
+    keys = [("t", True), ("k", False)]
+    want = [r[2] for r in sorted(data, key=lambda r: (r[0] is None, -(r[0] or 0), r[1]))]
+    order = [F.desc("t"), F.asc("k")]
+    for shallow in (0, 10_000):
+        got = lookup.page(df, order, 50, 640, shallow).collect()
+        assert [r.i for r in sorted(got, key=lambda r: want.index(r.i))] == want[640:690] and all(r.has_more for r in got)
+        got = lookup.page(df, order, 50, 660, shallow).collect()
+        assert {r.i for r in got} == set(want[660:]) and not any(r.has_more for r in got)
+    index = lookup.rank_index(df, keys, 100)
+    assert [r.i for r in lookup.page_at(df, keys, index, 20, 350).collect()] == want[350:370]
+    assert [r.i for r in lookup.page_at(df, keys, index, 20, 5).collect()] == want[5:25]
+    last, seen = None, []
+    while rows_ := lookup.page_after(df, keys, 150, last).collect():
+        seen += [r.i for r in rows_]
+        last = rows_[-1].asDict()
+    assert seen == want
+    up = [("t", False), ("k", True)]
+    first = lookup.page_after(df, up, 30).collect()
+    assert first[0].t is None and lookup.page_after(df, up, 400, first[-1].asDict()).count() == 400
+    with pytest.raises(ValueError):
+        lookup.list_products(df, df, df, 501)
