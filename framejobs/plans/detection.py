@@ -242,13 +242,11 @@ def analysed(spark, sf_dir):
         F.concat(F.lit("v"), F.col("vec_id").cast("string")).alias("source_hash"),
         F.lit(1000.0).alias("image_width"), F.lit(1500.0).alias("image_height"),
     )
-    number = F.substring("source_hash", 2, 20).cast("long")
     pose = detect.decode_pose(B.pose_candidates(spark, sf_dir, "vec_id"))
-    face = detect.decode_faces(B.face_candidates(spark, sf_dir, "vec_id")).filter(number % 3 != 0)
+    face = detect.decode_faces(B.face_candidates(spark, sf_dir, "vec_id"))
     persons = detect.gather(detect.nms(pose, vocab.THRESHOLDS["person_nms_iou"]), "persons")
     faces = detect.gather(detect.nms(face, vocab.THRESHOLDS["face_nms_iou"]), "faces")
-    parses = B.parses(spark, sf_dir).filter(number % 5 != 4)
-    return analyze.analyse(stored(analyze.assemble(images, persons, faces, B.masks(spark, sf_dir), parses)))
+    return analyze.analyse(stored(analyze.assemble(images, persons, faces, B.masks(spark, sf_dir), B.parses(spark, sf_dir))))
 
 
 _K = {n: i + 1 for i, n in enumerate(vocab.KEYPOINT_NAMES)}
@@ -267,9 +265,9 @@ cte("a0", f"""
     p.score AS ps, p.bl AS pl, p.bt AS pt, p.br AS pr, p.bb AS pb, p.kps, p.visible, p.kconf, f.score AS fs, f.bl AS fl,
     f.bt AS ft, f.br AS fr, f.bb AS fb, f.lx, f.ly, f.rx, f.ry, m.l AS ml, m.t AS mt, m.r AS mr, m.b AS mb, m.coverage,
     m.mean_p, m.cx AS mcx, m.cy AS mcy, m.tl, m.tr, m.bl AS mbl, m.br_ AS mbr, q.* EXCLUDE (vec_id)
-  FROM embeddings e LEFT JOIN b_pose p USING (vec_id) LEFT JOIN (SELECT * FROM b_face WHERE vec_id % 3 <> 0) f USING (vec_id)
+  FROM embeddings e LEFT JOIN b_pose p USING (vec_id) LEFT JOIN b_face f USING (vec_id)
   LEFT JOIN (SELECT * FROM b_mask_stats WHERE kind = 'person_mask') m USING (vec_id)
-  LEFT JOIN (SELECT * FROM b_parse WHERE vec_id % 5 <> 4) q USING (vec_id)""",
+  LEFT JOIN b_parse q USING (vec_id)""",
     ("b_pose", "b_face", "b_mask_stats", "b_parse"))
 # A face only counts when it lies at least half inside the person.
 cte("a1", """
@@ -286,7 +284,7 @@ for _side in ("left", "right"):
     ))
 cte("a_points", " UNION ALL ".join(
     f"SELECT vec_id, '{n}' AS point, floor(({x}) / 125.0 + 0.5) AS gx, floor(({y}) / 187.5 + 0.5) AS gy FROM a1 "
-    "WHERE has_p AND vec_id % 5 <> 4" for n, x, y in _POINTS), ("a1",))
+    "WHERE has_p" for n, x, y in _POINTS), ("a1",))
 cte("a_frac", f"""
   SELECT p.vec_id, p.point, count(*) FILTER (c.cls IN {_in('upper_garment')}) / count(*)::double AS cloth,
     count(*) FILTER (c.cls IN {_in('arms')}) / count(*)::double AS skin
@@ -495,12 +493,20 @@ cte("a_shot", """
       WHEN has_f AND face_ratio > 0.42 THEN 0.9 WHEN ankles AND head_visible THEN 0.92 WHEN ankles THEN 0.75
       WHEN (knees OR hips) AND head_visible THEN 0.85
       WHEN shoulders AND head_visible THEN CASE WHEN face_ratio > 0.25 THEN 0.75 ELSE 0.85 END
-      WHEN head_visible THEN 0.7 WHEN shoulders OR hips OR person_ratio > 0.5 THEN 0.8 ELSE 0.3 END::double AS shot_conf
+      WHEN head_visible THEN 0.7 WHEN shoulders OR hips OR person_ratio > 0.5 THEN 0.8 ELSE 0.3 END::double AS shot_conf,
+    CASE WHEN NOT has_p THEN CASE WHEN gtype = 'accessory' THEN 'isolated_product' WHEN cover > 0.45 THEN 'fills_frame'
+        WHEN cover > 0.02 THEN 'covers_part' ELSE 'no_silhouette' END
+      WHEN has_f AND face_ratio > 0.42 THEN 'large_face' WHEN ankles THEN CASE WHEN head_visible THEN 'head_to_ankles' ELSE 'legs_only' END
+      WHEN head_visible THEN CASE WHEN knees THEN 'head_to_knees' WHEN hips THEN 'head_to_hips' WHEN NOT shoulders THEN 'head_only'
+        WHEN face_ratio > 0.25 THEN 'near_head_and_shoulders' ELSE 'head_and_shoulders' END
+      WHEN shoulders OR hips OR person_ratio > 0.5 THEN 'body_without_head' ELSE 'few_landmarks' END AS shot_reason
   FROM a_signals""", ("a_signals",))
 
 
 @query("classify_shot", uses=("a_shot",), sql=f"""
-  SELECT 'v' || vec_id AS source_hash, shot_type, shot_conf AS confidence, head_visible, shoulders AS shoulders_visible,
+  SELECT 'v' || vec_id AS source_hash, shot_type, shot_conf AS confidence, shot_reason AS reason,
+    CASE WHEN shot_reason IN ('fills_frame', 'covers_part') THEN {S.r('cover')}
+      WHEN shot_reason IN ('large_face', 'near_head_and_shoulders') THEN {S.r('face_ratio')} END AS share, head_visible, shoulders AS shoulders_visible,
     hips AS hips_visible, knees AS knees_visible, ankles AS ankles_visible, {S.r('face_ratio')} AS face_height_ratio,
     {S.r('person_ratio')} AS person_height_ratio, {S.r('cover')} AS person_coverage,
     {S.r('CASE WHEN sr > sl THEN (sb - st) / (sr - sl) ELSE 0.0 END')} AS subject_aspect,
@@ -511,7 +517,7 @@ def classify_shot(spark, sf_dir):
     flags = ("head_visible", "shoulders_visible", "hips_visible", "knees_visible", "ankles_visible", "touches_top",
              "touches_bottom", "touches_left", "touches_right")
     return a.select(
-        "source_hash", F.col("shot.type").alias("shot_type"), "shot.confidence", *[f"signals.{f}" for f in flags],
+        "source_hash", F.col("shot.type").alias("shot_type"), "shot.confidence", "shot.reason", r(F.col("shot.share")).alias("share"), *[f"signals.{f}" for f in flags],
         *[r(F.col(f"signals.{c}")).alias(c) for c in ("face_height_ratio", "person_height_ratio", "person_coverage", "subject_aspect")],
     )
 

@@ -308,7 +308,7 @@ def test_flat_lay_without_a_person(spark):
         "'person_height_ratio', 0.0d, 'person_coverage', 0.5d) signals",
     )
     shot = analyze.classify_shot(df).head().shot
-    assert (shot.type, shot.confidence) == ("flat_lay", 0.7) and "50%" in shot.reasoning
+    assert (shot.type, shot.confidence, shot.reason, shot.share) == ("flat_lay", 0.7, "fills_frame", 0.5)
 
 
 def test_analysis_merge_follows_time(spark):
