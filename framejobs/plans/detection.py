@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from framejobs import vocab
 from framejobs.functions import geometry as G
-from framejobs.operators import analyze, detect, raster, reports
+from framejobs.operators import analyze, detect, hooks, raster, reports
 from framejobs.plans import shared_sql as S
 from framejobs.plans.registry import cte, query
 from framejobs.session import stored
@@ -183,6 +185,28 @@ def mask_features(spark, sf_dir):
     )
 
 
+def raster_hook(batch):
+    """A stand-in for a segmentation model: vectors as 8 x 8 probability rasters."""
+    values = np.clip(np.floor((batch.column("embedding").flatten().to_numpy(zero_copy_only=False).astype(np.float64) * 3.0 + 1.0) * 127.5), 0.0, 255.0)
+    rows = batch.num_rows
+    numbers = batch.column("vec_id").to_pylist()
+    return pa.RecordBatch.from_arrays([
+        batch.column("source_hash"), pa.array(["garment_mask" if n % 2 else "person_mask" for n in numbers], pa.string()),
+        pa.array([8] * rows, pa.int32()), pa.array([8] * rows, pa.int32()),
+        pa.ListArray.from_arrays(pa.array(np.arange(rows + 1, dtype=np.int32) * 64), pa.array(values.astype(np.int16))),
+    ], names=["source_hash", "kind", "width", "height", "data"])
+
+
+@query("scored_masks", uses=("b_mask_stats",), sql=f"""
+  SELECT source_hash, kind, n AS set_pixels, {S.r('coverage')} AS coverage, {S.r('mean_p')} AS mean_probability FROM b_mask_stats""")
+def scored_masks(spark, sf_dir):
+    """Mask features of rasters that a user's scorer makes, in place of the raw table."""
+    images = B.table(spark, sf_dir, "embeddings").withColumn("source_hash", F.concat(F.lit("v"), F.col("vec_id").cast("string")))
+    masks = hooks.score(images, raster_hook, hooks.Contract(("source_hash", "vec_id", "embedding"), hooks.GIVES["mask"]))
+    m, r = raster.mask_features(masks), G.round_to
+    return m.select("source_hash", "kind", "set_pixels", r(F.col("coverage")).alias("coverage"), r(F.col("mean_probability")).alias("mean_probability"))
+
+
 @query("row_profile", uses=("b_masks",), sql="""
   SELECT source_hash, kind, y, count(*) FILTER (v >= 128) AS set_pixels FROM b_masks GROUP BY ALL""")
 def row_profile(spark, sf_dir):

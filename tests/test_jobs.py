@@ -5,11 +5,13 @@ from datetime import datetime, timezone
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from pyspark.sql import functions as F
 
 from framejobs.functions import paths
-from framejobs.operators import analyze, detect, exports, framing, hygiene, ingest, jobs as J, layout, lookup, ranking, reports, routing
+from framejobs.operators import analyze, detect, exports, framing, hooks, hygiene, ingest, jobs as J, layout, lookup, ranking, reports, routing
 from framejobs.plans import settings
 from framejobs.sources import bridge as B, media, tables, templates as T
 from framejobs.streaming.jobs import JobMachine
@@ -426,3 +428,28 @@ def test_pages_at_any_depth(spark):
     assert first[0].t is None and lookup.page_after(df, up, 400, first[-1].asDict()).count() == 400
     with pytest.raises(ValueError):
         lookup.list_products(df, df, df, 501)
+
+
+def test_scorer_hooks_keep_their_contract(spark):
+    images = spark.createDataFrame([("a", 1.0), ("b", 2.0)], "source_hash string, x double")
+    contract = hooks.Contract(("source_hash", "x"), "source_hash string, score double")
+
+    def twice(batch):
+        return pa.RecordBatch.from_arrays([batch.column("source_hash"), pc.multiply(batch.column("x"), 2.0)], names=["source_hash", "score"])
+
+    assert sorted(map(tuple, hooks.score(images, twice, contract).collect())) == [("a", 2.0), ("b", 4.0)]
+    bad = [
+        (images.drop("x"), twice, contract), (images, twice, hooks.Contract(("x",), "source_hash string, score double")),
+        (images, twice, hooks.Contract(("source_hash", "x"), "source_hash string, score float")),
+        (images, lambda b: b, contract), (images, lambda b: twice(b).select(["score", "source_hash"]), contract),
+    ]
+    for df, hook, terms in bad:
+        with pytest.raises(hooks.ContractError):
+            hooks.score(df, hook, terms)
+
+    def stranger(batch):
+        return pa.RecordBatch.from_arrays([pa.array(["z"] * batch.num_rows, pa.string()), batch.column("x")], names=["source_hash", "score"])
+
+    with pytest.raises(Exception, match="not asked about"):
+        hooks.score(images, stranger, contract).collect()
+    assert hooks.score(images.limit(0), twice, contract).collect() == []
