@@ -42,7 +42,9 @@ def _line_rows(texts: DataFrame, depth: int) -> DataFrame:
     apart here; a line of fewer is its own leaf. Where a text has single blanks alone between words, tokens are counted
     by their blanks, and by their pattern elsewhere."""
     odd = reduce(or_, [F.contains("text", F.lit(c)) for c in ("  ", "\t", "\x0b", "\x0c", "\r")])
-    lines = texts.select("text_key", "doc_id", odd.alias("odd"), F.posexplode(_masked_lines(F.col("text"))).alias("line_no", "line"))
+    # Settled before the lines part, or every line would search its whole text.
+    split = texts.select("text_key", "doc_id", odd.alias("odd"), _masked_lines(F.col("text")).alias("lines"))
+    lines = split.select("text_key", "doc_id", "odd", F.posexplode("lines").alias("line_no", "line"))
     plain = ~F.col("odd") & ~F.startswith("line", F.lit(" ")) & ~F.endswith("line", F.lit(" ")) & (F.col("line") != "")
     blanks = F.octet_length("line") - F.octet_length(F.replace("line", F.lit(" "), F.lit("")))
     rows = lines.withColumn("plain", plain).withColumn(
