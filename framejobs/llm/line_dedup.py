@@ -44,7 +44,7 @@ def _line_rows(texts: DataFrame, depth: int) -> DataFrame:
     odd = reduce(or_, [F.contains("text", F.lit(c)) for c in ("  ", "\t", "\x0b", "\x0c", "\r")])
     # Settled before the lines part, or every line would search its whole text.
     split = texts.select("text_key", "doc_id", odd.alias("odd"), _masked_lines(F.col("text")).alias("lines"))
-    lines = split.select("text_key", "doc_id", "odd", F.posexplode("lines").alias("line_no", "line"))
+    lines = split.select("text_key", "doc_id", "odd", F.posexplode_outer("lines").alias("line_no", "line"))  # a split has a part at least
     plain = ~F.col("odd") & ~F.startswith("line", F.lit(" ")) & ~F.endswith("line", F.lit(" ")) & (F.col("line") != "")
     blanks = F.octet_length("line") - F.octet_length(F.replace("line", F.lit(" "), F.lit("")))
     rows = lines.withColumn("plain", plain).withColumn(
