@@ -34,10 +34,30 @@ def rank_within(
     return _rank_by_range(df, keys, order, name)
 
 
+def running_within(
+    df: DataFrame, keys: list[str], order: list[Column], weight: str, name: str, max_group_rows: int = MAX_GROUP_ROWS
+) -> DataFrame:
+    """Add the sum of ``weight`` over each row and those before it in its group, under a total order; spread as ranks are."""
+    upto = lambda *by: Window.partitionBy(*by).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    if largest_group(df, keys) <= max_group_rows:
+        return df.withColumn(name, F.sum(weight).over(upto(*keys).orderBy(*order)))
+    within = F.sum(weight).over(upto(*keys, "__part").orderBy("__row"))
+    spread = _spread(df, keys, order)
+    return _with_offsets(
+        spread.withColumn("__within", within), _offsets(spread, keys, F.sum(weight)), keys, df.columns,
+        F.col("l.__within") + F.col("r.__before"), name)
+
+
 def _rank_by_range(df: DataFrame, keys: list[str], order: list[Column], name: str) -> DataFrame:
-    spark = df.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    columns = df.columns
+    spread = _spread(df, keys, order)
+    return _with_offsets(
+        spread, _offsets(spread, keys, F.count(F.lit(1))), keys, df.columns,
+        (F.col("l.__row") - F.col("r.__first") + F.col("r.__before") + 1).cast("bigint"), name)
+
+
+def _spread(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
+    """Rows range partitioned on (keys, order), with the number of their partition and their place in it."""
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     sort_keys = [F.col(k) for k in keys] + order
     # monotonically_increasing_id carries the partition number above bit 33 and the row below it.
     spread = (
@@ -47,21 +67,25 @@ def _rank_by_range(df: DataFrame, keys: list[str], order: list[Column], name: st
         .withColumn("__part", F.shiftright("__row", 33))
         .withColumn("__row", F.col("__row").bitwiseAND(F.lit((1 << 33) - 1)))
     )
-    # Both branches below must see the same partitioning, also after an executor is lost.
-    spread = stored(spread)
-    pieces = spread.groupBy(*keys, "__part").agg(
-        F.min("__row").alias("__first"), F.count(F.lit(1)).alias("__n")
-    )
+    # All branches that read it must see the same partitioning, also after an executor is lost.
+    return stored(spread)
+
+
+def _offsets(spread: DataFrame, keys: list[str], total: Column) -> DataFrame:
+    """First place and total before it of each group in each partition."""
+    pieces = spread.groupBy(*keys, "__part").agg(F.min("__row").alias("__first"), total.alias("__n"))
     # At most one row per (group, partition): bounded by the number of partitions in each group.
     earlier = Window.partitionBy(*keys).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = pieces.withColumn("__before", F.coalesce(F.sum("__n").over(earlier), F.lit(0))).drop("__n")
+    return pieces.withColumn("__before", F.coalesce(F.sum("__n").over(earlier), F.lit(0))).drop("__n")
+
+
+def _with_offsets(
+    spread: DataFrame, offsets: DataFrame, keys: list[str], columns: list[str], value: Column, name: str
+) -> DataFrame:
     left, right = spread.alias("l"), offsets.alias("r")
     same = [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in keys]
     condition = reduce(lambda a, b: a & b, same, F.col("l.__part") == F.col("r.__part"))
-    return left.join(right, condition).select(
-        *[F.col(f"l.`{c}`") for c in columns],
-        (F.col("l.__row") - F.col("r.__first") + F.col("r.__before") + 1).cast("bigint").alias(name),
-    )
+    return left.join(right, condition).select(*[F.col(f"l.`{c}`") for c in columns], value.alias(name))
 
 
 def previous_within(

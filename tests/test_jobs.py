@@ -453,3 +453,14 @@ def test_scorer_hooks_keep_their_contract(spark):
     with pytest.raises(Exception, match="not asked about"):
         hooks.score(images, stranger, contract).collect()
     assert hooks.score(images.limit(0), twice, contract).collect() == []
+
+
+def test_timing_percentiles_are_exact(spark):
+    """Among 600,000 rows an approximate percentile is a rank or so off; a missing time counts behind all others."""
+    ms = F.col("id") % 400
+    rows = spark.range(600_000).select(F.create_map(F.lit("pose"), ms, F.lit("face"), F.when(F.col("id") % 10 < 6, ms)).alias("timings"))
+    for limit in (ranking.MAX_GROUP_ROWS, 10):
+        got = {r.stage: r for r in reports.timing_report(rows, limit).collect()}
+        assert (got["pose"].n, got["pose"].mean_ms, got["pose"].p50_ms, got["pose"].p95_ms, got["pose"].max_ms) == (600_000, 199.5, 199, 379, 399)
+        known = sorted(i for i in range(400) if i % 10 < 6)
+        assert (got["face"].n, got["face"].p50_ms, got["face"].p95_ms) == (600_000, known[-(-300_000 // 1500) - 1], None)
