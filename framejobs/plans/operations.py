@@ -192,7 +192,7 @@ def failed_jobs_page(spark, sf_dir):
 @query("merge_creatives", uses=("b_creatives",), sql="""
   SELECT creative_id, image_id, template_id, batch_id, byte_size FROM b_creatives""")
 def merge_creatives(spark, sf_dir):
-    return B.creatives(spark, sf_dir).select("creative_id", "image_id", "template_id", "batch_id", "byte_size")
+    return B.creatives(spark, sf_dir, "creative_id", "image_id", "template_id", "batch_id", "byte_size")
 
 
 @query("list_creatives", uses=("b_creatives", "b_templates"), sql="""
@@ -205,7 +205,8 @@ def list_creatives(spark, sf_dir):
     products = B.table(spark, sf_dir, "part").select(
         F.concat(F.lit("prd_"), F.col("p_partkey").cast("string")).alias("product_id"), F.col("p_name").alias("product_name")
     )
-    shown = lookup.page(B.creatives(spark, sf_dir), [F.desc("created_at"), F.asc("creative_id")], 200, 40)
+    listed = B.creatives(spark, sf_dir, "creative_id", "product_id", "template_id", "used_fallback", "violations", "created_at")
+    shown = lookup.page(listed, [F.desc("created_at"), F.asc("creative_id")], 200, 40)
     named = lookup.list_creatives(shown, products, settings.templates(spark).filter("template_id <> 'tpl_5'"))
     return named.select(
         "creative_id", "product_name", "template_name", "used_fallback", F.size("violations").alias("violations"), "has_more"
@@ -218,7 +219,7 @@ def creative_keys_for_import(spark, sf_dir):
     images = B.table(spark, sf_dir, "part").select(
         F.concat(F.lit("img_"), F.col("p_partkey").cast("string")).alias("image_id"), F.col("p_brand").alias("import_id")
     )
-    return lookup.creative_keys_for_import(B.creatives(spark, sf_dir), images, "Brand#4")
+    return lookup.creative_keys_for_import(B.creatives(spark, sf_dir, "image_id", "storage_key"), images, "Brand#4")
 
 
 @query("creative_report", uses=("b_creatives",), sql=f"""
@@ -226,7 +227,7 @@ def creative_keys_for_import(spark, sf_dir):
     {S.r('avg(CASE WHEN used_fallback THEN 1.0 ELSE 0.0 END)')} AS fallback_rate,
     count(*) FILTER (used_fallback OR len(violations) > 0) AS review FROM b_creatives GROUP BY 1""")
 def creative_report(spark, sf_dir):
-    current = B.creatives(spark, sf_dir)
+    current = B.creatives(spark, sf_dir, "strategy_id", "used_fallback", "violations")
     review = reports.needs_review(current).groupBy("strategy_id").agg(F.count(F.lit(1)).alias("review"))
     return reports.strategy_report(current).withColumn("fallback_rate", G.round_to(F.col("fallback_rate"))).join(
         review, "strategy_id", "left"
@@ -236,7 +237,7 @@ def creative_report(spark, sf_dir):
 @query("violation_histogram", uses=("b_creatives",), sql="""
   SELECT code, count(*) AS count FROM (SELECT unnest(violations) AS code FROM b_creatives) GROUP BY 1""")
 def violation_histogram(spark, sf_dir):
-    return reports.violation_histogram(B.creatives(spark, sf_dir))
+    return reports.violation_histogram(B.creatives(spark, sf_dir, "violations"))
 
 
 @query("storage_usage", uses=("b_media",), sql="""
@@ -270,7 +271,7 @@ def doc_images(spark, sf_dir):
     (root = 'originals' AND key NOT IN (SELECT storage_key FROM b_doc_images)) OR
     (root = 'derived' AND split_part(key, '/', 3) NOT IN (SELECT source_hash FROM b_doc_images))""")
 def sweep_orphans(spark, sf_dir):
-    rows = B.creatives(spark, sf_dir).filter("used_fallback")
+    rows = B.creatives(spark, sf_dir, "storage_key", "used_fallback").filter("used_fallback")
     return hygiene.sweep_orphans(B.media_listing(spark, sf_dir), rows, doc_images(spark, sf_dir)).select("root", "key", "size")
 
 
@@ -296,7 +297,7 @@ _CREATIVE_ORDER = [("created_at", True), ("creative_id", False), ("image_id", Fa
   WHERE what = 'creatives' AND n BETWEEN 2501 AND 2620 OR what = 'batches' AND n BETWEEN 61 AND 90""")
 def deep_pages(spark, sf_dir):
     """A jump to a deep page of outputs, the page behind it, and a page of batches."""
-    creatives = stored(B.creatives(spark, sf_dir).select("created_at", "creative_id", "image_id", "template_id"))
+    creatives = stored(B.creatives(spark, sf_dir, "created_at", "creative_id", "image_id", "template_id"))
     index = stored(lookup.rank_index(creatives, _CREATIVE_ORDER, 1000))
     jump = stored(lookup.page_at(creatives, _CREATIVE_ORDER, index, 60, 2500))
     end = jump.orderBy(*[F.asc(k) if down else F.desc(k) for k, down in _CREATIVE_ORDER]).limit(1).collect()
@@ -327,7 +328,7 @@ def delete_import_impact(spark, sf_dir):
     images = doc_images(spark, sf_dir)
     tables = {
         "images": images, "products": images.select("product_id", "import_id").distinct(),
-        "creatives": B.creatives(spark, sf_dir).select("creative_id", "image_id", "storage_key"),
+        "creatives": B.creatives(spark, sf_dir, "creative_id", "image_id", "storage_key"),
     }
     ids = images.filter("import_id = 'imp_1'").select("import_id").distinct()
     _, _, report = hygiene.delete_impact(tables, "import", ids, B.media_listing(spark, sf_dir))
@@ -367,7 +368,8 @@ def _delete_sql(kind: str, creatives: str, images: str) -> str:
     _delete_sql(kind, *where) for kind, where in _DELETES.items()))
 def delete_impact(spark, sf_dir):
     """Dry runs of deleting a product, a batch, a template, some creatives and all of them."""
-    images, creatives = stored(doc_images(spark, sf_dir)), stored(B.creatives(spark, sf_dir))
+    images = stored(doc_images(spark, sf_dir))
+    creatives = stored(B.creatives(spark, sf_dir, "creative_id", "image_id", "product_id", "template_id", "batch_id", "storage_key"))
     rules = B.table(spark, sf_dir, "part").select(
         F.col("p_partkey").cast("string").alias("rule_id"), F.concat(F.lit("tpl_"), (F.col("p_partkey") % 10).cast("string")).alias("template_id"))
     tables = {
@@ -392,7 +394,7 @@ def delete_impact(spark, sf_dir):
   UNION ALL SELECT 'jobs', count(*) FROM b_jobs WHERE batch_id <> 'bat_9'
   UNION ALL SELECT 'batches', count(*) FROM b_batches WHERE batch_id <> 'bat_9'""")
 def delete_batch_survivors(spark, sf_dir):
-    tables = {"creatives": B.creatives(spark, sf_dir), "jobs": B.jobs(spark, sf_dir), "batches": B.batches(spark, sf_dir)}
+    tables = {"creatives": B.creatives(spark, sf_dir, "creative_id", "batch_id"), "jobs": B.jobs(spark, sf_dir), "batches": B.batches(spark, sf_dir)}
     ids = tables["batches"].filter("batch_id = 'bat_9'").select("batch_id")
     left = hygiene.survivors(tables, hygiene.cascade(tables, "batch", ids))
     parts = [df.agg(F.count(F.lit(1)).alias("n")).withColumn("what", F.lit(t)) for t, df in left.items()]
@@ -459,7 +461,7 @@ def export_manifest(spark, sf_dir):
         F.lit("imp_0").alias("import_id"),
     )
     m = exports.export_manifest(
-        B.creatives(spark, sf_dir), None, products, None, settings.templates(spark), "template",
+        B.creatives(spark, sf_dir, "creative_id", "product_id", "template_id", "mime_type", "width", "created_at"), None, products, None, settings.templates(spark), "template",
         exports.ExportOptions("webp", 50),
     )
     return m.select("creative_id", "archive_name", "output_width", "action")

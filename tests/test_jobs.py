@@ -464,3 +464,16 @@ def test_timing_percentiles_are_exact(spark):
         assert (got["pose"].n, got["pose"].mean_ms, got["pose"].p50_ms, got["pose"].p95_ms, got["pose"].max_ms) == (600_000, 199.5, 199, 379, 399)
         known = sorted(i for i in range(400) if i % 10 < 6)
         assert (got["face"].n, got["face"].p50_ms, got["face"].p95_ms) == (600_000, known[-(-300_000 // 1500) - 1], None)
+
+
+def test_creatives_compare_numbers_and_make_texts_for_those_that_stay(spark, sf_dir):
+    every = B.creatives(spark, sf_dir)
+    last = ranking.last_by(B.creative_events(spark, sf_dir), ["image_id", "template_id"], F.struct("created_at", "seq", "sub_seq"))
+    assert every.schema.simpleString() == B.creative_events(spark, sf_dir).schema.simpleString()
+    assert every.exceptAll(last.select(*every.columns)).count() == 0 and every.count() == last.count()
+    some = B.creatives(spark, sf_dir, "storage_key", "violations")
+    assert some.columns == ["storage_key", "violations"] and some.exceptAll(every.select(*some.columns)).count() == 0
+    for df in (every, some):
+        grouped = [line for line in df._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Aggregate" in line]
+        assert len(grouped) == 1 and "crt_" not in grouped[0] and "img_" not in grouped[0]
+    assert "l_extendedprice" in str(every._jdf.queryExecution().executedPlan()) and "l_extendedprice" not in str(some._jdf.queryExecution().executedPlan())
