@@ -6,12 +6,13 @@ Every job takes its watermark as an argument. Events behind it are dropped by Sp
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Iterator
 from datetime import datetime
 
 import pandas as pd
-from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
+from pyspark.sql import DataFrame, Observation, Row, SparkSession, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.types import IntegerType, StructField, StructType
@@ -81,12 +82,11 @@ def stream_bursts(events: DataFrame, gap: str, watermark: str = "1 hour") -> Dat
     ).select("job_id", F.col("s.start").alias("start"), F.col("s.end").alias("end"), "n")
 
 
-STATE_FIELDS = "status attempts max_attempts heartbeat_at available_at error updated_at revision".split()
+STATE_FIELDS = "status attempts max_attempts heartbeat_at available_at error updated_at revision timer waiting".split()
 STATE_SCHEMA = (
     "status string, attempts int, max_attempts int, heartbeat_at bigint, available_at bigint, error string, "
-    "updated_at bigint, revision bigint"
+    "updated_at bigint, revision bigint, timer bigint, waiting string"
 )
-WAITING_SCHEMA = "ts_ms bigint, event_id bigint, event string, detail string"
 STATE_OUTPUT = (
     "job_id string, status string, attempts int, heartbeat_at bigint, error string, updated_at bigint, stale boolean, "
     "silent_since bigint, revision bigint"
@@ -100,9 +100,10 @@ class JobMachine(StatefulProcessor):
     may refund its attempt, a retry starts afresh. With ``stale_ms`` a claimed or running job whose worker is silent for
     longer goes back to pending at that moment, before any later event counts.
 
-    Events wait in list state until the watermark has passed them, when nothing can arrive before them any more; then
+    Events wait in state until the watermark has passed them, when nothing can arrive before them any more; then
     they are taken in event-time order into the settled state. A timer at the first waiting event releases it
-    also where a job hears nothing more. Each row put out shows the settled state with the waiting events applied on top, so
+    also where a job hears nothing more. Every call on state is a round trip to the JVM, so a job is one value, its waiting
+    events a JSON text in it, read and written once a call; a timer is set only where none is set before it. Each row put out shows the settled state with the waiting events applied on top, so
     the last row of a job is that of the ordered log whatever order the log came in. What is kept for a job is
     its events inside the watermark; a micro-batch's chunks pass one by one.
     """
@@ -113,7 +114,6 @@ class JobMachine(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.state = handle.getValueState("job", STATE_SCHEMA)
-        self.waiting = handle.getListState("waiting", WAITING_SCHEMA)
 
     def _step(self, s: dict, event: str, ts: int, detail: str | None) -> None:
         working = s["status"] in ("claimed", "running")
@@ -165,67 +165,96 @@ class JobMachine(StatefulProcessor):
         since = None if until is None else self._silence(s, until)
         return spells if since is None else [*spells, (since, dict(s))]
 
-    def _load(self) -> dict:
-        if self.state.exists():
-            return dict(zip(STATE_FIELDS, self.state.get()))
-        return {
-            "status": "pending", "attempts": 0, "max_attempts": self.max_attempts, "heartbeat_at": None,
-            "available_at": None, "error": None, "updated_at": 0, "revision": 0,
-        }
-
-    def _settle(self, s: dict, watermark: int) -> tuple[list[tuple[int, dict]], list[tuple]]:
+    def _load(self) -> tuple[dict, list[tuple]]:
+        """The settled state and the events that wait."""
+        kept = tuple(self.state.get() or ())
+        if not kept:
+            return {
+                "status": "pending", "attempts": 0, "max_attempts": self.max_attempts, "heartbeat_at": None,
+                "available_at": None, "error": None, "updated_at": 0, "revision": 0, "timer": None,
+            }, []
+        s = dict(zip(STATE_FIELDS, kept))
+        return s, [tuple(e) for e in json.loads(s.pop("waiting"))]
+
+    def _settle(self, s: dict, waiting: list[tuple], watermark: int) -> tuple[list[tuple[int, dict]], list[tuple]]:
         """Move the waiting events the watermark has passed into ``s``; the spells of silence and the events left."""
-        waiting = sorted(self.waiting.get(), key=lambda e: (e[0], e[1])) if self.waiting.exists() else []
+        waiting = sorted(waiting, key=lambda e: (e[0], e[1]))
         due = [e for e in waiting if e[0] < watermark]
-        left = waiting[len(due):]
-        spells = self._fold(s, due, watermark)
-        if due:
-            self.waiting.put(left) if left else self.waiting.clear()
-        return spells, left
+        return self._fold(s, due, watermark), waiting[len(due):]
 
-    def _wake(self, s: dict, left: list[tuple]) -> None:
+    def _save(self, s: dict, left: list[tuple]) -> None:
+        wake = None
         if left:
-            self.handle.registerTimer(left[0][0] + 1)
+            wake = left[0][0] + 1
         elif self.stale_ms is not None and s["status"] in ("claimed", "running"):
-            self.handle.registerTimer(s["heartbeat_at"] + self.stale_ms + 1)
+            wake = s["heartbeat_at"] + self.stale_ms + 1
+        if wake is not None and (s["timer"] is None or wake < s["timer"]):
+            self.handle.registerTimer(wake)
+            s["timer"] = wake
+        self.state.update(tuple({**s, "waiting": json.dumps(left)}[f] for f in STATE_FIELDS))
 
-    def _rows(self, key, s: dict, spells: list[tuple[int, dict]], now: dict | None) -> pd.DataFrame:
+    def _rows(self, key, s: dict, spells: list[tuple[int, dict]], now: dict | None) -> list[Row]:
         found = [(since, after, True) for since, after in spells] + ([(None, now, False)] if now else [])
         rows = []
         for since, state, stale in found:
             s["revision"] += 1
-            rows.append({"job_id": key[0], **{c: state[c] for c in ("status", "attempts", "heartbeat_at", "error", "updated_at")},
-                         "stale": stale, "silent_since": since, "revision": s["revision"]})
-        return pd.DataFrame(rows).astype({"heartbeat_at": "Int64", "silent_since": "Int64", "attempts": "int32"})
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        for chunk in rows:
-            details = [None if pd.isna(d) else str(d) for d in chunk["detail"]]
-            self.waiting.appendList(list(zip(chunk["ts_ms"].tolist(), chunk["event_id"].tolist(), chunk["event"].tolist(), details)))
-        s = self._load()
-        spells, left = self._settle(s, timerValues.getCurrentWatermarkInMs())
+            rows.append(Row(job_id=key[0], **{c: state[c] for c in ("status", "attempts", "heartbeat_at", "error", "updated_at")},
+                            stale=stale, silent_since=since, revision=s["revision"]))
+        return rows
+
+    def arrive(self, key, events: list[tuple], watermark: int) -> list[Row]:
+        """Take in events; the silences settled by them and the job as it stands."""
+        s, waiting = self._load()
+        spells, left = self._settle(s, waiting + events, watermark)
         now = dict(s)
         self._fold(now, left, None)
         out = self._rows(key, s, spells, now)
-        self.state.update(tuple(s.values()))
-        self._wake(s, left)
-        yield out
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        s = self._load()
-        spells, left = self._settle(s, timerValues.getCurrentWatermarkInMs())
+        self._save(s, left)
+        return out
+
+    def expire(self, key, watermark: int) -> list[Row]:
+        """Settle what the watermark has passed; rows only where that found a silence."""
+        s, waiting = self._load()
+        if s["timer"] is not None and s["timer"] <= watermark:
+            s["timer"] = None
+        spells, left = self._settle(s, waiting, watermark)
         # The view with all events applied changes only where a silence was settled.
         now = dict(s)
         self._fold(now, left, None)
-        if spells:
-            yield self._rows(key, s, spells, now)
-        self.state.update(tuple(s.values()))
-        self._wake(s, left)
+        out = self._rows(key, s, spells, now) if spells else []
+        self._save(s, left)
+        return out
+
+    def _frame(self, rows: list[Row]) -> pd.DataFrame:
+        return pd.DataFrame([r.asDict() for r in rows]).astype({"heartbeat_at": "Int64", "silent_since": "Int64", "attempts": "int32"})
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        events = []
+        for chunk in rows:
+            details = [None if pd.isna(d) else str(d) for d in chunk["detail"]]
+            events += zip(chunk["ts_ms"].tolist(), chunk["event_id"].tolist(), chunk["event"].tolist(), details)
+        yield self._frame(self.arrive(key, events, timerValues.getCurrentWatermarkInMs()))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        found = self.expire(key, timerValues.getCurrentWatermarkInMs())
+        if found:
+            yield self._frame(found)
 
     def close(self) -> None:
         pass
 
 
+class RowJobMachine(JobMachine):
+    """The job machine over plain rows: with a few events a job and call, frames cost more than the events in them."""
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        events = [(r["ts_ms"], r["event_id"], r["event"], r["detail"]) for r in rows]
+        yield from self.arrive(key, events, timerValues.getCurrentWatermarkInMs())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        yield from self.expire(key, timerValues.getCurrentWatermarkInMs())
+
+
 def stream_job_state(
     events: DataFrame, watermark: str, max_attempts: int = vocab.RETRY_ATTEMPTS, stale_ms: int | None = None
 ) -> DataFrame:
@@ -238,8 +267,8 @@ def stream_job_state(
         raise ValueError(f"set spark.sql.streaming.stateStore.providerClass to {ROCKSDB}")
     rows = events if "detail" in events.columns else events.withColumn("detail", F.lit(None).cast("string"))
     rows = rows.withWatermark("ts", watermark).select("job_id", "event", "event_id", "detail", F.unix_millis("ts").alias("ts_ms"), "ts")
-    return rows.groupBy("job_id").transformWithStateInPandas(
-        JobMachine(max_attempts, stale_ms), STATE_OUTPUT, "update", "EventTime")
+    return rows.groupBy("job_id").transformWithState(
+        RowJobMachine(max_attempts, stale_ms), STATE_OUTPUT, "update", "EventTime")
 
 
 def stream_stale(events: DataFrame, timeout_ms: int = vocab.STALE_CLAIM_MS, watermark: str = "1 minute") -> DataFrame:

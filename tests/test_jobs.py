@@ -14,7 +14,7 @@ from framejobs.functions import paths
 from framejobs.operators import analyze, detect, exports, framing, hooks, hygiene, ingest, jobs as J, layout, lookup, ranking, reports, routing
 from framejobs.plans import settings
 from framejobs.sources import bridge as B, media, tables, templates as T
-from framejobs.streaming.jobs import JobMachine
+from framejobs.streaming.jobs import JobMachine, RowJobMachine
 
 
 def rows(df, *order):
@@ -477,3 +477,24 @@ def test_creatives_compare_numbers_and_make_texts_for_those_that_stay(spark, sf_
         grouped = [line for line in df._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Aggregate" in line]
         assert len(grouped) == 1 and "crt_" not in grouped[0] and "img_" not in grouped[0]
     assert "l_extendedprice" in str(every._jdf.queryExecution().executedPlan()) and "l_extendedprice" not in str(some._jdf.queryExecution().executedPlan())
+
+
+def test_job_machine_reads_and_writes_a_job_once_a_call():
+    """Each call on state is a round trip to the JVM: one read, one write, and a timer only where none is set before it."""
+    from types import SimpleNamespace as Named
+
+    calls, kept = [], {}
+    state = Named(get=lambda: (calls.append("get"), kept.get("v"))[1], update=lambda v: (calls.append("update"), kept.update(v=v)))
+    machine, clock = RowJobMachine(stale_ms=100), lambda w: Named(getCurrentWatermarkInMs=lambda: w)
+    machine.init(Named(getValueState=lambda *_: state, registerTimer=lambda t: calls.append(t)))
+    event = lambda ts, i, name: {"ts_ms": ts, "event_id": i, "event": name, "detail": None}
+    take = lambda w, *events: list(machine.handleInputRows(("j",), iter(events), clock(w)))
+    wake = lambda w: list(machine.handleExpiredTimer(("j",), clock(w), None))
+    first = take(0, event(10, 2, "run"), event(5, 1, "claim"))
+    assert calls == ["get", 6, "update"] and [(r.status, r.heartbeat_at, r.revision) for r in first] == [("running", 10, 1)]
+    second = take(0, event(7, 3, "heartbeat"))
+    assert calls[3:] == ["get", "update"] and [(r.status, r.attempts, r.revision) for r in second] == [("running", 1, 2)]
+    assert wake(50) == [] and calls[5:] == ["get", 111, "update"]
+    last = wake(200)
+    assert [(r.status, r.stale, r.revision) for r in last] == [("pending", True, 3), ("pending", False, 4)] and last[0].silent_since == 10
+    assert kept["v"][-1] == "[]"
