@@ -39,6 +39,33 @@ def test_ids_of_any_text(direct, text):
         assert tokens.encoder(path).encode([text])[0].tolist() == direct(path, text)
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.lists(st.sampled_from([*"aB'slé×÷İ¿ .,\n\t\r17_\x0b日́", " ab", "'ll", "\n\n"]), max_size=12).map("".join), max_size=6))
+def test_ids_of_texts_of_a_batch(direct, texts):
+    for path in (BYTE, WORDS):
+        assert [i.tolist() for i in tokens.encoder(path).encode(texts)] == [direct(path, t) for t in texts]
+
+
+def test_ids_when_the_cache_turns_over(direct, monkeypatch):
+    monkeypatch.setattr(tokens, "CACHE_ENTRIES", 12)
+    words = [f"{a}{b}{c}" for a in "xyz" for b in "éeo" for c in "kqw"]
+    for path in (BYTE, WORDS):
+        ids = tokens.Ids(path)
+        for start in [*range(0, 27, 4), 0, 8, 20, 0]:
+            text = " ".join(words[start:start + 6]) + "'ll 12ab.\n"
+            assert [i.tolist() for i in ids.encode([text, text[::-1]])] == [direct(path, text), direct(path, text[::-1])]
+        assert len(ids.pieces) <= 40
+
+
+@pytest.mark.parametrize("path", [BYTE, WORDS])
+def test_a_word_is_learned_once_whatever_signs_it_bears(direct, path):
+    words, signs = [f"{a}né{b}" for a in "bcdfg" for b in "klmnp"], [",", ".", "!)", ";", ":", "?", "...", "7", "%"]
+    texts = [" ".join(f"{w}{s}" for w in words) for s in signs] + ["\n".join(words)]
+    ids = tokens.Ids(path)
+    assert [i.tolist() for i in ids.encode(texts)] == [direct(path, t) for t in texts]
+    assert len(ids.pieces) <= 2 * len(words) + len(signs) + 1  # with and without a blank; the signs; the line break
+
+
 @given(st.integers(1, 5000), st.sampled_from([64, 100, 1024]))
 def test_cuts_cover(total, capacity):
     at = 0
